@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,14 +153,21 @@ def _item_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(r)), pa.array(np.full(len(r), k, np.int32)), pa.array(r.view(np.int64))], names=["item_id", "k", "h"])
 
 
+def _broadcast(spark: SparkSession, items: DataFrame, width: int, most: int) -> Broadcast | None:
+    """The windows, if the benchmark's texts are at most `most` bytes."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0))).first()[0]
+    if size > most:
+        return None
+    return spark.sparkContext.broadcast(Windows(sorted((r[0], r[1]) for r in items.where("item_id is not null").collect()), width))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, spans (byte ranges of hit words that follow each other)."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
-        held = spark.sparkContext.broadcast(Windows(sorted((r[0], r[1]) for r in items.where("item_id is not null").collect()), width))
+    held = _broadcast(spark, items, width, broadcast_bytes)
+    if held is not None:
         return docs.mapInArrow(lambda it: _scan_batches(it, held.value, "doc_id", "text"), _SCAN)
     return _scan_by_join(docs, items, width)
 
@@ -183,10 +191,22 @@ def _scan_by_join(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     return docs.join(with_text, "doc_id", "left").mapInArrow(verify, _SCAN)
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents without a hit word, with all their columns.  Rows with a null doc_id have no id to hit by and stay."""
-    hit = scan(docs, benchmark, **how).where("n_hit > 0").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+def remove_documents(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents without a hit word, with all their columns.  Where the windows are broadcast, texts don't move."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    held = _broadcast(docs.sparkSession, items, width, broadcast_bytes)
+    if held is None:
+        hit = scan(docs, benchmark, width=width, broadcast_bytes=broadcast_bytes).where("n_hit > 0").select("doc_id")
+        return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array(range(batch.num_rows), pa.int64())
+            text = batch.column(batch.schema.get_field_index("text"))
+            for got in _scan_batches(iter([pa.RecordBatch.from_arrays([ids, text], names=["doc_id", "text"])]), held.value, "doc_id", "text"):
+                yield batch.filter(pa.array(got.column(2).to_numpy() == 0))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
