@@ -8,9 +8,10 @@ every list holds (class, size, position), sorted by size.
 Index skipping: a list is cut into blocks by size and, for each entry, whole blocks are skipped whose sizes cannot
 reach t, and in the rest entries whose positions leave too little behind them.  Answer skipping: candidates form stars, a
 centre and the classes that may join it; a class is compared with the centre once, and keeps what it has more and less
-than the centre.  Members that join their centre are in one component, whatever they are to each other.  A pair of which a member
-does not join the centre gets its intersection from the two differences:  |y n z| = |x| - |x-y| - |x-z| + |(x-y) n (x-z)| +
-|(y-x) n (z-x)|,  so no pair within a group is expanded, and none is lost.
+than the centre.  Members that join their centre are in one component, whatever they are to each other.  A member that does not join
+meets the others, a block at a time, and is compared with those that are in no component with it yet; the intersection comes from
+the two differences:  |y n z| = |x| - |x-y| - |x-z| + |(x-y) n (x-z)| + |(y-x) n (z-x)|.  So no pair within a group becomes a row, and
+no link that matters to a component is lost.
 
 Links become components by passing the smallest label along in rounds, each kept as a table.
 Null, empty or wordless texts have empty sets and are linked with nothing.  Repeated rows of one doc_id are one document.
@@ -18,6 +19,7 @@ Null, empty or wordless texts have empty sets and are linked with nothing.  Repe
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ INDEX_PART = 400_000  # index entries of a task
 _LUT = C.lut_of("graph")
 _ENTRY = np.dtype([("h", "<u8"), ("cls", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 BLOCK = 64
+SKETCH_BITS = 22
+STAR = 2048  # members of a star that a task holds at once
 
 
 def sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,14 +100,15 @@ def _sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
             own = n[k * per : (k + 1) * per]
             if own.any():
                 kind = np.uint8 if own.max() < 256 else np.uint32
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.astype(kind).tobytes()], pa.binary())], names=["block", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(own.astype(kind).tobytes(), 1)], pa.binary())], names=["block", "v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = zlib.decompress(v)
                 sums.setdefault(k, np.zeros(per, np.int64))
-                sums[k] += np.frombuffer(v, np.uint8 if len(v) == per else np.uint32)
+                sums[k] += np.frombuffer(n, np.uint8 if len(n) == per else np.uint32)
         for k, n in sums.items():
             level = np.ceil(np.log2(n + 1) * 4).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "v"])
@@ -244,22 +249,69 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip((joined, nx, ny, less, more), kinds, strict=True)]], names=["centre", "member", "joined", "nx", "ny", "less", "more"])
 
 
+class _Block:
+    """Members of a star, whose centre joins some of them, and which of them are known to be in one component."""
+
+    def __init__(self, percent: int):
+        self.percent, self.rows, self.at, self.up, self.sizes = percent, [], {}, [], None
+
+    def hold(self, member: int, joined: bool, nx: int, ny: int, less: np.ndarray, more: np.ndarray) -> None:
+        self.at[member] = len(self.rows)
+        self.rows.append((member, less, more))
+        # 0 stands for the centre
+        self.up.append(0 if joined else len(self.rows))
+        self.nx = nx
+        self.sizes = None
+        self.ny = getattr(self, "ny", [])
+        self.ny.append(ny)
+
+    def root(self, i: int) -> int:
+        while i and self.up[i - 1] != i:
+            i = self.up[i - 1]
+        return i
+
+    def ask(self, member: int, ny: int, less: np.ndarray, more: np.ndarray) -> Iterator[int]:
+        """Members that link with this one, without those that are in one component with it already."""
+        if self.sizes is None:
+            self.sizes = tuple(np.array(x) for x in zip(*((n, len(a), len(b)) for n, (_, a, b) in zip(self.ny, self.rows, strict=True)), strict=True)) if self.rows else (np.zeros(0),) * 3
+        nz, lz, mz = self.sizes
+        most = self.nx - len(less) - lz + np.minimum(len(less), lz) + np.minimum(len(more), mz)
+        most = np.minimum(most, np.minimum(ny, nz))
+        able = np.flatnonzero(100 * most >= self.percent * (ny + nz - most))
+        mine = {self.root(self.at[member] + 1)} if member in self.at else set()
+        for i in able[np.argsort(-most[able], kind="stable")].tolist():
+            z, a, b = self.rows[i]
+            r = self.root(i + 1)
+            if z == member or r in mine:
+                continue
+            both = self.nx - len(less) - len(a) + len(np.intersect1d(less, a, True)) + len(np.intersect1d(more, b, True))
+            if 100 * both >= self.percent * (ny + int(nz[i]) - both):
+                mine.add(r)
+                yield z
+        first = min(mine, default=0)
+        for r in mine:
+            if r and r != first:
+                self.up[r - 1] = first
+
+
 def _derive(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links of two members of one star from their differences to its centre."""
+    """Links of members of one star from their differences to its centre; rows come by (centre, block), held ones first."""
+    block, key, out = None, None, []
     for batch in batches:
-        a, b = [], []
-        col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-        nx, ny, nz = (col[n].to_numpy() for n in ("nx", "ny", "nz"))
-        left, right = col["y"].to_pylist(), col["z"].to_pylist()
+        names = batch.schema.names
+        col = {n: batch.column(names.index(n)).to_pylist() for n in names if n not in ("less", "more")}
+        less, more = batch.column(names.index("less")), batch.column(names.index("more"))
         for i in range(batch.num_rows):
-            if 100 * min(ny[i], nz[i]) < percent * max(ny[i], nz[i]):
-                continue
-            ly, my, lz, mz = (_blob(col[n], i) for n in ("ly", "my", "lz", "mz"))
-            both = nx[i] - len(ly) - len(lz) + len(np.intersect1d(ly, lz, True)) + len(np.intersect1d(my, mz, True))
-            if 100 * both >= percent * (ny[i] + nz[i] - both):
-                a.append(left[i])
-                b.append(right[i])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            now = (col["centre"][i], col["block"][i])
+            if now != key:
+                block, key = _Block(percent), now
+            if col["kind"][i] == 0:
+                block.hold(col["member"][i], col["joined"][i], col["nx"][i], col["ny"][i], _blob(less, i).copy(), _blob(more, i).copy())
+            elif block.rows:
+                out += [(col["member"][i], z) for z in block.ask(col["member"][i], col["ny"][i], _blob(less, i), _blob(more, i))]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], names=["a", "b"])
+            out = []
 
 
 def components(edges: DataFrame, least: DataFrame, rounds: int = 60) -> DataFrame:
@@ -286,13 +338,12 @@ def components(edges: DataFrame, least: DataFrame, rounds: int = 60) -> DataFram
     raise RuntimeError("components did not settle")
 
 
-def join(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, cls, component_id of every document."""
+def join(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """doc_id, n_shingles, cls, component_id of every document.  sketch_bits orders shingles, whatever it is the result is the same;
+    buckets tell shingles apart that are more frequent than a few deviations of a bucket's load."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    # about as many buckets as a quarter of the shingles, up to 2**25 bytes
-    bits = int(min(25, max(14, np.ceil(np.log2(max(got[0], 1) / 6 / 16)))))
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs.select("text"), width, bits))
+    got = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs.select("text"), width, sketch_bits))
     parts = max(8, int(got[0] / 6 * (100 - percent) / 100 / INDEX_PART))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,19 +372,19 @@ def join(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> Data
             edge = np.r_[0, np.cumsum(size)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(cls), pa.array([value[edge[k] : edge[k + 1]].tobytes() for k in range(b - a)], pa.binary())], names=["doc_id", "cls", "v"])
 
-    of = C.written(docs.mapInArrow(full, "doc_id long, cls long, v binary").join(chosen, ["doc_id", "cls"]).dropDuplicates(["cls"]).select("cls", "v"), "sets")
-    pairs = stars.join(of.select(F.col("cls").alias("member"), F.col("v").alias("vy")), "member").join(of.select(F.col("cls").alias("centre"), F.col("v").alias("vx")), "centre")
+    # what the filter lets through by chance is of no star, or a copy
+    of = docs.mapInArrow(full, "doc_id long, cls long, v binary").groupBy("cls").agg(F.first("v").alias("v"))
+    pairs = stars.join(of.withColumnRenamed("cls", "member").withColumnRenamed("v", "vy"), "member").join(of.withColumnRenamed("cls", "centre").withColumnRenamed("v", "vx"), "centre")
     told = C.written(pairs.select("centre", "member", "vx", "vy").mapInArrow(lambda it: _compare(it, percent), "centre long, member long, joined boolean, nx long, ny long, less binary, more binary"), "told")
     links = told.where("joined").select(F.col("centre").alias("a"), F.col("member").alias("b"))
-    apart = told.where("not joined")
-    y = apart.select("centre", F.col("member").alias("y"), "nx", "ny", F.col("less").alias("ly"), F.col("more").alias("my"))
-    z = told.select("centre", F.col("member").alias("z"), F.col("joined").alias("zj"), F.col("ny").alias("nz"), F.col("less").alias("lz"), F.col("more").alias("mz"))
-    # sizes and the sizes of the differences bound what two members can share
-    near = (F.col("zj") | (F.col("y") < F.col("z"))) & (100 * F.least("ny", "nz") >= percent * F.greatest("ny", "nz"))
-    ly, my, lz, mz = (F.length(c) / 8 for c in ("ly", "my", "lz", "mz"))
-    most = F.col("nx") - ly - lz + F.least(ly, lz) + F.least(my, mz)
-    met = y.join(z, "centre").where(near & (100 * most >= percent * (F.col("ny") + F.col("nz") - most)))
-    more = met.select("y", "z", "nx", "ny", "nz", "ly", "my", "lz", "mz").mapInArrow(lambda it: _derive(it, percent), "a long, b long")
+    # only stars with a member apart from the centre go on
+    n = told.groupBy("centre").agg(F.count("*").alias("n"), F.max(~F.col("joined")).alias("some")).where("some").select("centre", F.ceil(F.col("n") / STAR).cast("int").alias("blocks"))
+    own = told.join(n, "centre")
+    held = own.withColumn("block", F.pmod(F.xxhash64("member"), "blocks").cast("int")).withColumn("kind", F.lit(0))
+    asks = own.where("not joined").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
+    cols = ["centre", "block", "kind", "member", "joined", "nx", "ny", "less", "more"]
+    met = held.select(cols).unionByName(asks.select(cols)).repartition("centre", "block").sortWithinPartitions("centre", "block", "kind")
+    more = met.mapInArrow(lambda it: _derive(it, percent), "a long, b long")
     found = components(links.unionByName(more), first)
     return named.join(found, "cls", "left").join(first, "cls", "left").groupBy("doc_id").agg(
         F.first("n_shingles").alias("n_shingles"),
