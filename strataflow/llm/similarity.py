@@ -378,7 +378,7 @@ def join(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, sketch_
     told = C.written(pairs.select("centre", "member", "vx", "vy").mapInArrow(lambda it: _compare(it, percent), "centre long, member long, joined boolean, nx long, ny long, less binary, more binary"), "told")
     links = told.where("joined").select(F.col("centre").alias("a"), F.col("member").alias("b"))
     # only stars with a member apart from the centre go on
-    n = told.groupBy("centre").agg(F.count("*").alias("n"), F.max(~F.col("joined")).alias("some")).where("some").select("centre", F.ceil(F.col("n") / STAR).cast("int").alias("blocks"))
+    n = told.groupBy("centre").agg(F.count("*").alias("n"), F.max(~F.col("joined")).alias("some")).where("some and n > 1").select("centre", F.ceil(F.col("n") / STAR).cast("int").alias("blocks"))
     own = told.join(n, "centre")
     held = own.withColumn("block", F.pmod(F.xxhash64("member"), "blocks").cast("int")).withColumn("kind", F.lit(0))
     asks = own.where("not joined").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
