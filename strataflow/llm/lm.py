@@ -8,6 +8,11 @@ longest context have) and learned online, bit by bit of the training words, each
 the counts that predict it.  An adaptive map, by the bits seen of the byte, refines the mix.  The score is the
 log10 probability of the text; bits_per_byte is the same over its bytes.
 
+On top of that, a text is of a class: a language of the training rows, in plain or in odd writing (many words with marks
+inside or behind them).  A class knows its own word counts; its probability of a word is (c + T m) / (N + T), with m the mixed
+bits' probability and T its distinct words.  The class of a text being scored is unknown: its probability is the mean of the
+classes' ones, weighted by how frequent they are, which is the same as gating each word by what the words before it say.
+
 As contexts don't cross words, the bits of a distinct word are coded once: words are counted over the whole corpus,
 dealt by their first four bytes so that a prefix's words meet, and coded as a bitwise trie.  Context
 tables have a fixed size and are broadcast, and so are at most FREQUENT words with their scores; all other words
@@ -20,6 +25,7 @@ documents every word has the base probability, and the score is that of evenly l
 from __future__ import annotations
 
 import pickle
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -45,6 +51,8 @@ DELTA = np.float32(0.1)
 LEVELS = 8  # of evidence of the longest context: 0, 1, 2, 4, 8, 16, 64, 256 and more
 GATES, INPUTS, STEPS, EPOCHS = 16 * LEVELS + 20, 6, 33, 3
 _TERM = 32
+LANGS = 4  # the most frequent languages have classes of their own
+_MARKS = re.compile(rb"[^0-9a-z\x80-\xff.,;:'\"()?-]")
 _LEVELS = np.array([1, 2, 4, 8, 16, 64, 256], np.float32)
 _CLZ = np.array([8] + [7 - int(np.log2(x)) for x in range(1, 256)])
 
@@ -86,27 +94,35 @@ def _last4(flat: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 # ---- counting
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    train, other = Counter(), Counter()
+def _odd(words: list[bytes]) -> int:
+    """Whether many of the first words have marks that plain words don't."""
+    some = words[:200]
+    return int(10 * sum(_MARKS.search(w) is not None for w in some) > 3 * len(some))
+
+
+def _count(batches: Iterator[pa.RecordBatch], langs: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """(word, k, c, t) of a task: training tokens by class, and others, for which k is -1."""
+    counts: dict[int, Counter] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        for own, t in ((train, 1), (other, 0)):
+        for k, own in counts.items():
             w, n = list(own), np.fromiter(own.values(), np.int64, len(own))
             for a in range(0, len(w), 50_000):
                 m = n[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(w[a : a + 50_000], pa.binary()), pa.array(m * t), pa.array(m)], names=["word", "c", "t"])
-            own.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(w[a : a + 50_000], pa.binary()), pa.array(np.full(len(m), k, np.int32)), pa.array(m * (k >= 0)), pa.array(m)], names=["word", "k", "c", "t"])
+        counts.clear()
 
     for batch in batches:
         col = C.text_column(batch, "text")
         off, _ = C.buffers(col)
-        held = batch.column(batch.schema.get_field_index("held_out")).to_pylist()
+        held, lang = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("held_out", "lang"))
         for a, b in C.slices(off):
-            for text, h in zip(col.slice(a, b - a).cast(pa.large_binary()).to_pylist(), held[a:b], strict=True):
-                own = other if h else train
-                own.update(text.lower().split())
+            for text, h, g in zip(col.slice(a, b - a).cast(pa.large_binary()).to_pylist(), held[a:b], lang[a:b], strict=True):
+                words = text.lower().split()
+                own = counts.setdefault(-1 if h else 2 * langs.get(g, len(langs)) + _odd(words), Counter())
+                own.update(words)
                 own[b""] += 1
-            if len(train) + len(other) > 300_000:
+            if sum(map(len, counts.values())) > 300_000:
                 yield from out()
     yield from out()
 
@@ -336,9 +352,20 @@ class Model:
 
     def __init__(self, docs: DataFrame, frequent: int = FREQUENT):
         spark = docs.sparkSession
+        lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
         self.docs = docs.select("doc_id", "text", held_out().alias("held_out"))
-        counted = self.docs.select("text", "held_out").mapInArrow(_count, "word binary, c long, t long")
-        self.types = C.written(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t")), "words")
+        langs = docs.select(lang.alias("lang")).where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+        langs = {r[0]: i for i, r in enumerate(langs)}
+        classes = 2 * len(langs) + 2
+        counted = docs.select("text", held_out().alias("held_out"), lang.alias("lang")).mapInArrow(lambda it: _count(it, langs), "word binary, k int, c long, t long")
+        own = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("c"))), F.lit(0)) for k in range(classes)]
+        self.types = C.written(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.array(*own).alias("ck")), "words")
+        ck = [F.col("ck")[k] for k in range(classes)]
+        n = self.types.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ck], *[F.count(F.when(x > 0, 1)) for x in ck], *[F.coalesce(F.sum(F.when(F.length("word") == 0, x)), F.lit(0)) for x in ck]).first()
+        held = [k for k in range(classes) if n[k]]
+        texts = sum(n[2 * classes + k] for k in held)
+        #: (place in ck, tokens, distinct words, log10 of the share of texts) of each class; without training texts, none
+        self.classes = [(k, n[k], n[classes + k], float(np.log10(n[2 * classes + k] / texts))) for k in held]
         got = self.types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count("*")).first()
         self.tokens, self.vocabulary, types = int(got[0]), int(got[1]), int(got[2])
         parts = self.types.where("c > 0").select("word", "c").mapInArrow(_tables, "part int, v binary")
@@ -383,9 +410,9 @@ class Model:
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in _tries(batches):
                 s = _walk(_col(t, "word"), _col(t, "c").to_numpy(), held.value, None, model)
-                yield from pa.table([t.column("word"), t.column("c"), t.column("t"), pa.array(s)], names=["word", "c", "t", "s"]).to_batches(50_000)
+                yield from pa.table([t.column("word"), t.column("c"), t.column("t"), pa.array(s), t.column("ck")], names=["word", "c", "t", "s", "ck"]).to_batches(50_000)
 
-        self.words = C.written(near.mapInArrow(score, "word binary, c long, t long, s double"), "scored")
+        self.words = C.written(near.mapInArrow(score, "word binary, c long, t long, s double, ck array<long>"), "scored")
         self.frequent = frequent
 
     def score(self) -> DataFrame:
@@ -398,10 +425,14 @@ class Model:
             if n > self.frequent:
                 break
             least = lv
-        some = self.words.where(level >= least).select("word", "c", "s").toArrow() if least is not None else self.words.limit(0).select("word", "c", "s").toArrow()
+        classes = self.classes or [(0, 0, 1, 0.0)]
+        s = [F.log10((F.col("ck")[k] + F.lit(t) * F.pow(F.lit(10.0), "s")) / F.lit(n + t)) for k, n, t, _ in classes]
+        own = self.words.select("word", "c", "t", F.array(*s).alias("s"))
+        some = own.where(level >= F.lit(2e9 if least is None else least)).select("word", "c", "s").toArrow()
         norm = float(np.log10(self.tokens + 0.1 * (self.vocabulary + 1)))
         base = np.log10(some.column("c").to_numpy() + 0.1) - norm
-        held = spark.sparkContext.broadcast((some.column("word").to_pylist(), base, some.column("s").to_numpy(), some.column("c").to_numpy() > 0))
+        scores = some.column("s").combine_chunks().flatten().to_numpy().reshape(-1, len(classes)) if some.num_rows else np.zeros((0, len(classes)))
+        held = spark.sparkContext.broadcast((some.column("word").to_pylist(), base, scores, some.column("c").to_numpy() > 0))
         tokens = self.tokens
         index: dict[bytes, int] = {}
 
@@ -432,31 +463,37 @@ class Model:
                         times.append(k)
                     doc = np.repeat(np.arange(b - a), [len(x) for x in at])
                     i, k = np.concatenate(at), np.concatenate(times)
-                    sums = [np.bincount(doc, v, b - a) for v in (k * known[i], k * base[i], k * s[i])] if len(base) else [np.zeros(b - a)] * 3
+                    sums = [np.bincount(doc, v, b - a) for v in (k * known[i], k * base[i])] if len(base) else [np.zeros(b - a)] * 2
+                    by_class = np.stack([np.bincount(doc, k * s[i, j], b - a) for j in range(s.shape[1])], 1) if len(base) else np.zeros((b - a, s.shape[1]))
+                    by_class = pa.FixedSizeListArray.from_arrays(pa.array(by_class.reshape(-1)), s.shape[1]).cast(pa.list_(pa.float64()))
                     rare = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(rare_words)), pa.binary()), pa.array(np.concatenate(rare_n) if rare_n else [], pa.int64())], ["word", "n"]))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n_tokens, pa.int64()), pa.array(np.diff(off[a : b + 1])), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), rare],
-                        names=["doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "score", "rare"],
+                        [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n_tokens, pa.int64()), pa.array(np.diff(off[a : b + 1])), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), by_class, rare],
+                        names=["doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "s", "rare"],
                     )
 
-        schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double, rare array<struct<word: binary, n: long>>"
+        schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, s array<double>, rare array<struct<word: binary, n: long>>"
         part = C.written(self.docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scores")
         rare = part.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.n")
-        met = rare.join(self.words.select("word", "c", "s"), "word").groupBy("_row").agg(
+        met = rare.join(own.select("word", "c", "s"), "word").groupBy("_row").agg(
             F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"),
             F.sum(F.col("n") * (F.log10(F.col("c") + F.lit(0.1)) - F.lit(norm))).alias("_base"),
-            F.sum(F.col("n") * F.col("s")).alias("_score"),
+            *[F.sum(F.col("n") * F.col("s")[j]).alias(f"_s{j}") for j in range(len(classes))],
         )
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        return part.drop("rare").join(met, "_row", "left").select(
+        total = [F.col("s")[j] + zero(f"_s{j}") + F.lit(x[3]) for j, x in enumerate(classes)]
+        most = F.greatest(*total, total[0])
+        score = most + F.log10(sum((F.pow(F.lit(10.0), x - most) for x in total), F.lit(0.0)))
+        full = part.drop("rare").join(met, "_row", "left").withColumn("score", score)
+        return full.select(
             "doc_id",
             "held_out",
             "n_tokens",
             (F.col("n_known") + zero("_known")).alias("n_known"),
             F.lit(tokens).cast("long").alias("train_tokens"),
             (F.col("base_score") + zero("_base")).alias("base_score"),
-            (F.col("score") + zero("_score")).alias("score"),
-            (-(F.col("score") + zero("_score")) * F.lit(float(np.log2(10))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+            "score",
+            (-F.col("score") * F.lit(float(np.log2(10))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
         )
 
 
