@@ -174,8 +174,16 @@ def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | No
     """The model of rows that aren't held out."""
     given = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).alias("y"))
     rows = feats.where(~held_out()).join(given, "doc_id", "left")
-    take = lambda cond: [r[0] for r in rows.where(cond).orderBy(F.xxhash64("doc_id"), "doc_id").select("x").limit(sample).collect()]
-    pos, neg, unl = (np.array(take(c), float).reshape(-1, N_FEATURES) for c in ("y", "not y", "y is null"))
+    conds = ("y", "not y", "y is null")
+    counts = rows.agg(*[F.count(F.when(F.expr(c), 1)) for c in conds]).first()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+
+    def take(cond: str, n: int) -> list:
+        # about 1.3 samples get past the threshold, so no task sends the driver a sample of its own
+        cut = min(1 << 30, int((1.3 * sample + 200) / max(n, 1) * (1 << 30)))
+        return [r[0] for r in rows.where(cond).where(place < cut).orderBy(place, "doc_id").select("x").limit(sample).collect()]
+
+    pos, neg, unl = (np.array(take(c, n), float).reshape(-1, N_FEATURES) for c, n in zip(conds, counts, strict=True))
     return learn(pos, neg, unl)
 
 
