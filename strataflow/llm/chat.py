@@ -5,8 +5,8 @@ none), whether the line before is blank, and its form (blank, question, list or
 x (first line of a turn, later line).  Viterbi finds the likeliest path; turns are rendered canonically.
 
 The walk goes over blocks of at most BLOCK lines and hands the scores of the last line on, so memory does not
-grow with a conversation.  Null texts are empty turns, unknown roles are kept as 'user' markers would be read;
-repeated rows count once with their number of copies; empty tables give no rows.
+grow with a conversation.  Null texts are empty turns; null and unknown roles are written down as the user's; null conversations are one; repeated
+rows count once, with their number of copies; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

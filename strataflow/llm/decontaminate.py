@@ -211,13 +211,13 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDT
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """All documents; the bytes of each hit span, from its first to its last word, are cut out of `text`."""
-    spans = scan(docs, benchmark, **how).where("n_hit > 0").select("doc_id", "spans")
+    spans = scan(docs, benchmark, **how).where("n_hit > 0").select("doc_id", F.col("spans").alias("__spans")).dropDuplicates(["doc_id"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
-            for i, own in enumerate(batch.column("spans").to_pylist()):
+            for i, own in enumerate(batch.column("__spans").to_pylist()):
                 if own and texts[i] is not None:
                     raw, out, done = texts[i].encode(), [], 0
                     for x in own:
@@ -227,7 +227,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
             arrays = [pa.array(texts, batch.schema.field(at).type) if j == at else batch.column(j) for j in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1])
 
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, "spans").mapInArrow(cut, docs.schema)
+    return docs.join(spans, "doc_id", "left").select(*docs.columns, "__spans").mapInArrow(cut, docs.schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

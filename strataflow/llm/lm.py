@@ -463,8 +463,8 @@ class Model:
                         times.append(k)
                     doc = np.repeat(np.arange(b - a), [len(x) for x in at])
                     i, k = np.concatenate(at), np.concatenate(times)
-                    sums = [np.bincount(doc, v, b - a) for v in (k * known[i], k * base[i])] if len(base) else [np.zeros(b - a)] * 2
-                    by_class = np.stack([np.bincount(doc, k * s[i, j], b - a) for j in range(s.shape[1])], 1) if len(base) else np.zeros((b - a, s.shape[1]))
+                    sums = [np.bincount(doc, v, b - a).astype(float) for v in (k * known[i], k * base[i])] if len(base) else [np.zeros(b - a)] * 2
+                    by_class = np.stack([np.bincount(doc, k * s[i, j], b - a).astype(float) for j in range(s.shape[1])], 1) if len(base) else np.zeros((b - a, s.shape[1]))
                     by_class = pa.FixedSizeListArray.from_arrays(pa.array(by_class.reshape(-1)), s.shape[1]).cast(pa.list_(pa.float64()))
                     rare = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(rare_words)), pa.binary()), pa.array(np.concatenate(rare_n) if rare_n else [], pa.int64())], ["word", "n"]))
                     yield pa.RecordBatch.from_arrays(

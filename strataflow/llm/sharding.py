@@ -140,11 +140,11 @@ class Store:
         return n
 
     def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version, with the column shard."""
+        """Rows of a version, with the column __shard."""
         live = self.shards(version)
         if not live:
             raise ValueError("the version has no shard")
-        return self.spark.read.parquet(*[f"{self.root}/data/{s.name}" for s in live]).withColumn("shard", F.regexp_extract(F.input_file_name(), r"/data/([^/]+)/", 1))
+        return self.spark.read.parquet(*[f"{self.root}/data/{s.name}" for s in live]).withColumn("__shard", F.regexp_extract(F.input_file_name(), r"/data/([^/]+)/", 1))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 5) -> DataFrame:
@@ -159,7 +159,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 5) -> DataFra
     rows = store.read()
     return rows.select(
         "doc_id",
-        F.substring("shard", 1, 6).cast("int").alias("shard_arrival"),
+        F.substring("__shard", 1, 6).cast("int").alias("shard_arrival"),
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit(len(store.shards())).alias("live_shards"),
