@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARKER = "_SUCCESS"
@@ -53,10 +53,24 @@ def write_documents(rows: DataFrame, folder: str) -> DataFrame:
     return rows.select("stem", "markdown", "layout", F.col("pages").cast("long").alias("pages")).mapInArrow(run, "stem string, md_path string, chars long, pages long, status string")
 
 
-def committed(spark: SparkSession, folder: str) -> DataFrame:
-    """Markers below a folder: stem, status, pages, chars."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", MARKER).load(folder)
-    return found.select(F.from_json(F.col("content").cast("string"), "stem string, status string, pages long, chars long").alias("m")).select("m.*")
+def committed(rows: DataFrame, folder: str) -> DataFrame:
+    """Markers of the rows' documents: stem, status, pages, chars.  Spark's listings hide such names, so each is looked up."""
+    root = folder.removeprefix("file://")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for stem in batch.column(0).to_pylist():
+                marker = os.path.join(root, stem, MARKER)
+                if os.path.exists(marker):
+                    with open(marker) as f:
+                        m = json.load(f)
+                    out.append((stem, m["status"], m["pages"], m["chars"]))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["stem", "status", "pages", "chars"])
+
+    return rows.select("stem").distinct().mapInArrow(run, "stem string, status string, pages long, chars long")
 
 
 def write_json(rows: DataFrame, folder: str) -> None:
