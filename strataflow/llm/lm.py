@@ -57,14 +57,21 @@ _LEVELS = np.array([1, 2, 4, 8, 16, 64, 256], np.float32)
 _CLZ = np.array([8] + [7 - int(np.log2(x)) for x in range(1, 256)])
 
 
-def _slots(order: int, last: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """last: the bytes before, packed, the nearest lowest."""
-    key = (last & np.uint64((1 << 8 * min(order + 1, 4)) - 1)) << np.uint64(8) | node
+def _context(order: int, last: np.ndarray) -> np.ndarray:
+    """Hash of a context; last: the bytes before, packed, the nearest lowest."""
+    key = last & np.uint64((1 << 8 * min(order + 1, 4)) - 1)
     if order == 0:
-        return key.astype(np.int64)
+        return key << np.uint64(8)
     h = (key + np.uint64(order << 48)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h
+
+
+def _slots(order: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Slots of the bits that follow `node`, the bits seen of a byte, in a context."""
+    if order == 0:
+        return (context | node).astype(np.int64)
+    h = (context + node * np.uint64(0x94D049BB133111EB)) * np.uint64(0xBF58476D1CE4E5B9)
     return (h >> np.uint64(64 - BITS[order])).astype(np.int64) + _AT[order]
 
 
@@ -137,15 +144,13 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat, start = _flat(own.column(0))
             c = np.repeat(own.column(1).to_numpy().astype(np.float64), np.diff(start))
             (last, place), some = _last4(flat, start), True
-            early = place < 4
-            for k in range(8):
-                node = (np.uint64(1 << k) | (flat.astype(np.uint64) >> np.uint64(8 - k)))
-                bit = (flat >> (7 - k)) & 1
-                for o in range(5):
-                    q = slice(None) if o < 3 else ~early if o == 3 else early
-                    i = _slots(o, last[q], node[q]) * 2 + bit[q]
-                    lo, hi = 2 * _AT[o], 2 * _AT[o + 1]
-                    n[lo:hi] += np.bincount(i - lo, c[q], hi - lo).astype(np.float32)
+            for o in range(5):
+                q = slice(None) if o < 3 else np.flatnonzero((place >= 4) if o == 3 else (place < 4))
+                context, byte, weight = _context(o, last[q]), flat[q], c[q]
+                lo, hi = 2 * _AT[o], 2 * _AT[o + 1]
+                for k in range(8):
+                    i = _slots(o, context, np.uint64(1 << k) | (byte >> np.uint8(8 - k) if k else np.zeros(1, np.uint8)).astype(np.uint64))
+                    n[lo:hi] += np.bincount(i * 2 + ((byte >> (7 - k)) & 1) - lo, weight, hi - lo).astype(np.float32)
     if some:
         for p in range(PARTS):
             own = n[2 * p * _PER : 2 * (p + 1) * _PER]
@@ -281,6 +286,7 @@ def _walk(words: pa.Array, c: np.ndarray, table: np.ndarray, mixer: Mixer | None
         for k in range(1, min(j, 4) + 1):
             last |= m[act, j - k].astype(np.uint64) << np.uint64(8 * (k - 1))
         byte, own = m[act, j], weight[act]
+        contexts = [(o, _context(o, last)) for o in (0, 1, 2, 3 if j >= 4 else 4)]
         for k in range(8):
             run = shared[act] < 8 * j + k
             pos = np.flatnonzero(run)
@@ -289,8 +295,8 @@ def _walk(words: pa.Array, c: np.ndarray, table: np.ndarray, mixer: Mixer | None
             w1 = np.add.reduceat(own * bit, pos)
             node = (1 << k) | (byte[pos].astype(np.int64) >> (8 - k))
             n0, n1 = [], []
-            for o in (0, 1, 2, 3 if j >= 4 else 4):
-                i = 2 * _slots(o, last[pos], node.astype(np.uint64))
+            for o, context in contexts:
+                i = 2 * _slots(o, context[pos], node.astype(np.uint64))
                 n0.append(table[i])
                 n1.append(table[i + 1])
             deep = j >= 4
@@ -312,9 +318,10 @@ def _walk(words: pa.Array, c: np.ndarray, table: np.ndarray, mixer: Mixer | None
         last = np.zeros(len(q), np.uint64)
         for k in range(1, 5):
             last |= flat[q - k].astype(np.uint64) << np.uint64(8 * (k - 1))
+        contexts = [_context(o, last) for o in range(4)]
         for k in range(8):
             node = (1 << k) | (flat[q].astype(np.int64) >> (8 - k))
-            i = [2 * _slots(o, last, node.astype(np.uint64)) for o in range(4)]
+            i = [2 * _slots(o, x, node.astype(np.uint64)) for o, x in enumerate(contexts)]
             none = np.zeros(len(q), np.float32)
             l0, l1 = _costs(model, [table[x] for x in i] + [none], [table[x + 1] for x in i] + [none], True, node)
             np.add.at(total, owner[q], np.where((flat[q] >> (7 - k)) & 1, l1, l0))
