@@ -25,6 +25,7 @@ from . import common as C
 
 SAMPLE = 20_000
 HIDDEN = 16
+SLICE = 400_000  # bytes of text that are described at once
 _GRAPH = C.lut_of("graph")
 #: byte classes: a-z, A-Z, digits, from 0x80, sentence marks, other marks
 _KIND = np.full(256, 6, np.int64)
@@ -150,7 +151,7 @@ def learn(pos: np.ndarray, neg: np.ndarray, unl: np.ndarray, steps: int = 1500)
 
 def _matrix(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
     offsets, raw = C.buffers(C.text_column(batch, "text"))
-    for a, b in C.slices(offsets):
+    for a, b in C.slices(offsets, SLICE):
         yield a, b, text_features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 

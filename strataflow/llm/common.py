@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
