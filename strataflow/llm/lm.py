@@ -136,7 +136,7 @@ def _count(batches: Iterator[pa.RecordBatch], langs: dict[str, int]) -> Iterator
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of bits by slot, of all training words of a task, as compressed parts."""
-    n = np.zeros(2 * SLOTS, np.float32)
+    n = np.zeros(2 * SLOTS)
     some = False
     for batch in batches:
         for a in range(0, batch.num_rows, 100_000):
@@ -147,13 +147,12 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for o in range(5):
                 q = slice(None) if o < 3 else np.flatnonzero((place >= 4) if o == 3 else (place < 4))
                 context, byte, weight = _context(o, last[q]), flat[q], c[q]
-                lo, hi = 2 * _AT[o], 2 * _AT[o + 1]
                 for k in range(8):
                     i = _slots(o, context, np.uint64(1 << k) | (byte >> np.uint8(8 - k) if k else np.zeros(1, np.uint8)).astype(np.uint64))
-                    n[lo:hi] += np.bincount(i * 2 + ((byte >> (7 - k)) & 1) - lo, weight, hi - lo).astype(np.float32)
+                    np.add.at(n, i * 2 + ((byte >> (7 - k)) & 1), weight)
     if some:
         for p in range(PARTS):
-            own = n[2 * p * _PER : 2 * (p + 1) * _PER]
+            own = n[2 * p * _PER : 2 * (p + 1) * _PER].astype(np.float32)
             at = np.flatnonzero(own).astype(np.int32)
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(pickle.dumps((at, own[at])), 1)], pa.binary())], names=["part", "v"])
