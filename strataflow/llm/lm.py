@@ -281,6 +281,8 @@ def _walk(words: pa.Array, c: np.ndarray, table: np.ndarray, mixer: Mixer | None
         act = act[held[act] > j]
         if not len(act):
             break
+        if mixer is not None and j < 4:
+            continue  # nothing is learned from a word's first bytes
         last = np.zeros(len(act), np.uint64)
         for k in range(1, min(j, 4) + 1):
             last |= m[act, j - k].astype(np.uint64) << np.uint64(8 * (k - 1))
@@ -302,7 +304,7 @@ def _walk(words: pa.Array, c: np.ndarray, table: np.ndarray, mixer: Mixer | None
             n0.append((w - w1).astype(np.float32) * np.float32(deep))
             n1.append(w1.astype(np.float32) * np.float32(deep))
             if mixer is not None:
-                for a in range(0, len(pos) if deep else 0, 50_000):
+                for a in range(0, len(pos), 50_000):
                     v = np.stack([(w - w1)[a : a + 50_000], w1[a : a + 50_000]], 1).reshape(-1)
                     at = np.flatnonzero(v > 0)
                     q, y = a + at // 2, (at % 2).astype(np.float32)
