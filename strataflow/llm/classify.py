@@ -3,9 +3,9 @@
 A text becomes counts of bytes and words (no language, source or id).  A small network is fitted on the
 driver to two bounded samples, trusted positives and unlabelled texts, each the `sample` rows of the smallest
 hash: it minimises the non-negative unbiased risk  pi R+(f) + max(0, Ru-(f) - pi R+-(f))  of the logistic
-loss, where pi is the estimated class prior: the share of label 1 among labelled rows, or, where no label 0
+loss, where pi is the estimated class prior: the share of label 1 among all labelled rows, or, where no label 0
 exists, the mean of a first fit over unlabelled rows divided by its mean over positives.  A line fitted to the
-labelled sample turns f into a score.
+labelled samples, each row weighing as many rows as it stands for, turns f into a score.
 
 Null texts are empty and get a score like any other.  Without positive labels every score is 0.5.  Several
 labels of one document count as their mean.  Rows of equal text get equal scores.
@@ -90,15 +90,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.line[0] * self.raw(x) + self.line[1], -30, 30)))
 
 
-def _descend(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int, seed: int = 7) -> tuple:
-    """Adam on the non-negative risk; without a prior, on the plain risk of positives against unlabelled rows."""
+def _descend(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int, seed: int = 7, share: np.ndarray | None = None) -> tuple:
+    """Adam on the non-negative risk; without a prior, on the plain risk of positives against unlabelled rows.
+
+    share: how often each unlabelled row is drawn; without it, all alike."""
     rng = np.random.default_rng(seed)
     d = pos.shape[1]
     p = [rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for k in range(1, steps + 1):
-        a, b = pos[rng.integers(0, len(pos), 1024)], unl[rng.integers(0, len(unl), 2048)]
+        a, b = pos[rng.integers(0, len(pos), 1024)], unl[rng.integers(0, len(unl), 2048) if share is None else rng.choice(len(unl), 2048, p=share)]
         x = np.concatenate([a, b])
         h = np.tanh(x @ p[0] + p[1])
         f = h @ p[2] + p[3][0]
@@ -122,28 +124,33 @@ def _descend(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int,
     return p
 
 
-def learn(pos: np.ndarray, neg: np.ndarray, unl: np.ndarray, steps: int = 1500) -> Model | None:
+def learn(pos: np.ndarray, neg: np.ndarray, unl: np.ndarray, steps: int = 1500, counts: tuple[int, int] | None = None) -> Model | None:
+    """counts: of all rows of label 1 and of label 0, of which pos and neg are samples."""
     if not len(pos):
         return None
+    n_pos, n_neg = counts or (len(pos), len(neg))
+    each = np.r_[np.full(len(pos), n_pos / len(pos)), np.full(len(neg), n_neg / max(len(neg), 1))]
+    share = None if len(unl) else each / each.sum()
     unl = unl if len(unl) else np.concatenate([pos, neg])
     every = np.concatenate([pos, unl])
     mean, scale = every.mean(0), every.std(0) + 1e-3
     z = lambda x: np.clip((x - mean) / scale, -8, 8)
     if len(neg):
-        prior = len(pos) / (len(pos) + len(neg))
+        prior = n_pos / (n_pos + n_neg)
     else:
-        p = _descend(z(pos), z(unl), None, steps)
+        p = _descend(z(pos), z(unl), None, steps, share=share)
         g = lambda x: (1 / (1 + np.exp(-np.clip(np.tanh(z(x) @ p[0] + p[1]) @ p[2] + p[3][0], -30, 30)))).mean()
         prior = min(0.99, max(0.01, g(unl) / g(pos)))
-    p = _descend(z(pos), z(unl), min(prior, 0.99), steps)
+    p = _descend(z(pos), z(unl), min(prior, 0.99), steps, share=share)
     model = Model(mean, scale, p[0], p[1], p[2], float(p[3][0]), (1.0, 0.0), prior)
-    if len(neg):  # a line through the labelled sample, by Newton steps
+    if len(neg):  # a line through the labelled samples at the rates of all labelled rows, by Newton steps
         x = np.concatenate([model.raw(pos), model.raw(neg)])
         y = np.r_[np.ones(len(pos)), np.zeros(len(neg))]
         a, t = np.stack([x, np.ones(len(x))], 1), np.array([1.0, 0.0])
+        u = each / each.mean()
         for _ in range(25):
             q = 1 / (1 + np.exp(-np.clip(a @ t, -30, 30)))
-            t = t - np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a / len(x) + 1e-3 * np.eye(2), a.T @ (q - y) / len(x) + 1e-3 * (t - [1, 0]))
+            t = t - np.linalg.solve((a * (u * q * (1 - q))[:, None]).T @ a / len(x) + 1e-3 * np.eye(2), a.T @ (u * (q - y)) / len(x) + 1e-3 * (t - [1, 0]))
         if t[0] > 0:
             model.line = (float(t[0]), float(t[1]))
     return model
@@ -185,7 +192,7 @@ def fit(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | No
         return [r[0] for r in rows.where(cond).where(place < cut).orderBy(place, "doc_id").select("x").limit(sample).collect()]
 
     pos, neg, unl = (np.array(take(c, n), float).reshape(-1, N_FEATURES) for c, n in zip(conds, counts, strict=True))
-    return learn(pos, neg, unl)
+    return learn(pos, neg, unl, counts=(counts[0], counts[1]))
 
 
 def scored(feats: DataFrame, model: Model | None) -> DataFrame:

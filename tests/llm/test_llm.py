@@ -367,6 +367,24 @@ def test_quality(spark):
     assert 0.5 < positive.prior < 0.99
 
 
+def test_quality_of_capped_samples(spark):
+    texts, y = labelled(spark)
+    labels = spark.createDataFrame([(i, v) for i, v in enumerate(y)], "doc_id long, quality int")
+    own = [v for i, v in enumerate(y) if zlib.crc32(str(i).encode()) % 3 != 1]
+    feats = common.written(classify.features(frame(spark, texts)), "features")
+    assert classify.fit(feats, labels, sample=50).prior == pytest.approx(np.mean(own))
+
+
+def test_quality_line_at_the_rates_of_all_rows():
+    # the two kinds overlap; two samples of 1,000 stand for 9,000 and 1,000 rows
+    rng = np.random.default_rng(3)
+    kind = lambda n, at: np.clip(rng.normal(at, 1, (n, classify.N_FEATURES)) * (np.arange(classify.N_FEATURES) == 0), -3, 3)
+    pos, neg = kind(1000, 0.5), kind(1000, -0.5)
+    for unl in (np.concatenate([kind(9000, 0.5), kind(1000, -0.5)]), np.zeros((0, classify.N_FEATURES))):
+        m = classify.learn(pos, neg, unl, steps=300, counts=(9000, 1000))
+        assert 0.9 * m.score(pos).mean() + 0.1 * m.score(neg).mean() == pytest.approx(0.9, abs=0.02)
+
+
 def test_quality_without_labels(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert classify.fit(classify.features(docs), labels) is None
