@@ -434,7 +434,11 @@ class Model:
                 break
             least = lv
         classes = self.classes or [(0, 0, 1, 0.0)]
-        s = [F.log10((F.col("ck")[k] + F.lit(t) * F.pow(F.lit(10.0), "s")) / F.lit(n + t)) for k, n, t, _ in classes]
+        # of a long word 10**s may be 0, of which there is no logarithm; without a count it isn't needed
+        s = [
+            F.when(F.col("ck")[k] > 0, F.log10((F.col("ck")[k] + F.lit(t) * F.pow(F.lit(10.0), "s")) / F.lit(n + t))).otherwise(F.col("s") + F.lit(float(np.log10(t / (n + t)))))
+            for k, n, t, _ in classes
+        ]
         own = self.words.select("word", "c", "t", F.array(*s).alias("s"))
         some = own.where(level >= F.lit(2e9 if least is None else least)).select("word", "c", "s").toArrow()
         norm = float(np.log10(self.tokens + 0.1 * (self.vocabulary + 1)))

@@ -130,6 +130,27 @@ def test_lm_gives_probabilities(spark, docs):
     assert sum(10**s for s in words.values()) <= 1.0001
 
 
+def test_lm_of_long_words(spark):
+    """A word whose probability is below the smallest double, unseen in a class or in all."""
+    r = random.Random(4)
+    long = ["".join(r.choices("QxZ7+/kj0W", k=600)) for _ in range(2)]
+    texts = ["the cat sat on the mat", "le chat noir", f"a {long[0]} b", f"the {long[1]} cat"] * 5
+    rows = [(i, t, "fr" if i % 4 == 1 else "en") for i, t in enumerate(texts) if i % 4 < 3 or zlib.crc32(str(i).encode()) % 10 == 0]
+    far = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    docs = spark.createDataFrame([*rows, (far, texts[3], "en")], "doc_id long, text string, lang string")
+    for frequent in (10**6, 1):
+        m = lm.Model(docs, frequent=frequent)
+        words = {bytes(x.word): x for x in m.words.collect()}
+        assert min(x.s for x in words.values()) < -400
+        for x in m.score().where(F.col("doc_id").isin(2, far)).collect():
+            each = []
+            for k, n, t, share in m.classes:
+                own = [words[w] for w in [*texts[2 if x.doc_id == 2 else 3].lower().encode().split(), b""]]
+                each.append(share + sum(math.log10((w.ck[k] + t * 10**w.s) / (n + t)) if w.ck[k] else w.s + math.log10(t / (n + t)) for w in own))
+            most = max(each)
+            assert x.score == pytest.approx(most + math.log10(sum(10 ** (e - most) for e in each)), rel=1e-9)
+
+
 def test_lm_of_nothing(none):
     assert lm.Model(none).score().count() == 0
 
