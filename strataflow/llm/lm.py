@@ -14,7 +14,8 @@ bits' probability and T its distinct words.  The class of a text being scored is
 classes' ones, weighted by how frequent they are, which is the same as gating each word by what the words before it say.
 
 As contexts don't cross words, the bits of a distinct word are coded once: words are counted over the whole corpus,
-dealt by their first four bytes so that a prefix's words meet, and coded as a bitwise trie.  Context
+dealt by their first four bytes so that a prefix's words meet, and coded as a bitwise trie; where a trie is cut, both
+pieces keep the counts of the prefixes that they share.  Context
 tables have a fixed size and are broadcast, and so are at most FREQUENT words with their scores; all other words
 of the documents meet their scores by a shuffled join.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import tempfile
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -257,9 +259,8 @@ def _costs(m: tuple[np.ndarray, np.ndarray], n0, n1, deep: bool, node: np.ndarra
     return np.log10(1 - p), np.log10(p)
 
 
-def _walk(words: pa.Array, c: np.ndarray, table: np.ndarray, mixer: Mixer | None, model=None) -> np.ndarray | None:
-    """Learns from the sorted words (mixer), or gives the log10 probability of each (model)."""
-    flat, start = _flat(words)
+def _bits(flat: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' first bytes as a matrix, and how many bits each shares with the word before it."""
     size = np.diff(start)
     n, width = len(size), int(min(size.max(), HEAD))
     m = np.zeros((n, width), np.uint8)
@@ -273,6 +274,20 @@ def _walk(words: pa.Array, c: np.ndarray, table: np.ndarray, mixer: Mixer | None
         col = (diff != 0).argmax(1)
         first = diff[np.arange(n - 1), col]
         shared[1:] = np.where(first == 0, 8 * width, 8 * col + _CLZ[first])
+    return m, shared
+
+
+def _walk(words: pa.Array, c: np.ndarray, beside: tuple[np.ndarray, np.ndarray] | None, table: np.ndarray, mixer: Mixer | None, model=None) -> np.ndarray | None:
+    """Learns from the sorted words (mixer), or gives the log10 probability of each (model).
+
+    beside: counts of words of other pieces, by the bits they share with the first and with the last word here."""
+    flat, start = _flat(words)
+    size = np.diff(start)
+    m, shared = _bits(flat, start)
+    n, width = m.shape
+    place = np.arange(len(flat)) - np.repeat(start[:-1], size)
+    owner = np.repeat(np.arange(n), size)
+    inside = place < width
     total = np.zeros(n)
     act = np.arange(n)
     held = np.minimum(size, width)
@@ -301,8 +316,14 @@ def _walk(words: pa.Array, c: np.ndarray, table: np.ndarray, mixer: Mixer | None
                 n0.append(table[i])
                 n1.append(table[i + 1])
             deep = j >= 4
-            n0.append((w - w1).astype(np.float32) * np.float32(deep))
-            n1.append(w1.astype(np.float32) * np.float32(deep))
+            a0, a1 = w - w1, w1.copy()
+            for at, word, x in ((0, 0, beside[0]), (-1, n - 1, beside[1])) if beside else ():
+                if act[at] == word:  # others of this prefix have the word's bit where they share more, else the other one
+                    more, d = x[8 * j + k + 1 :].sum(), x[8 * j + k]
+                    a0[at] += d if bit[at] else more
+                    a1[at] += more if bit[at] else d
+            n0.append(a0.astype(np.float32) * np.float32(deep))
+            n1.append(a1.astype(np.float32) * np.float32(deep))
             if mixer is not None:
                 for a in range(0, len(pos), 50_000):
                     v = np.stack([(w - w1)[a : a + 50_000], w1[a : a + 50_000]], 1).reshape(-1)
@@ -329,8 +350,9 @@ def _walk(words: pa.Array, c: np.ndarray, table: np.ndarray, mixer: Mixer | None
     return total if mixer is None else None
 
 
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted rows in pieces of about TRIE words, cut where the first four bytes change if that is possible."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """Sorted rows in pieces of about TRIE words, cut where the first four bytes change if that is possible, and whether
+    the next piece goes on with the same four."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -338,16 +360,74 @@ def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             continue
         held.append(batch)
         n += batch.num_rows
-        while n >= TRIE:
+        while n > TRIE:
             t = pa.Table.from_batches(held).combine_chunks()
             head = pc.binary_slice(t.column("word").combine_chunks(), 0, 4)
             change = np.flatnonzero(pc.not_equal(head.slice(1), head.slice(0, len(head) - 1)).to_numpy(zero_copy_only=False)) + 1
             near = change[change <= TRIE] if len(change) else change
             cut = int(near[-1]) if len(near) else TRIE
-            yield t.slice(0, cut)
+            yield t.slice(0, cut), not len(near)
             held, n = t.slice(cut).to_batches(), t.num_rows - cut
     if n:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield pa.Table.from_batches(held).combine_chunks(), False
+
+
+def _within(x: np.ndarray, most: int) -> np.ndarray:
+    """Counts by shared bits, seen from a word that shares `most` bits with the one they were taken from."""
+    out = x.copy()
+    out[most] += out[most + 1 :].sum()
+    out[most + 1 :] = 0
+    return out
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Bits that two words share in the trie."""
+    return int(_bits(*_flat(pa.array([a, b], pa.binary())))[1][1])
+
+
+def _border(t: pa.Table) -> tuple[bytes, bytes, int, np.ndarray, np.ndarray]:
+    """First and last word, the bits they share, and the counts of all words by the bits shared with each of the two."""
+    words, c = _col(t, "word"), _col(t, "c").to_numpy()
+    near = np.minimum(_bits(*_flat(words))[1][1:], 8 * HEAD)
+    far = np.array([8 * HEAD])
+    first, last = np.minimum.accumulate(np.r_[far, near]), np.minimum.accumulate(np.r_[near, far][::-1])[::-1]
+    return words[0].as_py(), words[-1].as_py(), int(first[-1]), *(np.bincount(x, c, 8 * HEAD + 1) for x in (first, last))
+
+
+def _beside(borders: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of the pieces in a row, the counts of those before it and of those behind it."""
+    left, right = [np.zeros(8 * HEAD + 1)], [np.zeros(8 * HEAD + 1)]
+    common = [_common(a[1], b[0]) for a, b in zip(borders, borders[1:])]
+    for (_, _, own, _, last), most in zip(borders, common):
+        left.append(_within(last + _within(left[-1], own), most))
+    for (_, _, own, first, _), most in zip(borders[:0:-1], common[::-1], strict=True):
+        right.append(_within(first + _within(right[-1], own), most))
+    return list(zip(left, right[::-1], strict=True))
+
+
+def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, tuple[np.ndarray, np.ndarray] | None]]:
+    """Pieces with the counts beside them. Pieces of one beginning wait in a temporary file until all are counted."""
+    pieces = _pieces(batches)
+    for t, more in pieces:
+        if not more:
+            yield t, None
+            continue
+        with tempfile.TemporaryFile() as file:
+            borders, sizes = [], []
+            with pa.ipc.new_stream(file, t.schema) as out:
+                while True:
+                    borders.append(_border(t))
+                    own = t.to_batches()
+                    sizes.append(len(own))
+                    for batch in own:
+                        out.write_batch(batch)
+                    if not more:
+                        break
+                    t, more = next(pieces)
+            file.seek(0)
+            read = pa.ipc.open_stream(file)
+            for k, beside in zip(sizes, _beside(borders), strict=True):
+                yield pa.Table.from_batches([read.read_next_batch() for _ in range(k)]).combine_chunks(), beside
 
 
 def _col(t: pa.Table, name: str) -> pa.Array:
@@ -383,15 +463,15 @@ class Model:
             table[2 * p * _PER : 2 * (p + 1) * _PER] = np.frombuffer(v, np.float32)
         held = spark.sparkContext.broadcast(table)
         deal = max(1, -(-types // TRIE))
-        near = self.types.repartition(deal, F.xxhash64(F.substring("word", 1, 4))).sortWithinPartitions("word")
+        # in the order of what is coded: each word with its final space
+        dealt = lambda df: df.repartition(deal, F.xxhash64(F.substring("word", 1, 4))).sortWithinPartitions(F.expr("concat(word, X'20')"))
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mixer = Mixer()
-            for t in _tries(batches):
-                t = t.filter(pc.greater(t.column("c"), 0)).combine_chunks()
-                for epoch in range(EPOCHS if t.num_rows else 0):
+            for t, beside in _tries(batches):
+                for epoch in range(EPOCHS):
                     mixer.map = epoch == EPOCHS - 1
-                    _walk(_col(t, "word"), _col(t, "c").to_numpy(), held.value, mixer)
+                    _walk(_col(t, "word"), _col(t, "c").to_numpy(), beside, held.value, mixer)
             if mixer.seen:
                 start = Mixer()
                 v = pickle.dumps((np.einsum("gij,gj->gi", mixer.h, mixer.w), mixer.h, mixer.hit - start.hit, mixer.all - start.all))
@@ -406,7 +486,7 @@ class Model:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([pickle.dumps(got)], pa.binary())], names=["part", "v"])
 
-        learned = near.mapInArrow(learn, "part int, v binary").repartition(4, "part").mapInArrow(add, "part int, v binary").collect()
+        learned = dealt(self.types.where("c > 0").select("word", "c")).mapInArrow(learn, "part int, v binary").repartition(4, "part").mapInArrow(add, "part int, v binary").collect()
         mixer = Mixer()
         if learned:
             # the tasks' weights, each gate's averaged by the curvature behind them
@@ -416,11 +496,11 @@ class Model:
         model = (mixer.w, mixer.refine())
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in _tries(batches):
-                s = _walk(_col(t, "word"), _col(t, "c").to_numpy(), held.value, None, model)
+            for t, beside in _tries(batches):
+                s = _walk(_col(t, "word"), _col(t, "c").to_numpy(), beside, held.value, None, model)
                 yield from pa.table([t.column("word"), t.column("c"), t.column("t"), pa.array(s), t.column("ck")], names=["word", "c", "t", "s", "ck"]).to_batches(50_000)
 
-        self.words = C.written(near.mapInArrow(score, "word binary, c long, t long, s double, ck array<long>"), "scored")
+        self.words = C.written(dealt(self.types).mapInArrow(score, "word binary, c long, t long, s double, ck array<long>"), "scored")
         self.frequent = frequent
 
     def score(self) -> DataFrame:

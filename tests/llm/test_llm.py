@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,40 @@ def test_lm_of_long_words(spark):
             assert x.score == pytest.approx(most + math.log10(sum(10 ** (e - most) for e in each)), rel=1e-9)
 
 
+def test_lm_of_cut_tries(monkeypatch):
+    """Pieces of a beginning have the scores, and the bits to learn from, of one trie."""
+    r = random.Random(6)
+    tail = lambda k: bytes(r.choices(b"abcx\x01\xc3", k=k))
+    words = {b"http" + tail(r.randrange(9)) for _ in range(300)} | {b"www." + tail(3) for _ in range(60)} | {b"x" * 60 + tail(2) for _ in range(20)} | {tail(2) for _ in range(9)} | {b""}
+    words = sorted(words, key=lambda w: w + b" ")
+    c = [r.choice([0, 1, 2, 9]) for _ in words]
+    table = np.random.default_rng(1).integers(0, 50, 2 * lm.PARTS * lm._PER).astype(np.float32)
+    model = lm.Mixer()
+    model = (model.w, model.refine())
+    seen = []
+    monkeypatch.setattr(lm, "_learn", lambda m, n0, n1, deep, y, weight, node: seen.extend(zip(*n0, *n1, y, node, weight, strict=True)))
+
+    def run(most, size):
+        monkeypatch.setattr(lm, "TRIE", most)
+        seen.clear()
+        rows = pa.table({"word": pa.array(words, pa.binary()), "c": c})
+        total, n = [], 0
+        for t, beside in lm._tries(iter(rows.to_batches(size))):
+            own = t.column("word").combine_chunks(), t.column("c").to_numpy()
+            total, n = [*total, *lm._walk(*own, beside, table, None, model)], n + 1
+            lm._walk(*own, beside, table, lm.Mixer())
+        by = Counter()
+        for *x, weight in seen:
+            by[tuple(map(float, x))] += float(weight)
+        return total, by, n
+
+    want, bits, n = run(10**6, 10**6)
+    assert n == 1
+    for most in (1, 7, 40, 100):
+        total, by, n = run(most, 13)
+        assert n >= len(words) // most and total == pytest.approx(want, rel=1e-9) and by == bits
+
+
 def test_lm_of_nothing(none):
     assert lm.Model(none).score().count() == 0
 
