@@ -186,6 +186,25 @@ def test_lm_of_cut_tries(monkeypatch):
         assert n >= len(words) // most and total == pytest.approx(want, rel=1e-9) and by == bits
 
 
+def test_lm_classes_of_whole_training_texts(spark):
+    clean, junk = "word " * 300, "a### b$$$ " * 400
+    docs = spark.createDataFrame([(1, clean + junk, "en"), (2, junk[:1500] + clean * 5, "en")], "doc_id long, text string, lang string")
+    assert not {x for x in (1, 2) if zlib.crc32(str(x).encode()) % 10 == 0}
+    ck = {bytes(x.word): list(x.ck) for x in lm.Model(docs).words.collect()}
+    assert ck[b"a###"] == [150, 400, 0, 0] and ck[b"word"] == [1500, 300, 0, 0]
+    for text in ("a b$c $ $$x\x0b$y, z\t", "", " \n", "é$ ü # ab"):
+        words = text.encode().split()
+        n = sum(any(x not in b"0123456789abcdefghijklmnopqrstuvwxyz.,;:'\"()?-" and x < 128 for x in w) for w in words)
+        assert lm._odd(text.encode(), len(words)) == (10 * n > 3 * len(words))
+
+
+def test_lm_ranks_languages_of_training_rows(spark):
+    out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, "ab cd", "xx") for i in out] + [(i, "ab cd", lang) for i, lang in zip((i for i in range(200) if i not in out), ["a", "b", "c", "d"] * 2)]
+    classes = lm.Model(spark.createDataFrame(rows, "doc_id long, text string, lang string")).classes
+    assert [k for k, *_ in classes] == [0, 2, 4, 6]
+
+
 def test_lm_of_nothing(none):
     assert lm.Model(none).score().count() == 0
 
