@@ -1,13 +1,19 @@
 """Main-text extraction by tag-path ratios.
 
-A page becomes its text nodes in page order, each with the path of block elements from the root.  Per path,
-text length and punctuation are summed over its nodes and divided by their number; both ratios are smoothed
-over the sequence of nodes by a Gaussian and fused by their geometric mean, and nodes whose fused ratio is
-at least a share of its spread are content.  The smallest element that holds most of the content's text is
-the article; every text node in it is output, whatever its own ratio, unless an element between it and the
-article marks it as a menu, header, footer, sidebar, notice, advert, form or comment list.
-
-Null or empty html: empty text.  A page without any content path: empty text.
+A page becomes its text nodes in page order, each with the path of block elements (tag and class) from the root.  Per
+path the text outside links and the punctuation are summed over its nodes and divided by their number.  Text
+counts by what its path is: less where it stands bare in a container, next to nothing below a landmark (navigation, footer, comments).  Both ratios are
+smoothed over the sequence of nodes by a Gaussian; a path's fused ratio is the geometric mean of its own and its nodes' smoothed
+ratios, times the logarithm of its whole text.
+
+The path of the greatest fused ratio is the page's measure, and the smallest element that holds its nodes the article.
+A path is content where its fused ratio reaches a share of that measure: a small one for paragraphs, headings, list items and cells
+within the article, a large one for bare text in it and for everything outside or below a landmark.  The text is that of all nodes of
+content paths.  Only scripts, styles, forms and what is declared hidden are left out beforehand.
+
+Null or empty html: empty text, as for a page without any text outside links.  Texts of any length are read whole;
+repeated pages give repeated rows, an empty table none; columns besides html_col and keep are ignored, and keep may name
+columns called like those that come out only if they aren't `text` or `n_chars`.
 """
 
 from __future__ import annotations
@@ -22,77 +28,82 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: fixed values: elements whose text is never shown, that have no end tag, that don't break a line
-_SILENT = ("script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "textarea", "select", "math", "canvas", "audio", "video")
+_SILENT = ("script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "textarea", "select", "button", "form", "canvas", "audio", "video")
 _RAW = ("script", "style", "textarea", "title", "iframe", "noscript", "xmp")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split())
 #: fixed values: what an open element of the left is closed by
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SCOPE = frozenset("ul ol dl table article section main body div td th aside nav".split())
-#: fixed values: elements and name parts of what isn't the article
-_ASIDE = frozenset("nav aside footer form menu dialog button fieldset header".split())
+#: fixed values: elements that hold prose, and marks of what isn't the article
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th caption figcaption blockquote pre".split())
+_LANDMARKS = frozenset("nav aside footer menu dialog header".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot banner banners sponsor sponsored sponsors promo promotion promoted nav navbar navigation navi menu menus breadcrumb breadcrumbs sidebar sidebars sidebox aside footer foot masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets comment comments commentlist disqus reply replies respond discussion pagination pager toolbar copyright disclaimer skip hidden header topbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PART = re.compile(r"[a-z]+")
+_NAMES = frozenset("ad ads advert advertisement nav navbar menu breadcrumb breadcrumbs sidebar footer cookie cookies consent newsletter share related comment comments commentlist comment-list disqus_thread respond pagination".split())
+_ATTRS = r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*){_ATTRS}(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PUNCT = re.compile(r"[.,;:!?…。、，；：！？¿¡\"'()«»„“”’]")
 _END_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
 
+#: what text counts for: bare in a container, below a landmark
+BARE, LANDMARK = 0.1, 0.05
+#: shares of the page's measure from which a path is content
+WITHIN, LOOSE, OUTSIDE = 0.001, 0.35, 0.5
 
-_WITH = re.compile(r"\b(?:with|has|no|without)[-_][a-z]+")
-_TITLE = frozenset(("header", "masthead", "topbar"))
 
+def _attributes(attrs: str) -> dict[str, str]:
+    return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)} if attrs else {}
 
-def _marked(tag: str, attrs: str, inside: bool) -> bool:
-    """inside: within an article, where a header is the article's own."""
-    if tag in _ASIDE and not (inside and tag == "header"):
+
+def _hidden(a: dict[str, str]) -> bool:
+    return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+
+
+def _landmark(tag: str, a: dict[str, str], in_article: bool) -> bool:
+    """in_article: where a header is the article's own."""
+    if tag in _LANDMARKS and not (in_article and tag == "header") or a.get("role", "").lower() in _ROLES:
         return True
-    if len(attrs) < 4 or tag in ("html", "body"):
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id"):
-            found = _NAMES.intersection(_PART.findall(_WITH.sub("", value)))
-            if found - _TITLE if inside else found:
-                return True
-    return False
+    return not _NAMES.isdisjoint([*a.get("class", "").lower().split(), a.get("id", "").lower()])
 
 
 class Page:
-    """Text nodes of a page: texts (with white space as it is), the open element of each, and the element tree."""
+    """Text nodes of a page: texts (with white space as it is), the characters of each that are in links, the open element
+    of each, and the element tree."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.off, self.path, self.article = [-1], ["#root"], [False], [0], [False]
+        self.parent, self.tag, self.path = [-1], ["#root"], [0]
+        self.off, self.aside, self.article = [False], [False], [False]
         self.texts: list[list[str]] = []
+        self.linked: list[int] = []
         self.owner: list[int] = []
-        paths: dict[tuple[int, str, str], int] = {}
-        stack, at, end, node = [0], 0, len(source), None
+        paths: dict[tuple, int] = {}
+        stack, at, end, node, link = [0], 0, len(source), None, 0
         while at < end:
             m = _TOKEN.search(source, at)
             text = source[at : m.start() if m else end]
             if text:
                 if node is None:
-                    node = [text]
+                    node = []
                     self.texts.append(node)
                     self.owner.append(stack[-1])
-                else:
-                    node.append(text)
+                    self.linked.append(0)
+                node.append(text)
+                if link:
+                    self.linked[-1] += len(text)
             if not m:
                 break
             at = m.end()
-            if not m[2]:
+            closing, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            if not tag:
                 continue
-            tag, closing, attrs = m[2].lower(), bool(m[1]), m[3]
-            if tag in ("br", "wbr", "img", "input"):
+            tag = tag.lower()
+            if tag in _VOID:
                 if tag == "br" and node is not None:
                     node.append(" ")
+                elif tag not in ("wbr", "img", "input"):
+                    node = None
                 continue
             if not closing and tag in _SILENT:
                 if attrs.rstrip().endswith("/") and tag not in _RAW:
@@ -105,17 +116,14 @@ class Page:
                 else:
                     at = end if tag in _RAW else at
                 continue
-            if tag in _VOID:
-                node = None
-                continue
-            mark = not closing and _marked(tag, attrs, self.article[stack[-1]])
-            if tag in _INLINE and not mark:
-                if closing and any(self.tag[x] == "~" + tag for x in stack[-4:]):
-                    tag = "~" + tag  # an inline element that is marked stands in the tree
+            a = {} if closing else _attributes(attrs)
+            if tag == "a":
+                link = 0 if closing else len(stack)
+            if tag in _INLINE:
+                if closing and any(self.tag[x] == "~" + tag for x in stack[-4:]) or not closing and _hidden(a):
+                    tag = "~" + tag  # a hidden inline element stands in the tree
                 else:
                     continue
-            elif tag in _INLINE:
-                tag = "~" + tag
             node = None
             if closing:
                 for k in range(len(stack) - 1, 0, -1):
@@ -124,6 +132,7 @@ class Page:
                         break
                     if tag == "p" and self.tag[stack[k]] in _SCOPE:
                         break
+                link = link if link <= len(stack) else 0
                 continue
             shut = _CLOSES.get(tag)
             if shut or tag in _ENDS_P:
@@ -134,63 +143,72 @@ class Page:
                         break
                     if t in _SCOPE:
                         break
-            if attrs and attrs.rstrip().endswith("/") and tag not in ("p", "div", "li", "a"):
+                link = link if link <= len(stack) else 0
+            if attrs and attrs.rstrip().endswith("/") and tag not in ("p", "div", "li"):
                 continue
             up = stack[-1]
-            named = _CLASS.search(attrs)
-            kind = (named[1] or named[2] or named[3] or "").lower() if named else ""
-            key = (self.path[up], tag, kind)
+            mark = tag not in ("html", "body") and _landmark(tag, a, self.article[up])
+            key = (self.path[up], tag, a.get("class", "").lower(), mark)
             stack.append(len(self.tag))
             self.parent.append(up)
             self.tag.append(tag)
-            self.off.append(self.off[up] or mark)
-            self.article.append(self.article[up] or tag == "article")
+            self.off.append(self.off[up] or _hidden(a))
+            self.aside.append(self.aside[up] or mark)
+            self.article.append(self.article[up] or tag in ("article", "main"))
             self.path.append(paths.setdefault(key, len(paths) + 1))
 
 
 def ratios(length: np.ndarray, punct: np.ndarray, path: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    """The fused and smoothed path ratio of each node."""
+    """The fused and smoothed ratio of each node's path; length: what the text counts for."""
     _, p = np.unique(path, return_inverse=True)
-    count = np.bincount(p)
-    by_len, by_punct = np.bincount(p, length) / count, np.bincount(p, punct) / count
+    count, whole = np.bincount(p), np.bincount(p, length)
+    by_len, by_punct = whole / count, np.bincount(p, punct) / count
     x = np.arange(-3, 4)
     g = np.exp(-(x**2) / (2 * sigma**2))
     g /= g.sum()
     smooth = lambda v: np.convolve(np.pad(v, 3, mode="edge"), g, mode="valid")
-    return np.sqrt(smooth(by_len[p]) * (1 + smooth(by_punct[p])))
+    own = np.sqrt(by_len * (1 + by_punct))
+    around = np.bincount(p, np.sqrt(smooth(by_len[p]) * (1 + smooth(by_punct[p])))) / count
+    return (np.sqrt(own * around) * np.log(2 + whole / 100))[p]
 
 
-def extract(source: str | None, share: float = 0.5) -> str:
+def extract(source: str | None) -> str:
     """The main text of one page."""
     if not source:
         return ""
     page = Page(source)
     texts = [" ".join(H.unescape("".join(t)).split()) for t in page.texts]
-    held = [i for i, t in enumerate(texts) if t]
-    open_ = [i for i in held if not page.off[page.owner[i]]]
-    if not open_:
+    held = [i for i, t in enumerate(texts) if t and not page.off[page.owner[i]]]
+    if not held:
         return ""
-    length = np.array([len(texts[i]) for i in open_], float)
-    punct = np.array([len(_PUNCT.findall(texts[i])) for i in open_], float)
-    fused = ratios(length, punct, np.array([page.path[page.owner[i]] for i in open_]))
-    content = fused >= share * fused.std()
-    if not content.any():
+    owner = [page.owner[i] for i in held]
+    prose = np.array([page.tag[k] in _PROSE for k in owner])
+    aside = np.array([page.aside[k] for k in owner])
+    path = np.array([page.path[k] for k in owner])
+    counts = np.where(prose, 1, BARE) * np.where(aside, LANDMARK, 1) * np.where([page.article[k] for k in owner], 2, 1)
+    length = np.array([max(0, len(texts[i]) - page.linked[i]) for i in held], float) * counts
+    if not length.any():
         return ""
-    # text of content below each element, from the leaves up
-    weight = np.zeros(len(page.tag))
-    for i, n, c in zip(open_, length, content, strict=True):
-        weight[page.owner[i]] += n * c
-    for k in range(len(page.tag) - 1, 0, -1):
-        weight[page.parent[k]] += weight[k]
-    named = [k for k, t in enumerate(page.tag) if t in ("article", "main") and not page.off[k] and weight[k] >= 0.5 * weight[0]]
-    root = max(named) if named else int(np.flatnonzero(weight >= 0.8 * weight[0]).max())
-    while page.tag[root] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") and page.parent[root] > 0:
-        root = page.parent[root]
+    punct = np.array([len(_PUNCT.findall(texts[i])) for i in held], float)
+    fused = ratios(length, punct, path)
+    best = int(fused.argmax())
+    # the smallest element that holds all nodes of the best path
+    root = None
+    for i in np.flatnonzero(path == path[best]):
+        k = page.parent[owner[i]] if prose[i] and page.parent[owner[i]] >= 0 else owner[i]
+        while root is not None and root != k:
+            if root > k:
+                root = page.parent[root]
+            else:
+                k = page.parent[k]
+        root = k
     inside = [False] * len(page.tag)
     inside[root] = True
     for k in range(root + 1, len(page.tag)):
         inside[k] = inside[page.parent[k]]
-    return " ".join(texts[i] for i in open_ if inside[page.owner[i]])
+    near = np.array([inside[k] for k in owner]) & (~aside | aside[best])
+    need = np.where(near, np.where(prose, WITHIN, LOOSE), OUTSIDE)
+    return " ".join(texts[i] for i, ok in zip(held, fused >= need * fused[best], strict=True) if ok)
 
 
 def main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -9,8 +9,9 @@ few worst filled ones (what rounding up left over); neighbours pool them and run
 packing stands where it saves bins.  This is repeated over wider neighbourhoods until the whole corpus
 meets its own bound or a round saves nothing.  Only histograms of lengths and counts reach the driver.
 
-Null text: empty, one piece of one end id.  Repeated rows are packed as often as they occur.  Empty tables
-give no rows.  Columns besides doc_id and text are ignored.
+Null text: empty, one piece of one end id.  Null and repeated ids are packed as often as they occur.  Texts of any length,
+also of one word or of white space alone, are encoded whole.  An added token's text stands for that token, as the library has it.
+Empty tables give no rows.  Columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,14 +36,16 @@ _PACKED = _PIECES + ", sequence_id long, offset long, open boolean"
 #: the split of byte-level vocabularies before merging, as the tokenizers library has it
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: characters on whose class two regex engines might differ
-_RARE = re.compile("[^\x00-\u04ff\u2010-\u2027\u20ac]")
+_RARE = "[^\x00-\u04ff\u2010-\u2027\u20ac]"
+BLANKS = 1000
 
 
 class Encoder:
     """Token ids of the tokenizers library as little-endian 32-bit bytes.
 
     Texts of common scripts are merged by tiktoken over the same vocabulary, which gives the same ids in
-    less than half the time; any text with a rarer character goes to the tokenizers library itself.
+    less than half the time.  A text with a rarer character, an added token or a run of more than BLANKS white-space
+    characters (which exhausts the other library's stack) goes to the tokenizers library itself.
     """
 
     def __init__(self, path: str):
@@ -50,8 +53,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         added = {x.content for x in self.tokenizer.get_added_tokens_decoder().values()}
+        own = "|".join(re.escape(x) for x in sorted(added))
+        self.slow = re.compile(rf"{_RARE}|\s{{{BLANKS},}}" + (f"|{own}" if own else ""))
         # the printable stand-ins of bytes: themselves where printable, else from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
@@ -59,7 +63,7 @@ class Encoder:
         self.fast = tiktoken.Encoding(path, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", self.tokenizer.encode(x, add_special_tokens=False).ids if _RARE.search(x) else self.fast.encode_ordinary(x)).tobytes() for x in texts]
+        return [array("I", self.tokenizer.encode(x, add_special_tokens=False).ids if self.slow.search(x) else self.fast.encode_ordinary(x)).tobytes() for x in texts]
 
 
 _encoder: dict[str, Encoder] = {}
@@ -193,7 +197,9 @@ def pack(rows: DataFrame, *, length: int = LENGTH, part: int = PART, rounds: int
     # a full sequence needs no search; it is numbered by its document and piece where it lies
     loose = rows.where(F.col("length") < length)
     parts = -(-int(total - hist[length]) // part) or 1
-    packed = C.written(_pack(loose.repartition(parts, F.xxhash64("doc_id", "piece")), 0, length), "packed")
+    # dealt by place, so that rows of one id (null, or repeated) are spread as any others
+    dealt = loose.withColumn("_row", F.monotonically_increasing_id()).repartition(parts, F.xxhash64("_row")).drop("_row")
+    packed = C.written(_pack(dealt, 0, length), "packed")
     count = lambda df: df.select("sequence_id").distinct().count()
     used = int(hist[length]) + count(packed)
     wide = 1

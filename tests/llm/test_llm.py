@@ -348,6 +348,9 @@ def test_sharding(spark, docs):
 P = "This is a paragraph of the article, long enough to count. It has two sentences."
 
 
+A = "<article><h1>Title</h1><p>{}</p></article><footer>foot, of a page.</footer>".format
+
+
 @pytest.mark.parametrize(
     "source, want",
     [
@@ -359,16 +362,82 @@ P = "This is a paragraph of the article, long enough to count. It has two senten
         (f"<main><p>{P}</p><div class='ad-box'>Buy</div><form><input><label>Name</label></form><p>{P}</p><section id=comments><p>Nice one, thanks for this.</p></section></main>", f"{P} {P}"),
         (f"<article><header><h1>T</h1></header><p>x<b>y</b>z {P}</p><script>var a='</p>';</script><style>p{{}}</style><!-- no --><aside>s</aside></article>", f"T xyz {P}"),
         (f"<div role=dialog>Cookies?</div><article class='has-sidebar'><ul><li>one<li>two</ul><p>{P}</article>", f"one two {P}"),
+        # attributes that only look like marks
+        (A(f"{P}</p><p class='overflow-hidden'>{P}"), f"Title {P} {P}"),
+        (A(f"{P}</p><p title='the hidden valley'>{P}"), f"Title {P} {P}"),
+        (A(f"{P}</p><p data-id='comment-policy'>{P}"), f"Title {P} {P}"),
+        (A(f"{P}</p><p hidden>{P}</p><p style='Display: none'>{P}"), f"Title {P}"),
+        # blocks that no list names
+        (A(f"{P}</p><div class=x7><a href=1>More about this, and that.</a> <a href=2>Other things, too.</a></div><p>{P}"), f"Title {P} {P}"),
+        (A(f"{P}</p><div class=q>Great shoes, half price!</div><p>{P}"), f"Title {P} {P}"),
+        (f"<div class=top>Our shop. Since 1990.</div><div class=m><div>{P} {P}</div><div>{P}</div></div><div class=z>Call us, now!</div>", f"{P} {P} {P}"),
+        (A(f"{P} <math><mi>x</mi><mo>=</mo><mn>1</mn></math>"), f"Title {P} x=1"),
+        (f'<p title="open>{P}</p><p>{P}</p>', f"{P} {P}"),
     ],
 )
 def test_main_text(source, want):
     assert html.extract(source) == want
 
 
+def brute_main_text(blocks):
+    """blocks: (container and tag, class, text). Path ratios by plain sums over a page without links or landmarks."""
+    path = [(tuple(b[0]), b[1]) for b in blocks]
+    prose = [b[0][-1] in ("p", "h2", "li") for b in blocks]
+    size = [len(b[2]) * (1 if ok else 0.1) for b, ok in zip(blocks, prose)]
+    marks = [sum(c in ".,!?" for c in b[2]) for b in blocks]
+    mean = lambda v, i: sum(x for x, q in zip(v, path) if q == path[i]) / path.count(path[i])
+    at = range(len(blocks))
+    lens, puncts = [mean(size, i) for i in at], [mean(marks, i) for i in at]
+    g = [math.exp(-(k**2) / 2) for k in range(-3, 4)]
+    near = lambda v, i: sum(w * v[min(max(i + k, 0), len(v) - 1)] for w, k in zip(g, range(-3, 4))) / sum(g)
+    smooth = [math.sqrt(near(lens, i) * (1 + near(puncts, i))) for i in at]
+    fused = []
+    for i in at:
+        own = math.sqrt(lens[i] * (1 + puncts[i]))
+        fused.append(math.sqrt(own * mean(smooth, i)) * math.log(2 + mean(size, i) * path.count(path[i]) / 100))
+    best = fused.index(max(fused))
+    if not prose[best]:  # each piece of bare text is an element of its own
+        return None
+    held = [blocks[i][0][:-1] for i in at if path[i] == path[best]]
+    root = held[0]
+    while any(h[: len(root)] != root for h in held):
+        root = root[:-1]
+    need = [(0.001 if prose[i] else 0.35) if blocks[i][0][: len(root)] == root else 0.5 for i in at]
+    return " ".join(b[2] for b, f, n in zip(blocks, fused, need) if f >= n * max(fused))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_main_text_by_path_ratios(seed):
+    r = random.Random(seed)
+    blocks, page = [], []
+    for k in range(r.randint(2, 5)):
+        box = f"x-{k}"  # an element of its own
+        page.append(f"<{box}>")
+        for _ in range(r.randint(1, 6)):
+            tag, kind = r.choice(["p", "p", "h2", "div", "li"]), r.choice(["", "", "k"])
+            text = " ".join("".join(r.choices("abcde", k=r.randint(1, 8))) + r.choice(["", "", ",", "."]) for _ in range(r.choice([1, 4, 30])))
+            page.append(f"<{tag} class='{kind}'>{text}</{tag}>")
+            blocks.append(((box, tag), kind, text))
+        page.append(f"</{box}>")
+    want = brute_main_text(blocks)
+    if want is not None:
+        assert html.extract("".join(page)) == want
+
+
+def test_main_text_rests_on_the_ratios(monkeypatch):
+    page = f"<div class=top><p>Our shop.</p></div><article><h1>T, of it.</h1><p>{P}</p></article><div class=end>Call us, now!</div>"
+    assert html.extract(page) == f"T, of it. {P}"
+    monkeypatch.setattr(html, "ratios", lambda length, punct, path, sigma=1.0: np.ones(len(length)))
+    assert html.extract(page) != f"T, of it. {P}"
+
+
 def test_main_text_table(spark):
-    pages = spark.createDataFrame([(1, "u", f"<article><p>{P}</p></article>", 1), (2, None, None, 2)], "page_id long, url string, html string, text int").drop("text")
-    assert [(x.page_id, x.text, x.n_chars) for x in html.main_text(pages).orderBy("page_id").collect()] == [(1, P, len(P)), (2, "", 0)]
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{P}</p></article>", 1, "x"), (2, None, None, 2, None), (2, None, None, 2, None)], "page_id long, url string, html string, n_chars int, text string")
+    got = [(x.page_id, x.text, x.n_chars) for x in html.main_text(pages).orderBy("page_id").collect()]
+    assert got == [(1, P, len(P)), (2, "", 0), (2, "", 0)]
+    assert html.main_text(pages.limit(0)).count() == 0
     assert html.extract("<div>" * 3000 + P) == P
+    assert html.extract(f"<article><p>{'word, ' * 200_000}</p></article>") == ("word, " * 200_000).strip()
 
 
 # ---- 9
@@ -378,7 +447,6 @@ def test_packing(spark, docs):
 
     path = packing.tokenizer_path()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     out = packing.pack(packing.pieces(docs, path), part=20).collect()
     ids = {d: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for d, t in enumerate(some_texts())}
     by = {}
@@ -404,9 +472,21 @@ def test_packing_of_nothing(none):
 
 
 def test_encoder_gives_the_librarys_ids():
-    e = packing.Encoder(packing.tokenizer_path())
-    odd = ["a  b", " lead", "trail ", "", "\n\n", "don't we'll\t x", "é  è\r\n z", "<|endoftext|> a", "日本 語", "c²½ “x”", "\u0085\x1c a", "İ ǅ ʰ", "🙂 ok"]
-    assert e.encode(odd) == [np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tok, e = Tokenizer.from_file(path), packing.Encoder(path)
+    odd = ["a  b", " lead", "trail ", "", "\n\n", "don't we'll\t x", "é  è\r\n z", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "日本 語", "c²½ “x”", "\u0085\x1c a", "İ ǅ ʰ", "🙂 ok"]
+    odd += ["x" + " " * n + "y" for n in (999, 1000, 1001)] + [" " * 2_000_000, "\n" * 2_000_000, "ab" * 500_000, "\u00a0 " * 50_000]
+    assert e.encode(odd) == [np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
+    assert np.frombuffer(e.encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(None, "a b", "x", "y")] * 30 + [(5, "c", None, "y")] * 30 + [(5, None, "x", "y")], "doc_id long, text string, length string, piece string")
+    out = packing.pack(packing.pieces(rows, packing.tokenizer_path()), part=7).collect()
+    assert len(out) == 61 and len({x.sequence_id for x in out}) == 1
+    assert sorted(x.offset for x in out) == sorted(np.cumsum([0, *[x.length for x in sorted(out, key=lambda x: x.offset)]])[:-1].tolist())
 
 
 @pytest.mark.parametrize("seed", range(5))
