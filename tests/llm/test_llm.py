@@ -484,9 +484,11 @@ def test_encoder_gives_the_librarys_ids():
 
 def test_packing_of_null_and_repeated_ids(spark):
     rows = spark.createDataFrame([(None, "a b", "x", "y")] * 30 + [(5, "c", None, "y")] * 30 + [(5, None, "x", "y")], "doc_id long, text string, length string, piece string")
-    out = packing.pack(packing.pieces(rows, packing.tokenizer_path()), part=7).collect()
-    assert len(out) == 61 and len({x.sequence_id for x in out}) == 1
-    assert sorted(x.offset for x in out) == sorted(np.cumsum([0, *[x.length for x in sorted(out, key=lambda x: x.offset)]])[:-1].tolist())
+    out = packing.pack(packing.pieces(rows, packing.tokenizer_path()), part=40).collect()
+    assert len(out) == 61 and sum(x.length for x in out) == 30 * 3 + 30 * 2 + 1
+    for q in {x.sequence_id for x in out}:
+        own = sorted((x.offset, x.length) for x in out if x.sequence_id == q)
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]]
 
 
 @pytest.mark.parametrize("seed", range(5))
