@@ -1,598 +1,271 @@
 """Language-model scoring by logistic context mixing of bit predictors.
 
-A text is the sequence of its lower-cased words, then an end.  A word is coded as its bytes and a final space, an
-end as a lone space, most significant bit first.  Each bit has five predictors: counts in the hashed contexts of the
-1, 2, 3 and 4 bytes before it in the word, and, from the fifth byte on, the counts of its whole prefix.  Their
-stretched probabilities are mixed by weights that are chosen by a gate (how much evidence the prefix and the
-longest context have) and learned online, bit by bit of the training words, each token being left out of
-the counts that predict it.  An adaptive map, by the bits seen of the byte, refines the mix.  The score is the
-log10 probability of the text; bits_per_byte is the same over its bytes.
-
-On top of that, a text is of a class: a language of the training rows, in plain or in odd writing (over three tenths of all
-its words have marks inside or behind them).  The LANGS most frequent languages of the training rows have classes of their
-own; further ones share theirs with rows without a language.  A class knows its own word counts; its probability of a word is (c + T m) / (N + T), with m the mixed
-bits' probability and T its distinct words.  The class of a text being scored is unknown: its probability is the mean of the
-classes' ones, weighted by how frequent they are, which is the same as gating each word by what the words before it say.
-
-As contexts don't cross words, the bits of a distinct word are coded once: words are counted over the whole corpus,
-dealt by their first four bytes so that a prefix's words meet, and coded as a bitwise trie; where a trie is cut, both
-pieces keep the counts of the prefixes that they share.  Context
-tables have a fixed size and are broadcast, and so are at most FREQUENT words with their scores; all other words
-of the documents meet their scores by a shuffled join.
-
-Null texts are empty: one end.  Repeated rows are scored alike and all count in training.  Without training
-documents every word has the base probability, and the score is that of evenly likely bits.
+How a text's bits are predicted and mixed stands in `mixing`.  Here the statistics are gathered: every training text's words and
+bits are counted, where they lie, into exact token counts (by shuffle, of any number of distinct words) and into tables of
+hashed contexts (of a fixed size, summed over tasks part by part).  A share of the training texts, by a hash of the id, stands back
+from the first table; weights, state maps and the adaptive map are learned on it, text by text, so that no bit has helped
+to count itself.  Then its counts join the table, and all texts are scored.  A training text's bits are left out one by one
+of the counts that predict them.  Held-out texts are read only to be scored: no count, code or weight depends on them.
+
+score is the log10 probability of the coded text (lower-cased words with a space after each, and an end), bits_per_byte
+the same in bits over the coded bytes.  base_score is the unigram model of tokens with 0.1 added to each count; it meets the counts of
+frequent words in a broadcast of FREQUENT words, those of all others in a shuffled join.  Words are told apart by 128 bits of hashes.
+
+Null texts are empty: one token, the end.  Rows of one id are scored each; null ids are training rows.  Without
+training texts every bit has the probability that the untrained maps give.  Texts of any length are scored whole, in stretches.  An empty
+table gives no rows.  Columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
-import tempfile
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import mixing as M
 
-FREQUENT = 1 << 18  # words broadcast with their scores
-TRIE = 200_000  # words of a trie
-HEAD = 40  # bytes of a word that are in the trie; further ones have the context predictors only
-BITS = (16, 19, 20, 21, 21)  # log2 of the slots of each context order, and of prefixes of under four bytes
-_AT = np.concatenate([[0], np.cumsum([1 << b for b in BITS])]).astype(np.int64)
-SLOTS = int(_AT[-1])
+FREQUENT = 1 << 18  # words broadcast with their counts
 PARTS = 64
-_PER = -(-SLOTS // PARTS)
-DELTA = np.float32(0.1)
-LEVELS = 8  # of evidence of the longest context: 0, 1, 2, 4, 8, 16, 64, 256 and more
-GATES, INPUTS, STEPS, EPOCHS = 16 * LEVELS + 20, 6, 33, 3
-_TERM = 32
-LANGS = 4  # the most frequent languages have classes of their own
-_MARKED = re.compile(rb"[^0-9a-z\x80-\xff.,;:'\"()?\s-]\S*")  # a word from its first mark on
-_LEVELS = np.array([1, 2, 4, 8, 16, 64, 256], np.float32)
-_CLZ = np.array([8] + [7 - int(np.log2(x)) for x in range(1, 256)])
-
-
-def _context(order: int, last: np.ndarray) -> np.ndarray:
-    """Hash of a context; last: the bytes before, packed, the nearest lowest."""
-    key = last & np.uint64((1 << 8 * min(order + 1, 4)) - 1)
-    if order == 0:
-        return key << np.uint64(8)
-    h = (key + np.uint64(order << 48)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    return h
-
-
-def _slots(order: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Slots of the bits that follow `node`, the bits seen of a byte, in a context."""
-    if order == 0:
-        return (context | node).astype(np.int64)
-    h = (context + node * np.uint64(0x94D049BB133111EB)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - BITS[order])).astype(np.int64) + _AT[order]
-
-
-def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the words, each with its final space, and where each starts (and the end)."""
-    col = words.cast(pa.large_binary())
-    off, raw = C.buffers(col)
-    n = len(off) - 1
-    start = off + np.arange(n + 1)
-    out = np.full(start[-1], _TERM, np.uint8)
-    at = np.ones(len(out), bool)
-    at[start[1:] - 1] = False
-    out[at] = raw
-    return out, start
-
-
-def _last4(flat: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The four bytes before each byte in its word, packed, 0 before a word's first byte; and the byte's place."""
-    last = np.zeros(len(flat), np.uint64)
-    place = np.arange(len(flat)) - np.repeat(start[:-1], np.diff(start))
-    for k in range(1, 5):
-        v = np.zeros(len(flat), np.uint64)
-        v[k:] = flat[:-k] if len(flat) > k else flat[:0]
-        last |= np.where(place >= k, v, 0).astype(np.uint64) << np.uint64(8 * (k - 1))
-    return last, place
-
-
-# ---- counting
-
-def _odd(low: bytes, n: int) -> int:
-    """Whether many of the n words of a lower-cased text have marks that plain words don't."""
-    return int(10 * sum(1 for _ in _MARKED.finditer(low)) > 3 * n)
-
-
-def _count(batches: Iterator[pa.RecordBatch], langs: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """(word, k, c, t) of a task: training tokens by class, and others, for which k is -1."""
-    counts: dict[int, Counter] = {}
+PER_TASK = 128 << 20  # bytes of text that a table of one task counts
+APART = 4  # one in so many training texts teaches the weights
+_WORDS = "byte int, a long, b long, c long"
+_LOG2 = float(np.log10(2.0))
 
-    def out() -> Iterator[pa.RecordBatch]:
-        for k, own in counts.items():
-            w, n = list(own), np.fromiter(own.values(), np.int64, len(own))
-            for a in range(0, len(w), 50_000):
-                m = n[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(w[a : a + 50_000], pa.binary()), pa.array(np.full(len(m), k, np.int32)), pa.array(m * (k >= 0)), pa.array(m)], names=["word", "k", "c", "t"])
-        counts.clear()
 
+def held_out() -> F.Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+
+
+def _apart() -> F.Column:
+    """Whether a training text stands back from the first table."""
+    return F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(APART)) == 0
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, n: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of n by (before, a, b)."""
+    order = np.lexsort((b, a, *before))
+    keys = [x[order] for x in (*before, a, b)]
+    first = np.ones(len(order), bool)
+    if len(order):
+        first[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+    at = np.flatnonzero(first)
+    return (*(x[at] for x in keys), np.add.reduceat(n[order], at) if len(at) else n[:0])
+
+
+def _texts(batches: Iterator[pa.RecordBatch], contexts: bool = True) -> Iterator[tuple[int, int, M.Laid]]:
     for batch in batches:
-        col = C.text_column(batch, "text")
-        off, _ = C.buffers(col)
-        held, lang = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("held_out", "lang"))
-        for a, b in C.slices(off):
-            for text, h, g in zip(col.slice(a, b - a).cast(pa.large_binary()).to_pylist(), held[a:b], lang[a:b], strict=True):
-                low = text.lower()
-                words = low.split()
-                own = counts.setdefault(-1 if h else 2 * langs.get(g, len(langs)) + _odd(low, len(words)), Counter())
-                own.update(words)
-                own[b""] += 1
-            if sum(map(len, counts.values())) > 300_000:
+        offsets, raw = C.buffers(C.text_column(batch, "text"))
+        yield from M.stretches(raw, offsets, contexts=contexts)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (byte -1; the end has the key 0, 0) and of bytes of a task."""
+    held, size, ends, bytes_ = [], 0, 0, np.zeros(256, np.int64)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        a, b, c = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for k in range(0, len(a), 100_000):
+            q = slice(k, k + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[q]), -1, np.int32)), pa.array(a[q].view(np.int64)), pa.array(b[q].view(np.int64)), pa.array(c[q])], names=["byte", "a", "b", "c"])
+
+    for _, n, laid in _texts(batches, contexts=False):
+        bytes_ += np.bincount(laid.byte, minlength=256)
+        w = _distinct(*laid.words, np.ones(laid.words.shape[1], np.int64))
+        held.append(w)
+        size += len(w[0])
+        if size > 1_000_000:
+            merged = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, size = [merged], len(merged[0])
+            if size > 500_000:
                 yield from out()
-    yield from out()
+                held, size = [], 0
+        ends += int(np.count_nonzero(laid.byte == 32)) - laid.words.shape[1]
+    if held:
+        yield from out()
+    at = np.flatnonzero(bytes_)
+    zero = np.zeros(len(at) + 1, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1], pa.int32()), pa.array(zero), pa.array(zero), pa.array(np.r_[bytes_[at], ends])], names=["byte", "a", "b", "c"])
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of bits by slot, of all training words of a task, as compressed parts."""
-    n = np.zeros(2 * SLOTS)
-    some = False
-    for batch in batches:
-        for a in range(0, batch.num_rows, 100_000):
-            own = batch.slice(a, 100_000)
-            flat, start = _flat(own.column(0))
-            c = np.repeat(own.column(1).to_numpy().astype(np.float64), np.diff(start))
-            (last, place), some = _last4(flat, start), True
-            for o in range(5):
-                q = slice(None) if o < 3 else np.flatnonzero((place >= 4) if o == 3 else (place < 4))
-                context, byte, weight = _context(o, last[q]), flat[q], c[q]
-                for k in range(8):
-                    i = _slots(o, context, np.uint64(1 << k) | (byte >> np.uint8(8 - k) if k else np.zeros(1, np.uint8)).astype(np.uint64))
-                    np.add.at(n, i * 2 + ((byte >> (7 - k)) & 1), weight)
-    if some:
-        for p in range(PARTS):
-            own = n[2 * p * _PER : 2 * (p + 1) * _PER].astype(np.float32)
-            at = np.flatnonzero(own).astype(np.int32)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(pickle.dumps((at, own[at])), 1)], pa.binary())], names=["part", "v"])
-
-
-def _sum_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for p, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            at, x = pickle.loads(zlib.decompress(v))
-            sums.setdefault(p, np.zeros(2 * _PER, np.float64))[at] += x
-    for p, v in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], names=["part", "v"])
-
-
-# ---- mixing
-
-class Mixer:
-    """Weights by gate, the curvature of what they were learned from, and the adaptive map."""
-
-    def __init__(self) -> None:
-        self.w = np.zeros((GATES, INPUTS))
-        self.w[:, :5] = [0, 0.05, 0.15, 0.3, 0.5]
-        self.w[:LEVELS, :5] = [0, 0.1, 0.3, 0.6, 0]  # without a prefix seen before
-        # in the first bytes the longest context is the prefix; a task has a part of the words there, so this isn't learned
-        self.w[-20:-18, :5] = [0, 0.1, 0.3, 0.6, 0]
-        self.w[-18:, :5] = [0, 0, 0, 1, 0]
-        self.h = np.tile(np.eye(INPUTS) * 2.0, (GATES, 1, 1))
-        self.map = False
-        centre = 1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))
-        self.hit, self.all = np.tile(centre * 20, (256, 1)), np.full((256, STEPS), 20.0)
-        self.seen = 0.0
-
-    def refine(self) -> np.ndarray:
-        return self.hit / self.all
-
-
-def _inputs(n0: list[np.ndarray], n1: list[np.ndarray], deep: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs, gate) of nodes; the last pair of counts is the prefix's."""
-    x = np.empty((INPUTS, len(n0[0])), np.float32)
-    for i in range(5):
-        x[i] = np.log((n1[i] + DELTA) / (n0[i] + DELTA))
-    x[5] = 0.3
-    prefix, ctx = n0[4] + n1[4], n0[3] + n1[3]
-    if deep:
-        gate = np.minimum(np.log2(prefix + 1), 15).astype(np.int64) * LEVELS + np.digitize(ctx, _LEVELS)
-    else:
-        gate = 16 * LEVELS + np.minimum(np.log2(ctx + 1), 19).astype(np.int64)
-    return x, gate
-
-
-def _mix(w: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    z = w[gate, 0] * x[0]
-    for i in range(1, INPUTS):
-        z += w[gate, i] * x[i]
-    return np.clip(z, -14, 14)
-
-
-def _learn(m: Mixer, n0, n1, deep: bool, y: np.ndarray, weight: np.ndarray, node: np.ndarray) -> None:
-    """One step: nodes at which `weight` tokens have bit y, each left out of the counts.
-
-    The step is Newton's over the curvature of everything seen so far, so later steps are smaller."""
-    x, gate = _inputs([np.maximum(v - (1 - y), 0) for v in n0], [np.maximum(v - y, 0) for v in n1], deep)
-    z = _mix(m.w, x, gate)
-    p = 1 / (1 + np.exp(-z))
-    if m.map:
-        bucket = np.rint((np.clip(z, -8, 8) + 8) * ((STEPS - 1) / 16)).astype(np.int64)
-        add = np.bincount(node * STEPS + bucket, weight, 256 * STEPS).reshape(256, STEPS)
-        m.all += add
-        m.hit += np.bincount(node * STEPS + bucket, weight * y, 256 * STEPS).reshape(256, STEPS)
-    m.seen += float(weight.sum())
-    # nearly certain bits teach nothing
-    err = y - p
-    near = np.flatnonzero(np.abs(err) * weight > 1e-3)
-    if not len(near):
-        return
-    x, gate, p, weight = x[:, near].astype(np.float64), gate[near], p[near], weight[near]
-    g, s = weight * err[near], weight * p * (1 - p)
-    grad, curve = np.empty((GATES, INPUTS)), np.empty((GATES, INPUTS, INPUTS))
-    for i in range(INPUTS):
-        grad[:, i] = np.bincount(gate, g * x[i], GATES)
-        sx = s * x[i]
-        for k in range(i, INPUTS):
-            curve[:, i, k] = curve[:, k, i] = np.bincount(gate, sx * x[k], GATES)
-    m.h += curve
-    own = np.flatnonzero(grad.any(1))
-    step = np.linalg.solve(m.h[own], grad[own][:, :, None])[:, :, 0]
-    m.w[own] += np.clip(step, -0.2, 0.2)
-
-
-def _costs(m: tuple[np.ndarray, np.ndarray], n0, n1, deep: bool, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probabilities of bit 0 and bit 1."""
-    x, gate = _inputs(n0, n1, deep)
-    z = _mix(m[0], x, gate)
-    at = (np.clip(z, -8, 8) + 8) * ((STEPS - 1) / 16)
-    low = np.minimum(at.astype(np.int64), STEPS - 2)
-    part = at - low
-    p = 1 / (1 + np.exp(-z))
-    if deep:
-        p = 0.7 * p + 0.3 * (m[1][node, low] * (1 - part) + m[1][node, low + 1] * part)
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log10(1 - p), np.log10(p)
-
-
-def _bits(flat: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words' first bytes as a matrix, and how many bits each shares with the word before it."""
-    size = np.diff(start)
-    n, width = len(size), int(min(size.max(), HEAD))
-    m = np.zeros((n, width), np.uint8)
-    place = np.arange(len(flat)) - np.repeat(start[:-1], size)
-    owner = np.repeat(np.arange(n), size)
-    inside = place < width
-    m[owner[inside], place[inside]] = flat[inside]
-    shared = np.full(n, -1, np.int64)
-    if n > 1:
-        diff = m[1:] ^ m[:-1]
-        col = (diff != 0).argmax(1)
-        first = diff[np.arange(n - 1), col]
-        shared[1:] = np.where(first == 0, 8 * width, 8 * col + _CLZ[first])
-    return m, shared
-
-
-def _walk(words: pa.Array, c: np.ndarray, beside: tuple[np.ndarray, np.ndarray] | None, table: np.ndarray, mixer: Mixer | None, model=None) -> np.ndarray | None:
-    """Learns from the sorted words (mixer), or gives the log10 probability of each (model).
-
-    beside: counts of words of other pieces, by the bits they share with the first and with the last word here."""
-    flat, start = _flat(words)
-    size = np.diff(start)
-    m, shared = _bits(flat, start)
-    n, width = m.shape
-    place = np.arange(len(flat)) - np.repeat(start[:-1], size)
-    owner = np.repeat(np.arange(n), size)
-    inside = place < width
-    total = np.zeros(n)
-    act = np.arange(n)
-    held = np.minimum(size, width)
-    weight = c.astype(np.float64)
-    for j in range(width):
-        act = act[held[act] > j]
-        if not len(act):
-            break
-        if mixer is not None and j < 4:
-            continue  # nothing is learned from a word's first bytes
-        last = np.zeros(len(act), np.uint64)
-        for k in range(1, min(j, 4) + 1):
-            last |= m[act, j - k].astype(np.uint64) << np.uint64(8 * (k - 1))
-        byte, own = m[act, j], weight[act]
-        contexts = [(o, _context(o, last)) for o in (0, 1, 2, 3 if j >= 4 else 4)]
-        for k in range(8):
-            run = shared[act] < 8 * j + k
-            pos = np.flatnonzero(run)
-            bit = (byte >> (7 - k)) & 1
-            w = np.add.reduceat(own, pos)
-            w1 = np.add.reduceat(own * bit, pos)
-            node = (1 << k) | (byte[pos].astype(np.int64) >> (8 - k))
-            n0, n1 = [], []
-            for o, context in contexts:
-                i = 2 * _slots(o, context[pos], node.astype(np.uint64))
-                n0.append(table[i])
-                n1.append(table[i + 1])
-            deep = j >= 4
-            a0, a1 = w - w1, w1.copy()
-            for at, word, x in ((0, 0, beside[0]), (-1, n - 1, beside[1])) if beside else ():
-                if act[at] == word:  # others of this prefix have the word's bit where they share more, else the other one
-                    more, d = x[8 * j + k + 1 :].sum(), x[8 * j + k]
-                    a0[at] += d if bit[at] else more
-                    a1[at] += more if bit[at] else d
-            n0.append(a0.astype(np.float32) * np.float32(deep))
-            n1.append(a1.astype(np.float32) * np.float32(deep))
-            if mixer is not None:
-                for a in range(0, len(pos), 50_000):
-                    v = np.stack([(w - w1)[a : a + 50_000], w1[a : a + 50_000]], 1).reshape(-1)
-                    at = np.flatnonzero(v > 0)
-                    q, y = a + at // 2, (at % 2).astype(np.float32)
-                    _learn(mixer, [z[q] for z in n0], [z[q] for z in n1], deep, y, v[at], node[q])
-            else:
-                l0, l1 = _costs(model, n0, n1, deep, node)
-                r = np.cumsum(run) - 1
-                total[act] += np.where(bit, l1[r], l0[r])
-    rest = np.flatnonzero(~inside) if size.max() > width else []
-    for a in range(0, len(rest), 200_000) if mixer is None else ():
-        q = rest[a : a + 200_000]
-        last = np.zeros(len(q), np.uint64)
-        for k in range(1, 5):
-            last |= flat[q - k].astype(np.uint64) << np.uint64(8 * (k - 1))
-        contexts = [_context(o, last) for o in range(4)]
-        for k in range(8):
-            node = (1 << k) | (flat[q].astype(np.int64) >> (8 - k))
-            i = [2 * _slots(o, x, node.astype(np.uint64)) for o, x in enumerate(contexts)]
-            none = np.zeros(len(q), np.float32)
-            l0, l1 = _costs(model, [table[x] for x in i] + [none], [table[x + 1] for x in i] + [none], True, node)
-            np.add.at(total, owner[q], np.where((flat[q] >> (7 - k)) & 1, l1, l0))
-    return total if mixer is None else None
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
-    """Sorted rows in pieces of about TRIE words, cut where the first four bytes change if that is possible, and whether
-    the next piece goes on with the same four."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        n += batch.num_rows
-        while n > TRIE:
-            t = pa.Table.from_batches(held).combine_chunks()
-            head = pc.binary_slice(t.column("word").combine_chunks(), 0, 4)
-            change = np.flatnonzero(pc.not_equal(head.slice(1), head.slice(0, len(head) - 1)).to_numpy(zero_copy_only=False)) + 1
-            near = change[change <= TRIE] if len(change) else change
-            cut = int(near[-1]) if len(near) else TRIE
-            yield t.slice(0, cut), not len(near)
-            held, n = t.slice(cut).to_batches(), t.num_rows - cut
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks(), False
-
-
-def _within(x: np.ndarray, most: int) -> np.ndarray:
-    """Counts by shared bits, seen from a word that shares `most` bits with the one they were taken from."""
-    out = x.copy()
-    out[most] += out[most + 1 :].sum()
-    out[most + 1 :] = 0
-    return out
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Bits that two words share in the trie."""
-    return int(_bits(*_flat(pa.array([a, b], pa.binary())))[1][1])
-
-
-def _border(t: pa.Table) -> tuple[bytes, bytes, int, np.ndarray, np.ndarray]:
-    """First and last word, the bits they share, and the counts of all words by the bits shared with each of the two."""
-    words, c = _col(t, "word"), _col(t, "c").to_numpy()
-    near = np.minimum(_bits(*_flat(words))[1][1:], 8 * HEAD)
-    far = np.array([8 * HEAD])
-    first, last = np.minimum.accumulate(np.r_[far, near]), np.minimum.accumulate(np.r_[near, far][::-1])[::-1]
-    return words[0].as_py(), words[-1].as_py(), int(first[-1]), *(np.bincount(x, c, 8 * HEAD + 1) for x in (first, last))
-
-
-def _beside(borders: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each of the pieces in a row, the counts of those before it and of those behind it."""
-    left, right = [np.zeros(8 * HEAD + 1)], [np.zeros(8 * HEAD + 1)]
-    common = [_common(a[1], b[0]) for a, b in zip(borders, borders[1:])]
-    for (_, _, own, _, last), most in zip(borders, common):
-        left.append(_within(last + _within(left[-1], own), most))
-    for (_, _, own, first, _), most in zip(borders[:0:-1], common[::-1], strict=True):
-        right.append(_within(first + _within(right[-1], own), most))
-    return list(zip(left, right[::-1], strict=True))
-
-
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, tuple[np.ndarray, np.ndarray] | None]]:
-    """Pieces with the counts beside them. Pieces of one beginning wait in a temporary file until all are counted."""
-    pieces = _pieces(batches)
-    for t, more in pieces:
-        if not more:
-            yield t, None
-            continue
-        with tempfile.TemporaryFile() as file:
-            borders, sizes = [], []
-            with pa.ipc.new_stream(file, t.schema) as out:
-                while True:
-                    borders.append(_border(t))
-                    own = t.to_batches()
-                    sizes.append(len(own))
-                    for batch in own:
-                        out.write_batch(batch)
-                    if not more:
-                        break
-                    t, more = next(pieces)
-            file.seek(0)
-            read = pa.ipc.open_stream(file)
-            for k, beside in zip(sizes, _beside(borders), strict=True):
-                yield pa.Table.from_batches([read.read_next_batch() for _ in range(k)]).combine_chunks(), beside
-
-
-def _col(t: pa.Table, name: str) -> pa.Array:
-    col = t.column(name)
-    return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+def _of_task(kind: int, blobs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for part, v in blobs:
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([v], pa.binary())], names=["kind", "part", "v"])
+
+
+_BLOBS = "kind int, part int, v binary"
 
 
 class Model:
     """Counts of the corpus and what was learned from them."""
 
-    def __init__(self, docs: DataFrame, frequent: int = FREQUENT):
+    def __init__(self, docs: DataFrame, *, bits: tuple[int, ...] = M.BITS, frequent: int = FREQUENT):
         spark = docs.sparkSession
-        lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-        self.docs = docs.select("doc_id", "text", held_out().alias("held_out"))
-        langs = docs.where(~held_out()).select(lang.alias("lang")).where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
-        langs = {r[0]: i for i, r in enumerate(langs)}
-        classes = 2 * len(langs) + 2
-        counted = docs.select("text", held_out().alias("held_out"), lang.alias("lang")).mapInArrow(lambda it: _count(it, langs), "word binary, k int, c long, t long")
-        own = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("c"))), F.lit(0)) for k in range(classes)]
-        self.types = C.written(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.array(*own).alias("ck")), "words")
-        ck = [F.col("ck")[k] for k in range(classes)]
-        n = self.types.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ck], *[F.count(F.when(x > 0, 1)) for x in ck], *[F.coalesce(F.sum(F.when(F.length("word") == 0, x)), F.lit(0)) for x in ck]).first()
-        held = [k for k in range(classes) if n[k]]
-        texts = sum(n[2 * classes + k] for k in held)
-        #: (place in ck, tokens, distinct words, log10 of the share of texts) of each class; without training texts, none
-        self.classes = [(k, n[k], n[classes + k], float(np.log10(n[2 * classes + k] / texts))) for k in held]
-        got = self.types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count("*")).first()
-        self.tokens, self.vocabulary, types = int(got[0]), int(got[1]), int(got[2])
-        parts = self.types.where("c > 0").select("word", "c").mapInArrow(_tables, "part int, v binary")
-        sums = parts.repartition(PARTS, "part").mapInArrow(_sum_tables, "part int, v binary").collect()  # SLOTS pairs of numbers
-        table = np.zeros(2 * PARTS * _PER, np.float32)
-        for p, v in sums:
-            table[2 * p * _PER : 2 * (p + 1) * _PER] = np.frombuffer(v, np.float32)
+        self.frequent = frequent
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
+        train = self.docs.where("not held_out")
+        counted = train.select("text").mapInArrow(_count_words, _WORDS).groupBy("byte", "a", "b").agg(F.sum("c").alias("c"))
+        written = C.written(counted, "words")
+        self.words = written.where("byte = -1 and c > 0").select("a", "b", "c")
+        spelled = np.zeros(256, np.int64)
+        for r in written.where("byte >= 0").collect():  # at most 256
+            spelled[r.byte] = r.c
+        got = self.words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        self.tokens, self.vocabulary = int(got[0]), int(got[1])
+        self.code, self.slots = M.Code(spelled), M.Slots(bits)
+        table = self._tables(train, int(spelled.sum()))
+        self.mixer = self._learn(train, table(0), int(spelled.sum()))
+        self.table = table(1)
+
+    def _few(self, df: DataFrame, size: int) -> DataFrame:
+        """df in fewer partitions where they are small: each task has a table of its own."""
+        return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PER_TASK)))
+
+    def _tables(self, train: DataFrame, size: int):
+        """The state table as a function of the kind: 0 without the texts that stand apart, 1 with them."""
+        spark = train.sparkSession
+        slots, code = self.slots, self.code
+        total = 2 * int(slots.base[-1])
+        per = -(-total // (2 * PARTS)) * 2
+
+        def count(kind: int):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                counts = None
+                for _, _, laid in _texts(batches):
+                    counts = counts or M.Counts(slots, code)
+                    counts.add(laid)
+                if counts:
+                    yield from _of_task(kind, ((p, counts.part(p * per, min((p + 1) * per, total))) for p in range(PARTS)))
+
+            return run
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                for kind, p, v in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    own = sums.setdefault(p, [np.zeros(max(0, min((p + 1) * per, total) - p * per), np.int64) for _ in range(2)])
+                    M.add_part(own[kind], v)
+            for p, (first, more) in sums.items():
+                yield from _of_task(0, [(p, M.states(first).tobytes())])
+                first += more
+                yield from _of_task(1, [(p, M.states(first).tobytes())])
+
+        some = [self._few(train.where(c).select("text"), n).mapInArrow(count(k), _BLOBS) for k, (c, n) in enumerate(((~_apart(), size), (_apart(), size // APART)))]
+        held = C.written(some[0].unionByName(some[1]).repartition(PARTS, "part").mapInArrow(add, _BLOBS), "states")
+
+        def table(kind: int) -> np.ndarray:
+            out = np.zeros(total // 2, np.uint16)
+            for r in held.where(F.col("kind") == kind).select("part", "v").toLocalIterator():  # the table's own size, part by part
+                out[r.part * per // 2 : r.part * per // 2 + len(r.v) // 2] = np.frombuffer(r.v, np.uint16)
+            return out
+
+        return table
+
+    def _learn(self, train: DataFrame, table: np.ndarray, size: int) -> M.Mixer:
+        spark, slots, code = train.sparkSession, self.slots, self.code
         held = spark.sparkContext.broadcast(table)
-        deal = max(1, -(-types // TRIE))
-        # in the order of what is coded: each word with its final space
-        dealt = lambda df: df.repartition(deal, F.xxhash64(F.substring("word", 1, 4))).sortWithinPartitions(F.expr("concat(word, X'20')"))
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mixer = Mixer()
-            for t, beside in _tries(batches):
-                for epoch in range(EPOCHS):
-                    mixer.map = epoch == EPOCHS - 1
-                    _walk(_col(t, "word"), _col(t, "c").to_numpy(), beside, held.value, mixer)
-            if mixer.seen:
-                start = Mixer()
-                v = pickle.dumps((np.einsum("gij,gj->gi", mixer.h, mixer.w), mixer.h, mixer.hit - start.hit, mixer.all - start.all))
-                yield pa.RecordBatch.from_arrays([pa.array([int(mixer.seen) % 16], pa.int32()), pa.array([v], pa.binary())], names=["part", "v"])
+            mixer = M.Mixer()
+            for _, n, laid in _texts(batches):
+                for _, _, u, y, node in M.bits(laid, code, slots, held.value, np.zeros(n, bool)):
+                    mixer.learn(u, y, node)
+            if mixer.steps:
+                yield from _of_task(0, [(mixer.steps % 16, pickle.dumps(mixer.learned()))])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = None
             for batch in batches:
-                for v in batch.column(1).to_pylist():
-                    x = pickle.loads(v)
-                    got = x if got is None else tuple(a + b for a, b in zip(got, x, strict=True))
+                for v in batch.column(2).to_pylist():
+                    got = M.add_learned(got, pickle.loads(v))
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([pickle.dumps(got)], pa.binary())], names=["part", "v"])
-
-        learned = dealt(self.types.where("c > 0").select("word", "c")).mapInArrow(learn, "part int, v binary").repartition(4, "part").mapInArrow(add, "part int, v binary").collect()
-        mixer = Mixer()
-        if learned:
-            # the tasks' weights, each gate's averaged by the curvature behind them
-            w, h, hit, all_ = (sum(x) for x in zip(*(pickle.loads(r[1]) for r in learned), strict=True))
-            mixer.w = np.linalg.solve(h, w[:, :, None])[:, :, 0]
-            mixer.hit, mixer.all = mixer.hit + hit, mixer.all + all_
-        model = (mixer.w, mixer.refine())
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t, beside in _tries(batches):
-                s = _walk(_col(t, "word"), _col(t, "c").to_numpy(), beside, held.value, None, model)
-                yield from pa.table([t.column("word"), t.column("c"), t.column("t"), pa.array(s), t.column("ck")], names=["word", "c", "t", "s", "ck"]).to_batches(50_000)
-
-        self.words = C.written(dealt(self.types).mapInArrow(score, "word binary, c long, t long, s double, ck array<long>"), "scored")
-        self.frequent = frequent
+                yield from _of_task(0, [(0, pickle.dumps(got))])
+
+        parts = self._few(train.where(_apart()).select("text"), size // APART).mapInArrow(learn, _BLOBS).repartition(4, "part").mapInArrow(add, _BLOBS)
+        got = None
+        for r in parts.collect():  # at most four
+            got = M.add_learned(got, pickle.loads(r.v))
+        held.destroy()
+        return M.Mixer.of(got)
 
     def score(self) -> DataFrame:
         spark = self.docs.sparkSession
+        slots, code = self.slots, self.code
+        norm = float(np.log10(self.tokens + 0.1 * (self.vocabulary + 1)))
         # the lowest count of which all words are few enough to broadcast
-        level = F.floor(F.log2("t") * 8)
+        level = F.floor(F.log2("c") * 8)
         least, n = None, 0
         for lv, k in sorted(((r[0], r[1]) for r in self.words.groupBy(level).count().collect()), reverse=True):
             n += k
             if n > self.frequent:
                 break
             least = lv
-        classes = self.classes or [(0, 0, 1, 0.0)]
-        # of a long word 10**s may be 0, of which there is no logarithm; without a count it isn't needed
-        s = [
-            F.when(F.col("ck")[k] > 0, F.log10((F.col("ck")[k] + F.lit(t) * F.pow(F.lit(10.0), "s")) / F.lit(n + t))).otherwise(F.col("s") + F.lit(float(np.log10(t / (n + t)))))
-            for k, n, t, _ in classes
-        ]
-        own = self.words.select("word", "c", "t", F.array(*s).alias("s"))
-        some = own.where(level >= F.lit(2e9 if least is None else least)).select("word", "c", "s").toArrow()
-        norm = float(np.log10(self.tokens + 0.1 * (self.vocabulary + 1)))
-        base = np.log10(some.column("c").to_numpy() + 0.1) - norm
-        scores = some.column("s").combine_chunks().flatten().to_numpy().reshape(-1, len(classes)) if some.num_rows else np.zeros((0, len(classes)))
-        held = spark.sparkContext.broadcast((some.column("word").to_pylist(), base, scores, some.column("c").to_numpy() > 0))
-        tokens = self.tokens
-        index: dict[bytes, int] = {}
+        frequent = F.lit(False) if least is None else level >= F.lit(least)
+        some = self.words.where(frequent).toArrow()
+        a, b, c = (some.column(k).to_numpy() for k in range(3))
+        order = np.argsort(a.view(np.uint64), kind="stable")
+        held = spark.sparkContext.broadcast((self.table, self.mixer, a.view(np.uint64)[order], b.view(np.uint64)[order], c[order]))
+        tokens, missing = self.tokens, float(-1.0 - norm)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, base, s, known = held.value
-            if not index:
-                index.update(zip(words, range(len(words)), strict=True))
+            table, mixer, one, two, count = held.value
+            worth = np.log10(count + 0.1) - norm
+            end = int(np.flatnonzero((one == 0) & (two == 0))[0]) if len(one) and one[0] == 0 and (two[one == 0] == 0).any() else -1
             for batch in batches:
-                col = C.text_column(batch, "text")
-                off, _ = C.buffers(col)
-                for a, b in C.slices(off):
-                    n_tokens, rare_words, rare_n, rare_at = [], [], [], [0]
-                    at, times = [], []
-                    for text in col.slice(a, b - a).cast(pa.large_binary()).to_pylist():
-                        own = Counter(text.lower().split())
-                        own[b""] += 1
-                        n_tokens.append(own.total())
-                        i = np.fromiter(map(index.get, own, [-1] * len(own)), np.int64, len(own))
-                        k = np.fromiter(own.values(), np.int64, len(own))
-                        miss = np.flatnonzero(i < 0)
-                        if len(miss):
-                            keys = list(own)
-                            rare_words.append([keys[x] for x in miss.tolist()])
-                            rare_n.append(k[miss])
-                            i, k = np.delete(i, miss), np.delete(k, miss)
-                        rare_at.append(rare_at[-1] + len(miss))
-                        at.append(i)
-                        times.append(k)
-                    doc = np.repeat(np.arange(b - a), [len(x) for x in at])
-                    i, k = np.concatenate(at), np.concatenate(times)
-                    sums = [np.bincount(doc, v, b - a).astype(float) for v in (k * known[i], k * base[i])] if len(base) else [np.zeros(b - a)] * 2
-                    by_class = np.stack([np.bincount(doc, k * s[i, j], b - a).astype(float) for j in range(s.shape[1])], 1) if len(base) else np.zeros((b - a, s.shape[1]))
-                    by_class = pa.FixedSizeListArray.from_arrays(pa.array(by_class.reshape(-1)), s.shape[1]).cast(pa.list_(pa.float64()))
-                    rare = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(rare_words)), pa.binary()), pa.array(np.concatenate(rare_n) if rare_n else [], pa.int64())], ["word", "n"]))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n_tokens, pa.int64()), pa.array(np.diff(off[a : b + 1])), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), by_class, rare],
-                        names=["doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "s", "rare"],
-                    )
-
-        schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, s array<double>, rare array<struct<word: binary, n: long>>"
-        part = C.written(self.docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scores")
-        rare = part.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.n")
-        met = rare.join(own.select("word", "c", "s"), "word").groupBy("_row").agg(
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"),
-            F.sum(F.col("n") * (F.log10(F.col("c") + F.lit(0.1)) - F.lit(norm))).alias("_base"),
-            *[F.sum(F.col("n") * F.col("s")[j]).alias(f"_s{j}") for j in range(len(classes))],
-        )
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        total = [F.col("s")[j] + zero(f"_s{j}") + F.lit(x[3]) for j, x in enumerate(classes)]
-        most = F.greatest(*total, total[0])
-        score = most + F.log10(sum((F.pow(F.lit(10.0), x - most) for x in total), F.lit(0.0)))
-        full = part.drop("rare").join(met, "_row", "left").withColumn("score", score)
-        return full.select(
+                n = batch.num_rows
+                trained = ~batch.column(2).to_numpy(zero_copy_only=False)
+                offsets, raw = C.buffers(C.text_column(batch, "text"))
+                cost, base = np.zeros(n), np.zeros(n)
+                n_bytes, n_tokens, n_known = np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64)
+                rare = []
+                for first, k, laid in M.stretches(raw, offsets):
+                    own = slice(first, first + k)
+                    n_bytes[own] += np.bincount(laid.text, minlength=k)
+                    for q, times, u, y, node in M.bits(laid, code, slots, table, trained[own]):
+                        cost[own] += np.bincount(np.repeat(laid.text[q], times), mixer.cost(u, y, node), k)
+                    w, v, t = *laid.words, laid.word_text
+                    n_tokens[own] += np.bincount(t, minlength=k)
+                    at = np.minimum(np.searchsorted(one, w), max(len(one) - 1, 0))
+                    met = (one[at] == w) & (two[at] == v) if len(one) else np.zeros(len(w), bool)
+                    n_known[own] += np.bincount(t[met], minlength=k)
+                    base[own] += np.bincount(t[met], worth[at[met]], k)
+                    miss = np.flatnonzero(~met)
+                    base[own] += missing * np.bincount(t[miss], minlength=k)
+                    rare.append(_distinct(w[miss], v[miss], np.ones(len(miss), np.int64), t[miss] + first))
+                if end >= 0:
+                    base, n_known = base + worth[end], n_known + 1
+                else:
+                    base += missing
+                    rare.append((np.arange(n), np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.ones(n, np.int64)))
+                t, w, v, m = (np.concatenate(x) for x in zip(*rare, strict=True))
+                order = np.argsort(t, kind="stable")
+                cut = np.searchsorted(t[order], np.arange(n + 1))
+                fields = [pa.array(x[order].view(np.int64)) for x in (w, v, m)]
+                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(fields, ["a", "b", "n"]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), *map(pa.array, (n_tokens, n_bytes, n_known, base, cost)), lists],
+                    names=["doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "cost", "rare"],
+                )
+
+        schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, cost double, rare array<struct<a: long, b: long, n: long>>"
+        part = C.written(self.docs.select("doc_id", "text", "held_out").mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scores")
+        rare = part.select("_row", F.explode("rare").alias("r")).select("_row", "r.a", "r.b", "r.n")
+        met = rare.join(self.words.where(~frequent), ["a", "b"]).groupBy("_row").agg(F.sum("n").alias("_known"), F.sum(F.col("n") * (F.log10(F.col("c") + F.lit(0.1)) + 1)).alias("_base"))
+        return part.drop("rare").join(met, "_row", "left").select(
             "doc_id",
             "held_out",
             "n_tokens",
-            (F.col("n_known") + zero("_known")).alias("n_known"),
+            (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
             F.lit(tokens).cast("long").alias("train_tokens"),
-            (F.col("base_score") + zero("_base")).alias("base_score"),
-            "score",
-            (-F.col("score") * F.lit(float(np.log2(10))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+            (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
+            (-F.col("cost") * F.lit(_LOG2)).alias("score"),
+            (F.col("cost") / F.col("n_bytes")).alias("bits_per_byte"),
         )
 
 
-def held_out() -> F.Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
-
-
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Model(spark.read.parquet(f"{sf_dir}/documents.parquet")).score()
