@@ -1,25 +1,30 @@
 """Language-model scoring by logistic context mixing of bit predictors.
 
-How a text's bits are predicted and mixed stands in `mixing`.  Here the statistics are gathered: every training text's words and
-bits are counted, where they lie, into exact token counts (by shuffle, of any number of distinct words) and into tables of
-hashed contexts (of a fixed size, summed over tasks part by part).  A share of the training texts, by a hash of the id, stands back
-from the first table; weights, state maps and the adaptive map are learned on it, text by text, so that no bit has helped
-to count itself.  Then its counts join the table, and all texts are scored.  A training text's bits are left out one by one
-of the counts that predict them.  Held-out texts are read only to be scored: no count, code or weight depends on them.
+How a token's bits are predicted and mixed stands in `mixing`.  A token is coded after a state of the text before it: the cluster of
+the guide word last met.  Guides are the most frequent short words of training texts, and their clusters come from which guide follows
+which, so that a state tells languages and ways of writing apart.  As a token's bits depend on the text before only through the
+state, each distinct (state, word) is coded once, however often it occurs: pairs are counted over the corpus by a shuffle, of
+any number, and bits are counted, learned and scored on pairs.
+
+Counts of training pairs make tables of hashed contexts (of a fixed size, summed over tasks part by part).  A share of the training
+texts, by a hash, stands back from the first table; weights, state maps and the adaptive map are learned on it, so that no text has
+helped to count its own bits.  Then its counts join the table, and all pairs are scored.  Held-out texts are read only to be scored:
+no guide, count, code or weight depends on them.
 
 score is the log10 probability of the coded text (lower-cased words with a space after each, and an end), bits_per_byte
-the same in bits over the coded bytes.  base_score is the unigram model of tokens with 0.1 added to each count; it meets the counts of
-frequent words in a broadcast of FREQUENT words, those of all others in a shuffled join.  Words are told apart by 128 bits of hashes.
+the same in bits over the coded bytes.  base_score is the unigram model of tokens with 0.1 added to each count.  Scores of at most
+FREQUENT pairs are broadcast, under 64-bit hashes; all others meet their texts in a shuffled join of the words themselves.
 
 Null texts are empty: one token, the end.  Rows of one id are scored each; null ids are training rows.  Without
-training texts every bit has the probability that the untrained maps give.  Texts of any length are scored whole, in stretches.  An empty
+training texts every bit has the probability that the untrained maps give.  Texts of any length are read whole, in stretches.  An empty
 table gives no rows.  Columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +34,17 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import mixing as M
 
-FREQUENT = 1 << 18  # words broadcast with their counts
+FREQUENT = 1 << 18  # pairs broadcast with their scores
+GUIDES, SHORT = 512, 6  # guide words, and their most bytes
+STATES, KINDS = 128, 16  # clusters of them, and clusters of those
 PARTS = 64
-PER_TASK = 128 << 20  # bytes of text that a table of one task counts
+PER_TASK = 4_000_000  # pairs whose bits one task counts
 APART = 4  # one in so many training texts teaches the weights
-_WORDS = "byte int, a long, b long, c long"
-_LOG2 = float(np.log10(2.0))
+STRETCH = 1_000_000  # bytes of text read at once
+_GRAPH = C.lut_of("graph")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLOBS = "kind int, part int, v binary"
 
 
 def held_out() -> F.Column:
@@ -46,100 +56,229 @@ def _apart() -> F.Column:
     return F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(APART)) == 0
 
 
-def _distinct(a: np.ndarray, b: np.ndarray, n: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums of n by (before, a, b)."""
-    order = np.lexsort((b, a, *before))
-    keys = [x[order] for x in (*before, a, b)]
-    first = np.ones(len(order), bool)
-    if len(order):
-        first[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
-    at = np.flatnonzero(first)
-    return (*(x[at] for x in keys), np.add.reduceat(n[order], at) if len(at) else n[:0])
+# ---- reading
+
+@dataclass
+class Tokens:
+    """Words of some texts of a batch, or of a stretch of one."""
+
+    first: int  # the first text's row in the batch
+    n: int  # texts
+    raw: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    text: np.ndarray  # of each word, from 0
+    hash: np.ndarray
+    guide: np.ndarray  # each word's value as a guide, or -1
+    before: np.ndarray  # that of the guide last met before it in the text, or -1
+    at_end: np.ndarray  # that of each text's last guide
+    last: bool  # whether the texts end here
+
+    def words(self, q: np.ndarray) -> pa.Array:
+        """The words q, lower-cased."""
+        size = self.end[q] - self.start[q]
+        offsets = np.r_[0, np.cumsum(size)]
+        at = np.arange(offsets[-1]) + np.repeat(self.start[q] - offsets[:-1], size)
+        return pa.Array.from_buffers(pa.large_binary(), len(q), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[self.raw[at]])])
+
+
+def tokens(batch: pa.RecordBatch, guides: list[np.ndarray] | None = None) -> Iterator[Tokens]:
+    """guides: sorted hashes and the value of each."""
+    offsets, raw = C.buffers(C.text_column(batch, "text"))
+    for a, b in C.slices(offsets, STRETCH):
+        lo, hi, carried = int(offsets[a]), int(offsets[b]), -1
+        while True:
+            cut = hi
+            if hi - lo > STRETCH:  # one text: up to white space
+                cut = lo + STRETCH
+                while cut < hi and _GRAPH[raw[cut]]:
+                    gap = np.flatnonzero(_GRAPH[raw[cut : cut + STRETCH]] == 0)
+                    cut += int(gap[0]) if len(gap) else len(raw[cut : min(hi, cut + STRETCH)])
+                cut = min(cut, hi)
+            own, off = raw[lo:cut], offsets[a : b + 1] - offsets[a] if cut - lo == offsets[b] - offsets[a] else np.array([0, cut - lo])
+            start, end, text, h = C.words(own, off, _GRAPH)
+            guide = np.full(len(h), -1, np.int64)
+            if guides is not None and len(guides[0]) and len(h):
+                at = np.minimum(np.searchsorted(guides[0], h), len(guides[0]) - 1)
+                met = guides[0][at] == h
+                guide[met] = guides[1][at[met]]
+            before = M.last_before(guide, text, carried)
+            at_end = np.full(b - a, -1, np.int64)
+            at_end[0] = carried
+            if len(h):
+                q = np.r_[np.flatnonzero(np.diff(text)), len(text) - 1]
+                at_end[text[q]] = np.where(guide[q] >= 0, guide[q], before[q])
+            yield Tokens(a, b - a, own, start, end, text, h, guide, before, at_end, cut == hi)
+            if cut == hi:
+                break
+            lo, carried = cut, int(at_end[0])
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """The hash that each word has in a text; 0 for the empty one."""
+    laid = M.Laid(words, np.zeros(len(words), np.int64), np.zeros(1, np.int64))
+    out = np.zeros(len(words), np.uint64)
+    _, _, text, h = C.words(laid.byte, np.r_[0, np.cumsum(laid.size)], _GRAPH)
+    out[text] = h
+    return out
+
+
+def _key(h: np.ndarray, state: np.ndarray) -> np.ndarray:
+    return C.mix(h + state.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+class Pile:
+    """Rows (key, state, word, counts) that are added up by key, and given out where they become many."""
+
+    def __init__(self, names: list[str], most: int = 400_000):
+        self.names, self.most, self.held, self.size = names, most, [], 0
+
+    def add(self, key: np.ndarray, state: np.ndarray, words: Callable[[np.ndarray], pa.Array], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        one, at, inv = np.unique(key, return_index=True, return_inverse=True)
+        self.held.append((one, state[at], words(at), *(np.bincount(inv, c, len(one)).astype(np.int64) for c in counts)))
+        self.size += len(one)
+        if self.size > self.most:
+            self._merge()
+            if self.size > self.most // 2:
+                yield from self.out()
+
+    def _merge(self) -> None:
+        key, state, words, *counts = zip(*self.held, strict=True)
+        one, at, inv = np.unique(np.concatenate(key), return_index=True, return_inverse=True)
+        own = pa.concat_arrays(words).take(pa.array(at))
+        self.held = [(one, np.concatenate(state)[at], own, *(np.bincount(inv, np.concatenate(c), len(one)).astype(np.int64) for c in counts))]
+        self.size = len(one)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._merge()
+            _, state, words, *counts = self.held[0]
+            for a in range(0, len(state), 50_000):
+                q = slice(a, a + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(state[q], pa.int32()), words[q].cast(pa.binary()), *(pa.array(c[q]) for c in counts)], names=["s", "word", *self.names])
+        self.held, self.size = [], 0
+
+
+def _short_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words that may be guides."""
+    pile = Pile(["c"])
+    for batch in batches:
+        for t in tokens(batch):
+            q = np.flatnonzero(t.end - t.start <= SHORT)
+            yield from pile.add(t.hash[q], np.zeros(len(q), np.int64), lambda at, t=t, q=q: t.words(q[at]), [np.ones(len(q))])
+    yield from pile.out()
 
 
-def _texts(batches: Iterator[pa.RecordBatch], contexts: bool = True) -> Iterator[tuple[int, int, M.Laid]]:
+def _pairs(batches: Iterator[pa.RecordBatch], guides: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Counts of (state, word): of training texts, of those that stand apart, and of all."""
+    pile = Pile(["ct", "cf", "t"])
+    empty = pa.array([b""], pa.large_binary())
     for batch in batches:
-        offsets, raw = C.buffers(C.text_column(batch, "text"))
-        yield from M.stretches(raw, offsets, contexts=contexts)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (byte -1; the end has the key 0, 0) and of bytes of a task."""
-    held, size, ends, bytes_ = [], 0, 0, np.zeros(256, np.int64)
-
-    def out() -> Iterator[pa.RecordBatch]:
-        a, b, c = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        for k in range(0, len(a), 100_000):
-            q = slice(k, k + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[q]), -1, np.int32)), pa.array(a[q].view(np.int64)), pa.array(b[q].view(np.int64)), pa.array(c[q])], names=["byte", "a", "b", "c"])
-
-    for _, n, laid in _texts(batches, contexts=False):
-        bytes_ += np.bincount(laid.byte, minlength=256)
-        w = _distinct(*laid.words, np.ones(laid.words.shape[1], np.int64))
-        held.append(w)
-        size += len(w[0])
-        if size > 1_000_000:
-            merged = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held, size = [merged], len(merged[0])
-            if size > 500_000:
-                yield from out()
-                held, size = [], 0
-        ends += int(np.count_nonzero(laid.byte == 32)) - laid.words.shape[1]
-    if held:
-        yield from out()
-    at = np.flatnonzero(bytes_)
-    zero = np.zeros(len(at) + 1, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1], pa.int32()), pa.array(zero), pa.array(zero), pa.array(np.r_[bytes_[at], ends])], names=["byte", "a", "b", "c"])
+        kind = batch.column(1).to_numpy()
+        for t in tokens(batch, guides):
+            k, s = kind[t.first + t.text], np.maximum(t.before, 0)
+            yield from pile.add(_key(t.hash, s), s, t.words, [k == 0, k == 1, np.ones(len(k))])
+            if t.last:
+                k, s = kind[t.first : t.first + t.n], np.maximum(t.at_end, 0)
+                yield from pile.add(_key(np.zeros(t.n, np.uint64), s), s, lambda at: empty.take(pa.array(np.zeros(len(at), np.int64))), [k == 0, k == 1, np.ones(len(k))])
+    yield from pile.out()
 
 
+# ---- the model
+
 def _of_task(kind: int, blobs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     for part, v in blobs:
         yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([v], pa.binary())], names=["kind", "part", "v"])
 
 
-_BLOBS = "kind int, part int, v binary"
+def _laid(batches: Iterator[pa.RecordBatch], kinds: np.ndarray) -> Iterator[tuple[pa.RecordBatch, M.Laid]]:
+    """Batches of (s, word, ...) in pieces of bounded size."""
+    for batch in batches:
+        offsets, _ = C.buffers(batch.column(1).cast(pa.large_binary()))
+        for a, b in C.slices(offsets + np.arange(len(offsets)), 500_000):
+            own = batch.slice(a, b - a)
+            yield own, M.Laid(own.column(1), own.column(0).to_numpy(), kinds)
 
 
 class Model:
     """Counts of the corpus and what was learned from them."""
 
     def __init__(self, docs: DataFrame, *, bits: tuple[int, ...] = M.BITS, frequent: int = FREQUENT):
-        spark = docs.sparkSession
         self.frequent = frequent
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
-        train = self.docs.where("not held_out")
-        counted = train.select("text").mapInArrow(_count_words, _WORDS).groupBy("byte", "a", "b").agg(F.sum("c").alias("c"))
-        written = C.written(counted, "words")
-        self.words = written.where("byte = -1 and c > 0").select("a", "b", "c")
-        spelled = np.zeros(256, np.int64)
-        for r in written.where("byte >= 0").collect():  # at most 256
-            spelled[r.byte] = r.c
-        got = self.words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        kind = F.when(held_out(), 2).when(_apart(), 1).otherwise(0)
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("kind", kind)
+        train = self.docs.where("kind < 2").select("text")
+        *self.guides, self.kinds = self._guides(train)
+        guides = self.guides
+        raw = self.docs.select("text", "kind").mapInArrow(lambda it: _pairs(it, guides), "s int, word binary, ct long, cf long, t long")
+        # by the word, so that its states meet: c is the token's count, lead marks one of its rows
+        dealt = raw.repartition(F.col("word")).groupBy("word", "s").agg(*[F.sum(x).alias(x) for x in ("ct", "cf", "t")])
+        by = "(partition by word)"
+        full = dealt.selectExpr("s", "word", "ct", "cf", "t", f"sum(ct + cf) over {by} as c", f"s = min(s) over {by} as lead")
+        pairs = C.written(full, "pairs")
+        got = pairs.agg(F.coalesce(F.sum(F.expr("ct + cf")), F.lit(0)), F.count(F.when(F.expr("lead and c > 0"), 1)), F.count(F.when(F.expr("ct > 0"), 1)), F.count(F.when(F.expr("cf > 0"), 1))).first()
         self.tokens, self.vocabulary = int(got[0]), int(got[1])
-        self.code, self.slots = M.Code(spelled), M.Slots(bits)
-        table = self._tables(train, int(spelled.sum()))
-        self.mixer = self._learn(train, table(0), int(spelled.sum()))
-        self.table = table(1)
+        self.code, self.slots = M.Code(self._bytes(pairs)), M.Slots(bits)
+        table = self._tables(pairs, (int(got[2]), int(got[3])))
+        self.mixer = self._learn(pairs, table(0), int(got[3]))
+        self.scored = self._score_pairs(pairs, table(1))
+
+    def _guides(self, train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of the guides, their states, and the kind of each state (of state 0, without a guide, 0)."""
+        counted = train.mapInArrow(_short_words, "s int, word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        rows = counted.orderBy(F.desc("c"), "word").limit(GUIDES).collect()
+        h = hashes(pa.array([bytes(r.word) for r in rows], pa.binary()))
+        order = np.argsort(h, kind="stable")
+        ids, n = [h[order], np.arange(len(h))], len(h)
+
+        def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(n * n, np.int64)
+            for batch in batches:
+                for t in tokens(batch, ids):
+                    q = np.flatnonzero((t.guide >= 0) & (t.before >= 0))
+                    out += np.bincount(t.before[q] * n + t.guide[q], minlength=n * n)
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "c"])
+
+        follows = np.zeros(n * n, np.int64)
+        if n:
+            for r in train.mapInArrow(follow, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():  # at most GUIDES squared
+                follows[r.at] = r.c
+        state = M.clusters(follows.reshape(n, n), STATES)
+        own = np.eye(STATES + 1, dtype=np.int64)[state]
+        kinds = np.r_[0, M.clusters((own.T @ follows.reshape(n, n) @ own)[1:, 1:], KINDS)] if n else np.zeros(1, np.int64)
+        return h[order], state, kinds
+
+    def _bytes(self, pairs: DataFrame) -> np.ndarray:
+        kinds = self.kinds
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(256)
+            for batch, laid in _laid(batches, kinds):
+                out += np.bincount(laid.byte, np.repeat(batch.column(2).to_numpy(), laid.size), 256)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(out.astype(np.int64))], names=["byte", "c"])
+
+        out = np.zeros(256, np.int64)
+        for r in pairs.where("ct + cf > 0").selectExpr("s", "word", "ct + cf as c").mapInArrow(run, "byte long, c long").groupBy("byte").agg(F.sum("c").alias("c")).collect():
+            out[r.byte] = r.c
+        return out
 
     def _few(self, df: DataFrame, size: int) -> DataFrame:
-        """df in fewer partitions where they are small: each task has a table of its own."""
-        return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PER_TASK)))
+        """df in few partitions: each task has a table of its own."""
+        return df.coalesce(max(1, -(-size // PER_TASK)))
 
-    def _tables(self, train: DataFrame, size: int):
+    def _tables(self, pairs: DataFrame, sizes: tuple[int, int]) -> Callable[[int], np.ndarray]:
         """The state table as a function of the kind: 0 without the texts that stand apart, 1 with them."""
-        spark = train.sparkSession
-        slots, code = self.slots, self.code
+        slots, code, kinds = self.slots, self.code, self.kinds
         total = 2 * int(slots.base[-1])
         per = -(-total // (2 * PARTS)) * 2
 
-        def count(kind: int):
+        def count(kind: int, group: tuple[int, ...]):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                counts = None
-                for _, _, laid in _texts(batches):
-                    counts = counts or M.Counts(slots, code)
-                    counts.add(laid)
-                if counts:
-                    yield from _of_task(kind, ((p, counts.part(p * per, min((p + 1) * per, total))) for p in range(PARTS)))
+                counts = M.Counts(slots, code, group)
+                for batch, laid in _laid(batches, kinds):
+                    counts.add(laid, batch.column(2).to_numpy())
+                yield from _of_task(kind, counts.parts(per))
 
             return run
 
@@ -154,8 +293,13 @@ class Model:
                 first += more
                 yield from _of_task(1, [(p, M.states(first).tobytes())])
 
-        some = [self._few(train.where(c).select("text"), n).mapInArrow(count(k), _BLOBS) for k, (c, n) in enumerate(((~_apart(), size), (_apart(), size // APART)))]
-        held = C.written(some[0].unionByName(some[1]).repartition(PARTS, "part").mapInArrow(add, _BLOBS), "states")
+        some = None
+        for kind, (c, n) in enumerate(zip(("ct", "cf"), sizes, strict=True)):
+            own = self._few(pairs.where(f"{c} > 0").selectExpr("s", "word", f"{c} as c"), n)
+            for group in M.GROUPS:
+                x = own.mapInArrow(count(kind, group), _BLOBS)
+                some = x if some is None else some.unionByName(x)
+        held = C.written(some.repartition(PARTS, "part").mapInArrow(add, _BLOBS), "states")
 
         def table(kind: int) -> np.ndarray:
             out = np.zeros(total // 2, np.uint16)
@@ -165,15 +309,16 @@ class Model:
 
         return table
 
-    def _learn(self, train: DataFrame, table: np.ndarray, size: int) -> M.Mixer:
-        spark, slots, code = train.sparkSession, self.slots, self.code
-        held = spark.sparkContext.broadcast(table)
+    def _learn(self, pairs: DataFrame, table: np.ndarray, size: int) -> M.Mixer:
+        slots, code, kinds = self.slots, self.code, self.kinds
+        held = pairs.sparkSession.sparkContext.broadcast(table)
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mixer = M.Mixer()
-            for _, n, laid in _texts(batches):
-                for _, _, u, y, node in M.bits(laid, code, slots, held.value, np.zeros(n, bool)):
-                    mixer.learn(u, y, node)
+            for batch, laid in _laid(batches, kinds):
+                times = batch.column(2).to_numpy().astype(float)
+                for token, u, y, node in M.bits(laid, code, slots, held.value):
+                    mixer.learn(u, y, node, times[token])
             if mixer.steps:
                 yield from _of_task(0, [(mixer.steps % 16, pickle.dumps(mixer.learned()))])
 
@@ -185,85 +330,107 @@ class Model:
             if got:
                 yield from _of_task(0, [(0, pickle.dumps(got))])
 
-        parts = self._few(train.where(_apart()).select("text"), size // APART).mapInArrow(learn, _BLOBS).repartition(4, "part").mapInArrow(add, _BLOBS)
+        # in an order that doesn't depend on anything but the pairs learned from
+        h = F.xxhash64("word", "s")
+        dealt = pairs.where("cf > 0").selectExpr("s", "word", "cf as c").repartition(max(1, -(-size // (PER_TASK // 4))), h).sortWithinPartitions(h, "word", "s")
         got = None
-        for r in parts.collect():  # at most four
+        for r in dealt.mapInArrow(learn, _BLOBS).repartition(4, "part").mapInArrow(add, _BLOBS).collect():  # at most four
             got = M.add_learned(got, pickle.loads(r.v))
         held.destroy()
         return M.Mixer.of(got)
 
+    def _score_pairs(self, pairs: DataFrame, table: np.ndarray) -> DataFrame:
+        """s, word, c, t and cost, in bits, of every pair."""
+        slots, code, kinds = self.slots, self.code, self.kinds
+        held = pairs.sparkSession.sparkContext.broadcast((table, self.mixer))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, mixer = held.value
+            for batch, laid in _laid(batches, kinds):
+                cost = np.zeros(batch.num_rows)
+                for token, u, y, node in M.bits(laid, code, slots, table):
+                    cost += np.bincount(token, mixer.cost(u, y, node), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cost)], names=["s", "word", "c", "t", "cost"])
+
+        return C.written(pairs.select("s", "word", "c", "t").mapInArrow(run, "s int, word binary, c long, t long, cost double"), "scored")
+
     def score(self) -> DataFrame:
-        spark = self.docs.sparkSession
-        slots, code = self.slots, self.code
+        sc = self.docs.sparkSession.sparkContext
         norm = float(np.log10(self.tokens + 0.1 * (self.vocabulary + 1)))
-        # the lowest count of which all words are few enough to broadcast
-        level = F.floor(F.log2("c") * 8)
+        # the lowest number of which all pairs are few enough to broadcast
+        level = F.floor(F.log2("t") * 8)
         least, n = None, 0
-        for lv, k in sorted(((r[0], r[1]) for r in self.words.groupBy(level).count().collect()), reverse=True):
+        for lv, k in sorted(((r[0], r[1]) for r in self.scored.groupBy(level).count().collect()), reverse=True):
             n += k
             if n > self.frequent:
                 break
             least = lv
         frequent = F.lit(False) if least is None else level >= F.lit(least)
-        some = self.words.where(frequent).toArrow()
-        a, b, c = (some.column(k).to_numpy() for k in range(3))
-        order = np.argsort(a.view(np.uint64), kind="stable")
-        held = spark.sparkContext.broadcast((self.table, self.mixer, a.view(np.uint64)[order], b.view(np.uint64)[order], c[order]))
-        tokens, missing = self.tokens, float(-1.0 - norm)
+        some = self.scored.where(frequent).select("s", "word", "c", "cost").toArrow().combine_chunks()
+        words = pa.concat_arrays(some.column(1).chunks) if some.num_rows else pa.array([], pa.binary())
+        key = _key(hashes(words), some.column(0).to_numpy())
+        order = np.argsort(key, kind="stable")
+        held = sc.broadcast((key[order], some.column(2).to_numpy()[order], some.column(3).to_numpy()[order]))
+        tokens_, guides = self.tokens, self.guides
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, mixer, one, two, count = held.value
-            worth = np.log10(count + 0.1) - norm
-            end = int(np.flatnonzero((one == 0) & (two == 0))[0]) if len(one) and one[0] == 0 and (two[one == 0] == 0).any() else -1
+            keys, count, price = held.value
+            worth, known = np.log10(count + 0.1) - norm, count > 0
+            empty = pa.array([b""], pa.large_binary())
             for batch in batches:
                 n = batch.num_rows
-                trained = ~batch.column(2).to_numpy(zero_copy_only=False)
-                offsets, raw = C.buffers(C.text_column(batch, "text"))
-                cost, base = np.zeros(n), np.zeros(n)
-                n_bytes, n_tokens, n_known = np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64)
-                rare = []
-                for first, k, laid in M.stretches(raw, offsets):
-                    own = slice(first, first + k)
-                    n_bytes[own] += np.bincount(laid.text, minlength=k)
-                    for q, times, u, y, node in M.bits(laid, code, slots, table, trained[own]):
-                        cost[own] += np.bincount(np.repeat(laid.text[q], times), mixer.cost(u, y, node), k)
-                    w, v, t = *laid.words, laid.word_text
-                    n_tokens[own] += np.bincount(t, minlength=k)
-                    at = np.minimum(np.searchsorted(one, w), max(len(one) - 1, 0))
-                    met = (one[at] == w) & (two[at] == v) if len(one) else np.zeros(len(w), bool)
-                    n_known[own] += np.bincount(t[met], minlength=k)
-                    base[own] += np.bincount(t[met], worth[at[met]], k)
+                sums = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_bytes", "n_known")} | {k: np.zeros(n) for k in ("base", "cost")}
+                rare: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]] = []
+
+                def take(t: Tokens, text: np.ndarray, h: np.ndarray, s: np.ndarray, size: np.ndarray, words: Callable[[np.ndarray], pa.Array]) -> None:
+                    own = slice(t.first, t.first + t.n)
+                    sum_ = lambda name, v: np.add(sums[name][own], np.bincount(text, v, t.n), out=sums[name][own], casting="unsafe")
+                    sum_("n_tokens", np.ones(len(h)))
+                    sum_("n_bytes", size + 1)
+                    key = _key(h, s)
+                    at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                    met = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                    one = np.where(met, at, 0)
+                    if len(keys):
+                        sum_("n_known", known[one] & met)
+                        sum_("base", worth[one] * met)
+                        sum_("cost", price[one] * met)
                     miss = np.flatnonzero(~met)
-                    base[own] += missing * np.bincount(t[miss], minlength=k)
-                    rare.append(_distinct(w[miss], v[miss], np.ones(len(miss), np.int64), t[miss] + first))
-                if end >= 0:
-                    base, n_known = base + worth[end], n_known + 1
-                else:
-                    base += missing
-                    rare.append((np.arange(n), np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.ones(n, np.int64)))
-                t, w, v, m = (np.concatenate(x) for x in zip(*rare, strict=True))
-                order = np.argsort(t, kind="stable")
-                cut = np.searchsorted(t[order], np.arange(n + 1))
-                fields = [pa.array(x[order].view(np.int64)) for x in (w, v, m)]
-                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(fields, ["a", "b", "n"]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), *map(pa.array, (n_tokens, n_bytes, n_known, base, cost)), lists],
-                    names=["doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "cost", "rare"],
-                )
-
-        schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, cost double, rare array<struct<a: long, b: long, n: long>>"
-        part = C.written(self.docs.select("doc_id", "text", "held_out").mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scores")
-        rare = part.select("_row", F.explode("rare").alias("r")).select("_row", "r.a", "r.b", "r.n")
-        met = rare.join(self.words.where(~frequent), ["a", "b"]).groupBy("_row").agg(F.sum("n").alias("_known"), F.sum(F.col("n") * (F.log10(F.col("c") + F.lit(0.1)) + 1)).alias("_base"))
+                    if len(miss):
+                        _, first, inv = np.unique(C.mix(key[miss] + (text[miss].astype(np.uint64) << np.uint64(32))), return_index=True, return_inverse=True)
+                        q = miss[first]
+                        rare.append((text[q] + t.first, s[q], words(q), np.bincount(inv)))
+
+                for t in tokens(batch, guides):
+                    take(t, t.text, t.hash, np.maximum(t.before, 0), t.end - t.start, t.words)
+                    if t.last:
+                        take(t, np.arange(t.n), np.zeros(t.n, np.uint64), np.maximum(t.at_end, 0), np.zeros(t.n), lambda q: empty.take(pa.array(np.zeros(len(q), np.int64))))
+                text, s, words, m = zip(*rare, strict=True) if rare else ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.large_binary())], [np.zeros(0, np.int64)])
+                text = np.concatenate(text)
+                order = np.argsort(text, kind="stable")
+                cut = np.searchsorted(text[order], np.arange(n + 1))
+                fields = [pa.array(np.concatenate(s)[order], pa.int32()), pa.concat_arrays(words).take(pa.array(order)).cast(pa.binary()), pa.array(np.concatenate(m)[order])]
+                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(fields, ["s", "word", "n"]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums.values()), lists], names=["doc_id", *sums, "rare"])
+
+        schema = "doc_id long, n_tokens long, n_bytes long, n_known long, base double, cost double, rare array<struct<s: int, word: binary, n: long>>"
+        part = C.written(self.docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scores")
+        rare = part.select("_row", F.explode("rare").alias("r")).select("_row", "r.s", "r.word", "r.n")
+        met = rare.join(self.scored.where(~frequent), ["word", "s"]).groupBy("_row").agg(
+            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"),
+            F.sum(F.col("n") * (F.log10(F.col("c") + F.lit(0.1)) - F.lit(norm))).alias("_base"),
+            F.sum(F.col("n") * F.col("cost")).alias("_cost"),
+        )
+        cost = F.col("cost") + F.coalesce("_cost", F.lit(0.0))
         return part.drop("rare").join(met, "_row", "left").select(
             "doc_id",
-            "held_out",
+            held_out().alias("held_out"),
             "n_tokens",
             (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-            F.lit(tokens).cast("long").alias("train_tokens"),
+            F.lit(tokens_).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-            (-F.col("cost") * F.lit(_LOG2)).alias("score"),
-            (F.col("cost") / F.col("n_bytes")).alias("bits_per_byte"),
+            (-cost * F.lit(float(np.log10(2.0)))).alias("score"),
+            (cost / F.col("n_bytes")).alias("bits_per_byte"),
         )
 
 

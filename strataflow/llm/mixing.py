@@ -1,17 +1,15 @@
 """Bit predictors over hashed contexts, and their logistic mixing.
 
-A text is the sequence of its lower-cased words, each followed by a space, and a further space as its end.  Each of these bytes is
-written in a prefix code, and every bit of it is predicted from seven contexts: the last 2, 3, 4 and 6 bytes, the word
-so far, the word so far with the word before, and with the two words before.  Contexts cross words, and never a text's start.
+A token, a word or the empty one that ends a text, is coded after a state of the text before it, which also has a kind, of which there
+are fewer.  It is written as its bytes and a space, each byte in a prefix code, and every bit is predicted from nine
+contexts: the last 2, 3 and 4 bytes of the word, these with the kind, the word so far, that with the kind, and that with the state.
 
 A context's slot holds how often the bit was 0 and 1 in training texts, each count in a byte (exact to 31, then in eighths of
 an octave).  An adaptive state map per predictor gives the probability that such a pair of counts really stands for; the
-stretched probabilities are mixed by weights, which are chosen by a gate (how much evidence the three contexts of words have)
+stretched probabilities are mixed by weights, which are chosen by a gate (how much evidence three of the contexts have)
 and learned online, batch by batch, by Newton steps; and an adaptive map by the bits seen of the byte refines the mix.
-Learning leaves each bit out of the counts that predict it, and so does scoring a text that was counted.
 
-Everything works on arrays of all bits of a stretch of text; a long text is laid out in stretches, and what the next one's
-contexts need is handed on.
+Everything works on arrays of all bits of some tokens.
 """
 
 from __future__ import annotations
@@ -23,140 +21,60 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 from . import common as C
 
 U64 = np.uint64
-PAD = 8  # bytes before a stretch that contexts may reach
-STRETCH = 400_000  # bytes of text that are laid out at once
-CHUNK = 1 << 15  # bytes whose bits are worked on at once, and of a step of learning
-ORDERS = (2, 3, 4, 6)
-PREDICTORS = len(ORDERS) + 3
+BATCH = 1 << 15  # bytes whose bits are worked on at once, and of a step of learning
+ORDERS = (2, 3, 4)
+PREDICTORS = 2 * len(ORDERS) + 3
 INPUTS = PREDICTORS + 1  # and a constant
-BITS = (18, 20, 22, 23, 23, 23, 23)  # log2 of the slots of each
+BITS = (18, 20, 22, 20, 22, 22, 23, 23, 23)  # log2 of the slots of each
+GROUPS = ((0, 1, 2, 3), (4, 5), (6,), (7,), (8,))  # predictors whose counts one task holds
 GATES, STEPS, STATES = 64, 33, 1 << 16
-_LUT = C.lut_of("graph")
-_VALUES = (np.arange(1, 257, dtype=U64), C.mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)))
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 
 # ---- layout
 
-@dataclass
-class Carry:
-    """What a text's next stretch needs of the ones before."""
-
-    inside: bool = False
-    tail: bytes = b" " * PAD
-    prefix: tuple[int, int] = (0, 0)  # two hashes of the word so far, and its bytes
-    size: int = 0
-    words: tuple[int, int] = (0, 0)  # hashes of the last word and the one before
-
-
-@dataclass
 class Laid:
-    byte: np.ndarray  # bytes to code
-    text: np.ndarray  # the text of each
-    contexts: np.ndarray  # (PREDICTORS, bytes): 32-bit hashes
-    words: np.ndarray  # (2, words that end here): two 64-bit hashes
-    word_text: np.ndarray
-
-
-def lay(raw: np.ndarray, offsets: np.ndarray, carry: Carry | None = None, last: bool = True, contexts: bool = True) -> tuple[Laid, Carry | None]:
-    """Texts laid end to end, with their contexts unless only words are wanted.
-
-    carry: of the only text here, of which this is a later stretch; last: whether that text ends here."""
-    n, begun, carry = len(offsets) - 1, carry is not None, carry or Carry()
-    size = np.diff(offsets)
-    low = _LUT[raw]
-    inside = low != 0
-    before = np.zeros(len(raw), bool)
-    before[1:] = inside[:-1]
-    some = np.flatnonzero(size > 0)
-    before[offsets[:-1][some]] = carry.inside
-    keep = np.flatnonzero(inside | before)
-    t = np.searchsorted(offsets, keep, side="right") - 1
-    open_ = np.full(n, carry.inside)
-    open_[some] = inside[offsets[1:][some] - 1]
-    kept = np.bincount(t, minlength=n)
-    # the space after a last word, and the end; or a place for what is handed on
-    length = kept + (open_ + 1 if last else 1)
-    start = np.cumsum(length + PAD) - length
-    total = int(start[-1] + length[-1])
-    flat = np.full(total, 32, np.uint8)
-    flat[np.arange(len(keep)) + np.repeat(start - np.cumsum(kept) + kept, kept)] = np.where(inside[keep], low[keep], 32)
-    if begun:
-        flat[:PAD] = np.frombuffer(carry.tail, np.uint8)
-    text = np.repeat(np.arange(n), length)
-    at = np.arange(len(text)) + np.repeat(start - np.cumsum(length) + length, length)
-
-    space = flat == 32
-    space[(start[:, None] - 1 - np.arange(PAD)).reshape(-1)] = True  # words start anew with a text; a carried one is added below
-    since = np.zeros(total, np.int64)
-    np.maximum.accumulate(np.where(space, np.arange(1, total + 1), 0)[:-1], out=since[1:])
-    since = since[at]  # where the word so far starts
-    pw, back = C.powers(total)
-    n_bytes = at - since
-    if carry.size:
-        n_bytes[since == PAD] += carry.size
-    byte = flat[at]
-    ends = np.flatnonzero((byte == 32) & (n_bytes > 0))
-    if not last:
-        ends = ends[ends < len(at) - 1]
-    last_too = ends if last else np.r_[ends, len(at) - 1]
-
-    def so_far(k: int, q) -> np.ndarray:
-        """The hash k of the word so far at places q."""
-        sums = np.zeros(total + 1, U64)
-        np.cumsum(_VALUES[k][flat] * pw[:total], out=sums[1:], dtype=U64)
-        h = (sums[at[q]] - sums[since[q]]) * pw[len(pw) - 1 - since[q]] * U64(back)
-        if carry.size:
-            head = np.flatnonzero(since[q] == PAD)
-            h[head] = h[head] * U64(pow(C._P, carry.size, 1 << 64)) + U64(carry.prefix[k])
-        return h
-
-    one = so_far(0, slice(None))
-    whole = C.mix(one ^ (n_bytes.astype(U64) * _A))
-    other = so_far(1, last_too)
-    # the last two words before each byte, of the same text
-    k = np.cumsum(np.bincount(ends + 1, minlength=len(at) + 1))[: len(at)]
-    first = np.searchsorted(text[ends], np.arange(n))[text]  # words before the text's own
-    two = np.zeros((2, len(at)), U64)
-    for j in (0, 1):
-        ok = np.flatnonzero(k - j > first)
-        two[j, ok] = whole[ends[k[ok] - 1 - j]]
-    if begun:
-        two[0, k == 0], two[1, k == 0], two[1, k == 1] = carry.words[0], carry.words[1], carry.words[0]
-    hashed = np.empty((PREDICTORS, len(at) if contexts else 0), np.uint32)
-    if contexts:
-        key = np.zeros(len(at), U64)
+    """Bytes of tokens, each with its final space, and the contexts of every byte."""
+
+    def __init__(self, words: pa.Array, state: np.ndarray, kinds: np.ndarray):
+        """kinds: of each state."""
+        offsets, raw = C.buffers(words.cast(pa.large_binary()))
+        n = len(offsets) - 1
+        start = offsets + np.arange(n + 1)
+        self.size = np.diff(start)
+        self.byte = np.full(int(start[-1]), 32, np.uint8)
+        inside = np.ones(len(self.byte), bool)
+        inside[start[1:] - 1] = False
+        self.byte[inside] = raw
+        self.token = np.repeat(np.arange(n), self.size)
+        first = np.repeat(start[:-1], self.size)
+        place = np.arange(len(self.byte)) - first
+        key = np.zeros(len(self.byte), U64)
+        kind = (np.repeat(kinds[state].astype(U64), self.size) + U64(1)) * _B
+        self.contexts = np.empty((PREDICTORS, len(self.byte)), np.uint32)
         for j in range(1, ORDERS[-1] + 1):
-            key |= flat[at - j].astype(U64) << U64(8 * j)
+            before = np.full(len(self.byte), 32, np.uint8)
+            before[j:] = self.byte[:-j]
+            before[place < j] = 32
+            key |= before.astype(U64) << U64(8 * j)
             if j in ORDERS:
-                hashed[ORDERS.index(j)] = C.mix((key + U64(j)) * _A) >> U64(32)
-        hashed[-3] = whole >> U64(32)
-        pair = C.mix(whole + two[0] * _B)
-        hashed[-2] = pair >> U64(32)
-        hashed[-1] = C.mix(pair + two[1] * _A) >> U64(32)
-    words, owner = np.stack([whole[ends], C.mix(other[: len(ends)])]), text[ends]
-    if last:
-        return Laid(byte, text, hashed, words, owner), None
-    more = Carry(bool(open_[0]), flat[-1 - PAD : -1].tobytes(), (int(one[-1]), int(other[-1])), int(n_bytes[-1]), (int(two[0, -1]), int(two[1, -1])))
-    return Laid(byte[:-1], text[:-1], hashed[:, : len(at) - 1], words, owner), more
-
-
-def stretches(raw: np.ndarray, offsets: np.ndarray, most: int = STRETCH, contexts: bool = True) -> Iterator[tuple[int, int, Laid]]:
-    """(first text, number of texts, layout) of stretches of about `most` bytes; a longer text has several."""
-    for a, b in C.slices(offsets, most):
-        lo, hi = int(offsets[a]), int(offsets[b])
-        if hi - lo <= most:
-            yield a, b - a, lay(raw[lo:hi], offsets[a : b + 1] - lo, contexts=contexts)[0]
-            continue
-        carry = None
-        for x in range(lo, hi, most):
-            y = min(x + most, hi)
-            laid, carry = lay(raw[x:y], np.array([0, y - x]), carry, y == hi, contexts)
-            yield a, 1, laid
+                self._put(ORDERS.index(j), len(ORDERS), C.mix((key + U64(j)) * _A), kind)
+        pw, back = C.powers(len(self.byte))
+        sums = np.zeros(len(self.byte) + 1, U64)
+        np.cumsum((self.byte.astype(U64) + U64(1)) * pw[: len(self.byte)], out=sums[1:], dtype=U64)
+        so_far = (sums[:-1] - sums[first]) * pw[len(pw) - 1 - first] * U64(back)
+        h = C.mix(so_far ^ (place.astype(U64) * _A))
+        self._put(-3, 1, h, kind)
+        self.contexts[-1] = C.mix(h + (np.repeat(np.asarray(state).astype(U64), self.size) + U64(1)) * _A) >> U64(32)
+
+    def _put(self, i: int, more: int, h: np.ndarray, kind: np.ndarray) -> None:
+        self.contexts[i] = h >> U64(32)
+        self.contexts[i + more] = C.mix(h + kind) >> U64(32)
 
 
 # ---- bits
@@ -207,54 +125,64 @@ class Slots:
         return h
 
 
-def chunks(laid: Laid, size: int = CHUNK) -> Iterator[slice]:
-    for a in range(0, len(laid.byte), size):
-        yield slice(a, a + size)
+def batches(laid: Laid) -> Iterator[slice]:
+    for a in range(0, len(laid.byte), BATCH):
+        yield slice(a, a + BATCH)
 
 
 class Counts:
-    """Pairs of counts by slot: 16 bits each, and what grew out of them."""
+    """Pairs of counts by slot, of some predictors: 32 bits each, and what is too much for that."""
 
-    HIGH = 1 << 15  # more than a chunk adds to a count
+    MOST = 1 << 30
 
-    def __init__(self, slots: Slots, code: Code):
-        self.slots, self.code = slots, code
-        self.table = np.zeros(2 * int(slots.base[-1]), np.uint16)
+    def __init__(self, slots: Slots, code: Code, predictors: tuple[int, ...]):
+        self.slots, self.code, self.predictors = slots, code, predictors
+        self.first = 2 * int(slots.base[predictors[0]])
+        self.table = np.zeros(2 * int(slots.base[predictors[-1] + 1]) - self.first, np.uint32)
         self.over: list[np.ndarray] = []
 
-    def add(self, laid: Laid) -> None:
-        for q in chunks(laid, CHUNK // 2):
+    def add(self, laid: Laid, count: np.ndarray) -> None:
+        """count: of each token."""
+        for q in batches(laid):
             n, j = self.code.spell(laid.byte[q])
-            step, bit, one = self.code.step[j], self.code.bit[j], np.ones(len(j), np.uint16)
-            for i in range(PREDICTORS):
+            step, bit, times = self.code.step[j], self.code.bit[j], np.repeat(count[laid.token[q]], n)
+            much = times > self.MOST // BATCH
+            some = np.where(much, 0, times).astype(np.uint32)
+            for i in self.predictors:
                 at = self.slots.of(i, laid.contexts[i, q], n, step)
                 at *= 2
-                at += bit
-                np.add.at(self.table, at, one)
+                at += bit - self.first
+                if much.any():
+                    self.over.append(np.stack([at[much], times[much]]))
+                np.add.at(self.table, at, some)
                 now = np.take(self.table, at)
-                if now.max(initial=0) >= self.HIGH:
-                    high = np.unique(at[now >= self.HIGH])
-                    self.over.append(np.stack([high, self.table[high]]).astype(np.int64))
+                if now.max(initial=0) > self.MOST:
+                    high = np.unique(at[now > self.MOST])
+                    self.over.append(np.stack([high, self.table[high].astype(np.int64)]))
                     self.table[high] = 0
 
-    def part(self, a: int, b: int) -> bytes:
-        """Counts a..b, compressed."""
-        own = self.table[a:b]
-        held = own > 0
-        n = own[held]
-        big = np.flatnonzero(n > 254)
+    def parts(self, per: int) -> Iterator[tuple[int, bytes]]:
+        """(number, compressed counts) of the parts of a whole table, `per` counts each, that these lie in."""
         over = np.concatenate(self.over, 1) if self.over else np.zeros((2, 0), np.int64)
-        over = over[:, (over[0] >= a) & (over[0] < b)] - np.array([[a], [0]])
-        return zlib.compress(pickle.dumps((np.packbits(held), np.minimum(n, 255).astype(np.uint8), n[big], over)), 1)
+        for p in range(self.first // per, -(-(self.first + len(self.table)) // per)):
+            a, b = max(0, p * per - self.first), min(len(self.table), (p + 1) * per - self.first)
+            own = self.table[a:b]
+            held = own > 0
+            n = own[held]
+            big = n > 254
+            high = over[:, (over[0] >= a) & (over[0] < b)] - np.array([[a], [0]])
+            if len(n) or high.size:
+                yield p, zlib.compress(pickle.dumps((a + self.first - p * per, b - a, np.packbits(held), np.where(big, 255, n).astype(np.uint8), n[big], high)), 1)
 
 
 def add_part(sums: np.ndarray, part: bytes) -> None:
     """Adds a compressed part to int64 counts."""
-    held, n, big, over = pickle.loads(zlib.decompress(part))
+    at, size, held, n, big, high = pickle.loads(zlib.decompress(part))
+    own = sums[at : at + size]
     n = n.astype(np.int64)
     n[n == 255] = big
-    sums[np.flatnonzero(np.unpackbits(held, count=len(sums)))] += n
-    np.add.at(sums, over[0], over[1])
+    own[np.flatnonzero(np.unpackbits(held, count=size))] += n
+    np.add.at(own, high[0], high[1])
 
 
 # ---- states: a pair of counts, a byte each
@@ -279,17 +207,8 @@ def states(table: np.ndarray) -> np.ndarray:
     return (q[0::2].astype(np.uint16) << 8) | q[1::2]
 
 
-def _without() -> np.ndarray:
-    """(3, STATES): the state without a bit 0, without a bit 1, and itself."""
-    v = np.arange(STATES)
-    a, b = v >> 8, v & 255
-    less = level(np.maximum(SIZE - 1, 0)).astype(np.int64)
-    return np.stack([(less[a] << 8) | b, (a << 8) | less[b], v]).astype(np.uint16)
-
-
-WITHOUT = _without().reshape(-1)
 _N = SIZE[np.arange(STATES) >> 8] + SIZE[np.arange(STATES) & 255]
-EVIDENCE = np.digitize(_N, [1, 3, 16]).astype(np.int64)[WITHOUT]
+EVIDENCE = np.digitize(_N, [1, 3, 16]).astype(np.int64)
 _PRIOR = (SIZE[np.arange(STATES) & 255] + 0.4) / (_N + 0.8)
 _STRONG = 6.0  # what the formula counts for beside what was seen
 
@@ -312,9 +231,7 @@ class Mixer:
 
     def refresh(self) -> None:
         p = (self.hit + _STRONG * _PRIOR) / (self.all + _STRONG)
-        stretch = np.log(p / (1 - p)).astype(np.float32)
-        #: of each state, without a bit 0, without a bit 1, and as it is
-        self.stretch = stretch[:, WITHOUT]
+        self.stretch = np.log(p / (1 - p)).astype(np.float32)
 
     def inputs(self, u: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(inputs, gate) of the bits of states u, one array per predictor."""
@@ -322,10 +239,7 @@ class Mixer:
         for i in range(PREDICTORS):
             np.take(self.stretch[i], u[i], out=x[i], mode="clip")
         x[-1] = 0.3
-        gate = np.take(EVIDENCE, u[-3]) * 16
-        gate += np.take(EVIDENCE, u[-2]) * 4
-        gate += np.take(EVIDENCE, u[-1])
-        return x, gate
+        return x, np.take(EVIDENCE, u[-3]) * 16 + np.take(EVIDENCE, u[-2]) * 4 + np.take(EVIDENCE, u[-1])
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         w = self.w.astype(np.float32).T.copy()
@@ -336,25 +250,21 @@ class Mixer:
             z += t
         return np.clip(z, -14, 14, out=z)
 
-    def learn(self, u: list[np.ndarray], y: np.ndarray, node: np.ndarray) -> None:
-        """One step: bits y after states u that don't hold them."""
+    def learn(self, u: list[np.ndarray], y: np.ndarray, node: np.ndarray, times: np.ndarray) -> None:
+        """One step: bits y, each so many times, after states u that don't hold them."""
         x, gate = self.inputs(u)
         z = self.mix(x, gate)
         p = 1 / (1 + np.exp(-z))
+        hit = y * times
         at = node * STEPS + np.rint((np.clip(z, -8, 8) + 8) * ((STEPS - 1) / 16)).astype(np.int64)
-        self.map_all += np.bincount(at, minlength=255 * STEPS).reshape(255, STEPS)
-        self.map_hit += np.bincount(at, y, 255 * STEPS).reshape(255, STEPS)
-        ones, hit = np.ones(len(y)), y.astype(np.float64)
+        self.map_all += np.bincount(at, times, 255 * STEPS).reshape(255, STEPS)
+        self.map_hit += np.bincount(at, hit, 255 * STEPS).reshape(255, STEPS)
         for i in range(PREDICTORS):
-            v = np.take(WITHOUT, u[i]).astype(np.int64)
-            np.add.at(self.all[i], v, ones)
-            np.add.at(self.hit[i], v, hit)
-        # nearly certain bits teach nothing
-        err = y - p
-        near = np.flatnonzero(np.abs(err) > 2e-3)
-        near = near[np.argsort(gate[near].astype(np.uint8), kind="stable")]
-        cut = np.searchsorted(gate[near], np.arange(GATES + 1))
-        x, e, s = x[:, near], err[near], (p * (1 - p))[near]
+            np.add.at(self.all[i], u[i], times)
+            np.add.at(self.hit[i], u[i], hit)
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        cut = np.searchsorted(gate[order], np.arange(GATES + 1))
+        x, e, s = x[:, order].astype(np.float64), ((y - p) * times)[order], (p * (1 - p) * times)[order]
         for g in np.flatnonzero(np.diff(cut)):
             own = slice(cut[g], cut[g + 1])
             self.h[g] += (x[:, own] * s[own]) @ x[:, own].T
@@ -412,16 +322,52 @@ def add_learned(a: tuple | None, b: tuple) -> tuple:
     return *(x + y for x, y in zip(a[:4], b[:4], strict=True)), [maps[0], *sums]
 
 
-def bits(laid: Laid, code: Code, slots: Slots, table: np.ndarray, counted: np.ndarray) -> Iterator[tuple[slice, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Per chunk of a layout: its bytes, how many bits each has, their states, the bits and their nodes.
-
-    counted: per text, whether the table holds its bits, of which each is then left out."""
-    for q in chunks(laid):
+def bits(laid: Laid, code: Code, slots: Slots, table: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Per batch: the token of each bit, its states, the bits and their nodes."""
+    for q in batches(laid):
         n, j = code.spell(laid.byte[q])
-        step, y = code.step[j], code.bit[j]
-        leave = np.repeat(np.where(counted[laid.text[q]], 0, 2), n)
-        leave = np.where(leave > 0, leave, y) * STATES
-        u = []
-        for i in range(PREDICTORS):
-            u.append(np.take(table, slots.of(i, laid.contexts[i, q], n, step)) + leave)
-        yield q, n, u, y, code.node[j]
+        step = code.step[j]
+        u = [np.take(table, slots.of(i, laid.contexts[i, q], n, step)).astype(np.int64) for i in range(PREDICTORS)]
+        yield np.repeat(laid.token[q], n), u, code.bit[j], code.node[j]
+
+
+# ---- states of a text
+
+def clusters(follows: np.ndarray, k: int) -> np.ndarray:
+    """A cluster, from 1 to k, of each guide; follows[i, j]: how often guide j was the next one after guide i.
+
+    Guides are alike where the same ones stand around them; centres start at the commonest and at those farthest from all
+    others, and move to their clusters' means."""
+    n = len(follows)
+    around = (follows + follows.T).astype(float)
+    weight = np.sqrt(around.sum(1))
+    x = np.sqrt(around / np.maximum(around.sum(1, keepdims=True), 1))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    k = min(k, n)
+    if not k:
+        return np.zeros(0, np.int64)
+    centre = [int(weight.argmax())]
+    near = x @ x[centre[0]]
+    while len(centre) < k:
+        centre.append(int(((1 - near) * weight).argmax()))
+        near = np.maximum(near, x @ x[centre[-1]])
+    m = x[centre]
+    for _ in range(30):
+        own = (x @ m.T).argmax(1)
+        for c in range(k):
+            v = (x[own == c] * weight[own == c, None]).sum(0)
+            if v.any():
+                m[c] = v / np.linalg.norm(v)
+    return own + 1
+
+
+def last_before(guide: np.ndarray, text: np.ndarray, carried: int) -> np.ndarray:
+    """Of each token, the guide (or -1) last met before it in its text; carried: the first text's from before."""
+    n = len(guide)
+    at = np.full(n, -1, np.int64)
+    np.maximum.accumulate(np.where(guide >= 0, np.arange(n), -1)[:-1], out=at[1:])
+    first = np.searchsorted(text, text)
+    out = np.where(at >= first, guide[at], -1)
+    if carried >= 0 and n:
+        out[(text == text[0]) & (at < first)] = carried
+    return out
