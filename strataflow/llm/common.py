@@ -46,7 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later reads don't compute it again and survive a lost executor."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._strataflow_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._strataflow_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:

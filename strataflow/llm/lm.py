@@ -36,9 +36,9 @@ from . import mixing as M
 
 FREQUENT = 1 << 18  # pairs broadcast with their scores
 GUIDES, SHORT = 512, 6  # guide words, and their most bytes
-STATES, KINDS = 128, 16  # clusters of them, and clusters of those
+STATES, KINDS = 48, 12  # clusters of them, and clusters of those
 PARTS = 64
-PER_TASK = 4_000_000  # pairs whose bits one task counts
+PER_TASK = 1_500_000  # pairs whose bits one task counts
 APART = 4  # one in so many training texts teaches the weights
 STRETCH = 1_000_000  # bytes of text read at once
 _GRAPH = C.lut_of("graph")
@@ -222,6 +222,7 @@ class Model:
         table = self._tables(pairs, (int(got[2]), int(got[3])))
         self.mixer = self._learn(pairs, table(0), int(got[3]))
         self.scored = self._score_pairs(pairs, table(1))
+        C.removed(pairs, table.held)
 
     def _guides(self, train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes of the guides, their states, and the kind of each state (of state 0, without a guide, 0)."""
@@ -265,7 +266,7 @@ class Model:
 
     def _few(self, df: DataFrame, size: int) -> DataFrame:
         """df in few partitions: each task has a table of its own."""
-        return df.coalesce(max(1, -(-size // PER_TASK)))
+        return df.coalesce(max(2, -(-size // PER_TASK)))  # a union puts single partitions into one
 
     def _tables(self, pairs: DataFrame, sizes: tuple[int, int]) -> Callable[[int], np.ndarray]:
         """The state table as a function of the kind: 0 without the texts that stand apart, 1 with them."""
@@ -307,6 +308,7 @@ class Model:
                 out[r.part * per // 2 : r.part * per // 2 + len(r.v) // 2] = np.frombuffer(r.v, np.uint16)
             return out
 
+        table.held = held
         return table
 
     def _learn(self, pairs: DataFrame, table: np.ndarray, size: int) -> M.Mixer:
@@ -332,7 +334,7 @@ class Model:
 
         # in an order that doesn't depend on anything but the pairs learned from
         h = F.xxhash64("word", "s")
-        dealt = pairs.where("cf > 0").selectExpr("s", "word", "cf as c").repartition(max(1, -(-size // (PER_TASK // 4))), h).sortWithinPartitions(h, "word", "s")
+        dealt = pairs.where("cf > 0").selectExpr("s", "word", "cf as c").repartition(max(1, -(-size // (PER_TASK // 2))), h).sortWithinPartitions(h, "word", "s")
         got = None
         for r in dealt.mapInArrow(learn, _BLOBS).repartition(4, "part").mapInArrow(add, _BLOBS).collect():  # at most four
             got = M.add_learned(got, pickle.loads(r.v))

@@ -1,8 +1,8 @@
 """Bit predictors over hashed contexts, and their logistic mixing.
 
 A token, a word or the empty one that ends a text, is coded after a state of the text before it, which also has a kind, of which there
-are fewer.  It is written as its bytes and a space, each byte in a prefix code, and every bit is predicted from nine
-contexts: the last 2, 3 and 4 bytes of the word, these with the kind, the word so far, that with the kind, and that with the state.
+are fewer.  It is written as its bytes and a space, each byte in a prefix code, and every bit is predicted from seven
+contexts: the last 3 and 4 bytes of the word, these with the kind, the word so far, that with the kind, and that with the state.
 
 A context's slot holds how often the bit was 0 and 1 in training texts, each count in a byte (exact to 31, then in eighths of
 an octave).  An adaptive state map per predictor gives the probability that such a pair of counts really stands for; the
@@ -19,6 +19,7 @@ import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,11 @@ from . import common as C
 
 U64 = np.uint64
 BATCH = 1 << 15  # bytes whose bits are worked on at once, and of a step of learning
-ORDERS = (2, 3, 4)
+ORDERS = (3, 4)
 PREDICTORS = 2 * len(ORDERS) + 3
 INPUTS = PREDICTORS + 1  # and a constant
-BITS = (18, 20, 22, 20, 22, 22, 23, 23, 23)  # log2 of the slots of each
-GROUPS = ((0, 1, 2, 3), (4, 5), (6,), (7,), (8,))  # predictors whose counts one task holds
+BITS = (20, 22, 21, 22, 23, 23, 23)  # log2 of the slots of each
+GROUPS = ((0, 1, 2, 3), (4, 5), (6,))  # predictors whose counts one task holds
 GATES, STEPS, STATES = 64, 33, 1 << 16
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
@@ -45,36 +46,51 @@ class Laid:
         """kinds: of each state."""
         offsets, raw = C.buffers(words.cast(pa.large_binary()))
         n = len(offsets) - 1
-        start = offsets + np.arange(n + 1)
-        self.size = np.diff(start)
-        self.byte = np.full(int(start[-1]), 32, np.uint8)
+        self.start = offsets + np.arange(n + 1)
+        self.size = np.diff(self.start)
+        self.byte = np.full(int(self.start[-1]), 32, np.uint8)
         inside = np.ones(len(self.byte), bool)
-        inside[start[1:] - 1] = False
+        inside[self.start[1:] - 1] = False
         self.byte[inside] = raw
         self.token = np.repeat(np.arange(n), self.size)
-        first = np.repeat(start[:-1], self.size)
-        place = np.arange(len(self.byte)) - first
-        key = np.zeros(len(self.byte), U64)
-        kind = (np.repeat(kinds[state].astype(U64), self.size) + U64(1)) * _B
-        self.contexts = np.empty((PREDICTORS, len(self.byte)), np.uint32)
+        self.state, self.kind = state, kinds[state]
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        return np.arange(len(self.byte)) - np.repeat(self.start[:-1], self.size)
+
+    @cached_property
+    def _last(self) -> dict[int, np.ndarray]:
+        """Hashes of the last bytes, by their number."""
+        key, out = np.zeros(len(self.byte), U64), {}
         for j in range(1, ORDERS[-1] + 1):
             before = np.full(len(self.byte), 32, np.uint8)
             before[j:] = self.byte[:-j]
-            before[place < j] = 32
+            before[self.place < j] = 32
             key |= before.astype(U64) << U64(8 * j)
             if j in ORDERS:
-                self._put(ORDERS.index(j), len(ORDERS), C.mix((key + U64(j)) * _A), kind)
-        pw, back = C.powers(len(self.byte))
-        sums = np.zeros(len(self.byte) + 1, U64)
-        np.cumsum((self.byte.astype(U64) + U64(1)) * pw[: len(self.byte)], out=sums[1:], dtype=U64)
-        so_far = (sums[:-1] - sums[first]) * pw[len(pw) - 1 - first] * U64(back)
-        h = C.mix(so_far ^ (place.astype(U64) * _A))
-        self._put(-3, 1, h, kind)
-        self.contexts[-1] = C.mix(h + (np.repeat(np.asarray(state).astype(U64), self.size) + U64(1)) * _A) >> U64(32)
+                out[j] = C.mix((key + U64(j)) * _A)
+        return out
 
-    def _put(self, i: int, more: int, h: np.ndarray, kind: np.ndarray) -> None:
-        self.contexts[i] = h >> U64(32)
-        self.contexts[i + more] = C.mix(h + kind) >> U64(32)
+    @cached_property
+    def _so_far(self) -> np.ndarray:
+        """Hashes of the word so far."""
+        n, first = len(self.byte), np.repeat(self.start[:-1], self.size)
+        pw, back = C.powers(n)
+        sums = np.zeros(n + 1, U64)
+        np.cumsum((self.byte.astype(U64) + U64(1)) * pw[:n], out=sums[1:], dtype=U64)
+        return C.mix(((sums[:-1] - sums[first]) * pw[len(pw) - 1 - first] * U64(back)) ^ (self.place.astype(U64) * _A))
+
+    def context(self, i: int) -> np.ndarray:
+        """The context hash of predictor i at every byte, as a number of 32 bits."""
+        if i not in self.__dict__.setdefault("_held", {}):
+            k = len(ORDERS)
+            h = self._last[ORDERS[i % k]] if i < 2 * k else self._so_far
+            if i >= k and i != 2 * k:
+                beside = (self.state if i == PREDICTORS - 1 else self.kind).astype(U64) + U64(1)
+                h = C.mix(h + np.repeat(beside * (_A if i == PREDICTORS - 1 else _B), self.size))
+            self._held[i] = (h >> U64(32)).astype(np.int64)
+        return self._held[i]
 
 
 # ---- bits
@@ -118,7 +134,7 @@ class Slots:
         return np.r_[0, np.cumsum([1 << b for b in self.bits])].astype(np.int64)
 
     def of(self, i: int, context: np.ndarray, n: np.ndarray, step: np.ndarray) -> np.ndarray:
-        h = np.repeat(context.astype(np.int64), n)
+        h = np.repeat(context, n)
         h += step
         h &= (1 << self.bits[i]) - 1
         h += int(self.base[i])
@@ -149,7 +165,7 @@ class Counts:
             much = times > self.MOST // BATCH
             some = np.where(much, 0, times).astype(np.uint32)
             for i in self.predictors:
-                at = self.slots.of(i, laid.contexts[i, q], n, step)
+                at = self.slots.of(i, laid.context(i)[q], n, step)
                 at *= 2
                 at += bit - self.first
                 if much.any():
@@ -327,7 +343,7 @@ def bits(laid: Laid, code: Code, slots: Slots, table: np.ndarray) -> Iterator[tu
     for q in batches(laid):
         n, j = code.spell(laid.byte[q])
         step = code.step[j]
-        u = [np.take(table, slots.of(i, laid.contexts[i, q], n, step)).astype(np.int64) for i in range(PREDICTORS)]
+        u = [np.take(table, slots.of(i, laid.context(i)[q], n, step)).astype(np.int64) for i in range(PREDICTORS)]
         yield np.repeat(laid.token[q], n), u, code.bit[j], code.node[j]
 
 
