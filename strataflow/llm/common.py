@@ -135,7 +135,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lut: np.ndarray) -> tuple[np.nda
     total = np.zeros(n + 1, U64)
     np.cumsum(low * pw[:n], out=total[1:], dtype=U64)
     h = (total[end] - total[start]) * pw[m - start] * U64(back)
-    text = np.searchsorted(offsets, start, side="right") - 1
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
     return start, end, text, mix(h ^ (end - start).astype(U64))
 
 

@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import mixing as M
 
-FREQUENT = 1 << 18  # pairs broadcast with their scores
+FREQUENT = 1 << 20  # pairs broadcast with their scores
 GUIDES, SHORT = 512, 6  # guide words, and their most bytes
-STATES, KINDS = 48, 12  # clusters of them, and clusters of those
+STATES, KINDS = 24, 12  # clusters of them, and clusters of those
 PARTS = 64
 PER_TASK = 1_500_000  # pairs whose bits one task counts
 APART = 4  # one in so many training texts teaches the weights
-STRETCH = 1_000_000  # bytes of text read at once
+STRETCH, PIECE = 400_000, 128_000  # bytes of text read at once, and of words whose bits are worked on
 _GRAPH = C.lut_of("graph")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -195,7 +195,7 @@ def _laid(batches: Iterator[pa.RecordBatch], kinds: np.ndarray) -> Iterator[tupl
     """Batches of (s, word, ...) in pieces of bounded size."""
     for batch in batches:
         offsets, _ = C.buffers(batch.column(1).cast(pa.large_binary()))
-        for a, b in C.slices(offsets + np.arange(len(offsets)), 500_000):
+        for a, b in C.slices(offsets + np.arange(len(offsets)), PIECE):
             own = batch.slice(a, b - a)
             yield own, M.Laid(own.column(1), own.column(0).to_numpy(), kinds)
 
