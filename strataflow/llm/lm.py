@@ -1,7 +1,7 @@
 """Language-model scoring by logistic context mixing of bit predictors.
 
 How a token's bits are predicted and mixed stands in `mixing`.  A token is coded after a state of the text before it: the cluster of
-the guide word last met.  Guides are the most frequent short words of training texts, and their clusters come from which guide follows
+the guide word last met.  Guides are the most frequent short words of training texts (by 16 bits of a hash), and their clusters come from which guide follows
 which, so that a state tells languages and ways of writing apart.  As a token's bits depend on the text before only through the
 state, each distinct (state, word) is coded once, however often it occurs: pairs are counted over the corpus by a shuffle, of
 any number, and bits are counted, learned and scored on pairs.
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import mixing as M
 
-FREQUENT = 1 << 20  # pairs broadcast with their scores
-GUIDES, SHORT = 512, 6  # guide words, and their most bytes
+FREQUENT = 1 << 19  # pairs broadcast with their scores
+GUIDES, SHORT = 512, 6  # guide words, told apart by BUCKETS values of their hash, and their most bytes
+BUCKETS = 1 << 16
 STATES, KINDS = 24, 12  # clusters of them, and clusters of those
 PARTS = 64
 PER_TASK = 1_500_000  # pairs whose bits one task counts
@@ -82,8 +83,12 @@ class Tokens:
         return pa.Array.from_buffers(pa.large_binary(), len(q), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[self.raw[at]])])
 
 
-def tokens(batch: pa.RecordBatch, guides: list[np.ndarray] | None = None) -> Iterator[Tokens]:
-    """guides: sorted hashes and the value of each."""
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(48)).astype(np.int64)
+
+
+def tokens(batch: pa.RecordBatch, guides: np.ndarray | None = None) -> Iterator[Tokens]:
+    """guides: the value of each bucket of short words, -1 for none."""
     offsets, raw = C.buffers(C.text_column(batch, "text"))
     for a, b in C.slices(offsets, STRETCH):
         lo, hi, carried = int(offsets[a]), int(offsets[b]), -1
@@ -97,11 +102,7 @@ def tokens(batch: pa.RecordBatch, guides: list[np.ndarray] | None = None) -> Ite
                 cut = min(cut, hi)
             own, off = raw[lo:cut], offsets[a : b + 1] - offsets[a] if cut - lo == offsets[b] - offsets[a] else np.array([0, cut - lo])
             start, end, text, h = C.words(own, off, _GRAPH)
-            guide = np.full(len(h), -1, np.int64)
-            if guides is not None and len(guides[0]) and len(h):
-                at = np.minimum(np.searchsorted(guides[0], h), len(guides[0]) - 1)
-                met = guides[0][at] == h
-                guide[met] = guides[1][at[met]]
+            guide = np.full(len(h), -1, np.int64) if guides is None else np.where(end - start <= SHORT, guides[_bucket(h)], -1)
             before = M.last_before(guide, text, carried)
             at_end = np.full(b - a, -1, np.int64)
             at_end[0] = carried
@@ -130,12 +131,12 @@ def _key(h: np.ndarray, state: np.ndarray) -> np.ndarray:
 class Pile:
     """Rows (key, state, word, counts) that are added up by key, and given out where they become many."""
 
-    def __init__(self, names: list[str], most: int = 400_000):
-        self.names, self.most, self.held, self.size = names, most, [], 0
+    def __init__(self, names: list[str], most: int = 800_000):
+        self.names, self.most, self.held, self.size = names, most, [], 0  # 32 bits hold what most rows count
 
     def add(self, key: np.ndarray, state: np.ndarray, words: Callable[[np.ndarray], pa.Array], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         one, at, inv = np.unique(key, return_index=True, return_inverse=True)
-        self.held.append((one, state[at], words(at), *(np.bincount(inv, c, len(one)).astype(np.int64) for c in counts)))
+        self.held.append((one, state[at].astype(np.int16), words(at).cast(pa.binary()), *(np.bincount(inv, c, len(one)).astype(np.int32) for c in counts)))
         self.size += len(one)
         if self.size > self.most:
             self._merge()
@@ -146,7 +147,7 @@ class Pile:
         key, state, words, *counts = zip(*self.held, strict=True)
         one, at, inv = np.unique(np.concatenate(key), return_index=True, return_inverse=True)
         own = pa.concat_arrays(words).take(pa.array(at))
-        self.held = [(one, np.concatenate(state)[at], own, *(np.bincount(inv, np.concatenate(c), len(one)).astype(np.int64) for c in counts))]
+        self.held = [(one, np.concatenate(state)[at], own, *(np.bincount(inv, np.concatenate(c), len(one)).astype(np.int32) for c in counts))]
         self.size = len(one)
 
     def out(self) -> Iterator[pa.RecordBatch]:
@@ -155,21 +156,21 @@ class Pile:
             _, state, words, *counts = self.held[0]
             for a in range(0, len(state), 50_000):
                 q = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(state[q], pa.int32()), words[q].cast(pa.binary()), *(pa.array(c[q]) for c in counts)], names=["s", "word", *self.names])
+                yield pa.RecordBatch.from_arrays([pa.array(state[q], pa.int32()), words[q], *(pa.array(c[q].astype(np.int64)) for c in counts)], names=["s", "word", *self.names])
         self.held, self.size = [], 0
 
 
 def _short_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words that may be guides."""
-    pile = Pile(["c"])
+    """Counts of the short words of a task, by bucket."""
+    out = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for t in tokens(batch):
-            q = np.flatnonzero(t.end - t.start <= SHORT)
-            yield from pile.add(t.hash[q], np.zeros(len(q), np.int64), lambda at, t=t, q=q: t.words(q[at]), [np.ones(len(q))])
-    yield from pile.out()
+            out += np.bincount(_bucket(t.hash[t.end - t.start <= SHORT]), minlength=BUCKETS)
+    at = np.flatnonzero(out)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "c"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], guides: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], guides: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Counts of (state, word): of training texts, of those that stand apart, and of all."""
     pile = Pile(["ct", "cf", "t"])
     empty = pa.array([b""], pa.large_binary())
@@ -208,7 +209,7 @@ class Model:
         kind = F.when(held_out(), 2).when(_apart(), 1).otherwise(0)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("kind", kind)
         train = self.docs.where("kind < 2").select("text")
-        *self.guides, self.kinds = self._guides(train)
+        self.guides, self.kinds = self._guides(train)
         guides = self.guides
         raw = self.docs.select("text", "kind").mapInArrow(lambda it: _pairs(it, guides), "s int, word binary, ct long, cf long, t long")
         # by the word, so that its states meet: c is the token's count, lead marks one of its rows
@@ -224,13 +225,12 @@ class Model:
         self.scored = self._score_pairs(pairs, table(1))
         C.removed(pairs, table.held)
 
-    def _guides(self, train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted hashes of the guides, their states, and the kind of each state (of state 0, without a guide, 0)."""
-        counted = train.mapInArrow(_short_words, "s int, word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-        rows = counted.orderBy(F.desc("c"), "word").limit(GUIDES).collect()
-        h = hashes(pa.array([bytes(r.word) for r in rows], pa.binary()))
-        order = np.argsort(h, kind="stable")
-        ids, n = [h[order], np.arange(len(h))], len(h)
+    def _guides(self, train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The state of each bucket, -1 where it is no guide, and the kind of each state (of state 0, without a guide, 0)."""
+        counted = train.mapInArrow(_short_words, "at long, c long").groupBy("at").agg(F.sum("c").alias("c"))
+        rows = counted.orderBy(F.desc("c"), "at").limit(GUIDES).collect()
+        ids, n = np.full(BUCKETS, -1, np.int64), len(rows)
+        ids[[r.at for r in rows]] = np.arange(n)
 
         def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(n * n, np.int64)
@@ -242,27 +242,30 @@ class Model:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "c"])
 
         follows = np.zeros(n * n, np.int64)
-        if n:
-            for r in train.mapInArrow(follow, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():  # at most GUIDES squared
-                follows[r.at] = r.c
-        state = M.clusters(follows.reshape(n, n), STATES)
+        if not n:
+            return ids, np.zeros(1, np.int64)
+        for r in train.mapInArrow(follow, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():  # at most GUIDES squared
+            follows[r.at] = r.c
+        follows = follows.reshape(n, n)
+        state = M.clusters(follows, STATES)
         own = np.eye(STATES + 1, dtype=np.int64)[state]
-        kinds = np.r_[0, M.clusters((own.T @ follows.reshape(n, n) @ own)[1:, 1:], KINDS)] if n else np.zeros(1, np.int64)
-        return h[order], state, kinds
+        return np.where(ids >= 0, state[ids], -1), np.r_[0, M.clusters((own.T @ follows @ own)[1:, 1:], KINDS)]
 
     def _bytes(self, pairs: DataFrame) -> np.ndarray:
+        """How often each byte stands behind each."""
         kinds = self.kinds
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(256)
+            out = np.zeros(1 << 16)
             for batch, laid in _laid(batches, kinds):
-                out += np.bincount(laid.byte, np.repeat(batch.column(2).to_numpy(), laid.size), 256)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(out.astype(np.int64))], names=["byte", "c"])
+                out += np.bincount(laid.pair, np.repeat(batch.column(2).to_numpy(), laid.size), 1 << 16)
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at].astype(np.int64))], names=["at", "c"])
 
-        out = np.zeros(256, np.int64)
-        for r in pairs.where("ct + cf > 0").selectExpr("s", "word", "ct + cf as c").mapInArrow(run, "byte long, c long").groupBy("byte").agg(F.sum("c").alias("c")).collect():
-            out[r.byte] = r.c
-        return out
+        out = np.zeros(1 << 16, np.int64)
+        for r in pairs.where("ct + cf > 0").selectExpr("s", "word", "ct + cf as c").mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():  # at most 65,536
+            out[r.at] = r.c
+        return out.reshape(256, 256)
 
     def _few(self, df: DataFrame, size: int) -> DataFrame:
         """df in few partitions: each task has a table of its own."""
@@ -354,7 +357,9 @@ class Model:
                     cost += np.bincount(token, mixer.cost(u, y, node), batch.num_rows)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cost)], names=["s", "word", "c", "t", "cost"])
 
-        return C.written(pairs.select("s", "word", "c", "t").mapInArrow(run, "s int, word binary, c long, t long, cost double"), "scored")
+        out = C.written(pairs.select("s", "word", "c", "t").mapInArrow(run, "s int, word binary, c long, t long, cost double"), "scored")
+        held.destroy()
+        return out
 
     def score(self) -> DataFrame:
         sc = self.docs.sparkSession.sparkContext
@@ -382,7 +387,7 @@ class Model:
             for batch in batches:
                 n = batch.num_rows
                 sums = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_bytes", "n_known")} | {k: np.zeros(n) for k in ("base", "cost")}
-                rare: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]] = []
+                rare: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
 
                 def take(t: Tokens, text: np.ndarray, h: np.ndarray, s: np.ndarray, size: np.ndarray, words: Callable[[np.ndarray], pa.Array]) -> None:
                     own = slice(t.first, t.first + t.n)
@@ -399,29 +404,27 @@ class Model:
                         sum_("cost", price[one] * met)
                     miss = np.flatnonzero(~met)
                     if len(miss):
-                        _, first, inv = np.unique(C.mix(key[miss] + (text[miss].astype(np.uint64) << np.uint64(32))), return_index=True, return_inverse=True)
-                        q = miss[first]
-                        rare.append((text[q] + t.first, s[q], words(q), np.bincount(inv)))
+                        rare.append((text[miss] + t.first, s[miss], words(miss)))
 
                 for t in tokens(batch, guides):
                     take(t, t.text, t.hash, np.maximum(t.before, 0), t.end - t.start, t.words)
                     if t.last:
                         take(t, np.arange(t.n), np.zeros(t.n, np.uint64), np.maximum(t.at_end, 0), np.zeros(t.n), lambda q: empty.take(pa.array(np.zeros(len(q), np.int64))))
-                text, s, words, m = zip(*rare, strict=True) if rare else ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.large_binary())], [np.zeros(0, np.int64)])
+                text, s, words = zip(*rare, strict=True) if rare else ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.large_binary())])
                 text = np.concatenate(text)
                 order = np.argsort(text, kind="stable")
                 cut = np.searchsorted(text[order], np.arange(n + 1))
-                fields = [pa.array(np.concatenate(s)[order], pa.int32()), pa.concat_arrays(words).take(pa.array(order)).cast(pa.binary()), pa.array(np.concatenate(m)[order])]
-                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(fields, ["s", "word", "n"]))
+                fields = [pa.array(np.concatenate(s)[order], pa.int32()), pa.concat_arrays(words).take(pa.array(order)).cast(pa.binary())]
+                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(fields, ["s", "word"]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums.values()), lists], names=["doc_id", *sums, "rare"])
 
-        schema = "doc_id long, n_tokens long, n_bytes long, n_known long, base double, cost double, rare array<struct<s: int, word: binary, n: long>>"
+        schema = "doc_id long, n_tokens long, n_bytes long, n_known long, base double, cost double, rare array<struct<s: int, word: binary>>"
         part = C.written(self.docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scores")
-        rare = part.select("_row", F.explode("rare").alias("r")).select("_row", "r.s", "r.word", "r.n")
+        rare = part.select("_row", F.explode("rare").alias("r")).select("_row", "r.s", "r.word")
         met = rare.join(self.scored.where(~frequent), ["word", "s"]).groupBy("_row").agg(
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"),
-            F.sum(F.col("n") * (F.log10(F.col("c") + F.lit(0.1)) - F.lit(norm))).alias("_base"),
-            F.sum(F.col("n") * F.col("cost")).alias("_cost"),
+            F.count(F.when(F.col("c") > 0, 1)).alias("_known"),
+            F.sum(F.log10(F.col("c") + F.lit(0.1)) - F.lit(norm)).alias("_base"),
+            F.sum("cost").alias("_cost"),
         )
         cost = F.col("cost") + F.coalesce("_cost", F.lit(0.0))
         return part.drop("rare").join(met, "_row", "left").select(

@@ -1,7 +1,7 @@
 """Bit predictors over hashed contexts, and their logistic mixing.
 
 A token, a word or the empty one that ends a text, is coded after a state of the text before it, which also has a kind, of which there
-are fewer.  It is written as its bytes and a space, each byte in a prefix code, and every bit is predicted from seven
+are fewer.  It is written as its bytes and a space, each byte in a prefix code that the byte before it chooses, and every bit is predicted from seven
 contexts: the last 3 and 4 bytes of the word, these with the kind, the word so far, that with the kind, and that with the state.
 
 A context's slot holds how often the bit was 0 and 1 in training texts, each count in a byte (exact to 31, then in eighths of
@@ -59,6 +59,13 @@ class Laid:
     def place(self) -> np.ndarray:
         return np.arange(len(self.byte)) - np.repeat(self.start[:-1], self.size)
 
+    @cached_property
+    def pair(self) -> np.ndarray:
+        """Each byte with the one before it, which is a space at a word's start."""
+        before = np.full(len(self.byte), 32, np.int64)
+        before[1:] = self.byte[:-1]
+        return before * 256 + self.byte
+
     @cached_property
     def _last(self) -> dict[int, np.ndarray]:
         """Hashes of the last bytes, by their number."""
@@ -95,32 +102,43 @@ class Laid:
 
 # ---- bits
 
+def _huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """(node, bit) of each symbol's path."""
+    heap = [(int(c) * 256 + 1, b) for b, c in enumerate(counts)]
+    heapq.heapify(heap)
+    child = []
+    while len(heap) > 1:
+        (c, x), (d, y) = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, (c + d, 256 + len(child)))
+        child.append((x, y))
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(256 + len(child))]
+    for node in range(len(child) - 1, -1, -1):
+        for bit in (0, 1):
+            paths[child[node][bit]] = [*paths[256 + node], (node, bit)]
+    return paths[:256]
+
+
 class Code:
-    """A prefix code of bytes: Huffman's, of their counts."""
+    """A prefix code of bytes for each byte before: Huffman's, of their counts behind it."""
 
     def __init__(self, counts: np.ndarray):
-        heap = [(int(c) + 1, b) for b, c in enumerate(counts)]
-        heapq.heapify(heap)
-        child, new = {}, 256
-        while len(heap) > 1:
-            (c, x), (d, y) = heapq.heappop(heap), heapq.heappop(heap)
-            child[new] = (x, y)
-            heapq.heappush(heap, (c + d, new))
-            new += 1
-        paths: dict[int, tuple] = {heap[0][1]: ()}
-        for node in range(new - 1, 255, -1):
-            for bit in (0, 1):
-                paths[child[node][bit]] = (*paths[node], (node - 256, bit))
-        self.length = np.array([len(paths[b]) for b in range(256)])
+        seen = counts.any(1)
+        rare = _huffman(counts.sum(0))
+        paths = [p for b in range(256) for p in (_huffman(counts[b]) if seen[b] else rare)]
+        self.length = np.array([len(p) for p in paths], np.int64)
         self.at = np.cumsum(self.length) - self.length
-        self.node = np.array([x for b in range(256) for x, _ in paths[b]], np.int64)  # of 255: the bits seen of the byte
-        self.bit = np.array([x for b in range(256) for _, x in paths[b]], np.int64)
-        self.step = (self.node * 0x9E3779B1) & 0xFFFFFFFF
+        self.node = np.array([x for p in paths for x, _ in p], np.uint8)  # the bits seen of the byte
+        self.bit = np.array([x for p in paths for _, x in p], np.uint8)
+
+    def spell(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of bytes behind bytes: how many bits each has; node, its part of the slots' hash, and bit of all of them."""
+        n = self.length[pair]
+        j = np.arange(int(n.sum())) + np.repeat(self.at[pair] - np.cumsum(n) + n, n)
+        node = self.node[j].astype(np.int64)
+        return n, node, _STEP[node], self.bit[j].astype(np.int64)
+
 
-    def spell(self, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(how often each byte's place stands, place in node and bit) of the bits."""
-        n = self.length[byte]
-        return n, np.arange(int(n.sum())) + np.repeat(self.at[byte] - np.cumsum(n) + n, n)
+_STEP = (np.arange(256) * 0x9E3779B1) & 0xFFFFFFFF
 
 
 @dataclass(frozen=True)
@@ -160,8 +178,8 @@ class Counts:
     def add(self, laid: Laid, count: np.ndarray) -> None:
         """count: of each token."""
         for q in batches(laid):
-            n, j = self.code.spell(laid.byte[q])
-            step, bit, times = self.code.step[j], self.code.bit[j], np.repeat(count[laid.token[q]], n)
+            n, _, step, bit = self.code.spell(laid.pair[q])
+            times = np.repeat(count[laid.token[q]], n)
             much = times > self.MOST // BATCH
             some = np.where(much, 0, times).astype(np.uint32)
             for i in self.predictors:
@@ -341,10 +359,9 @@ def add_learned(a: tuple | None, b: tuple) -> tuple:
 def bits(laid: Laid, code: Code, slots: Slots, table: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
     """Per batch: the token of each bit, its states, the bits and their nodes."""
     for q in batches(laid):
-        n, j = code.spell(laid.byte[q])
-        step = code.step[j]
+        n, node, step, bit = code.spell(laid.pair[q])
         u = [np.take(table, slots.of(i, laid.context(i)[q], n, step)).astype(np.int64) for i in range(PREDICTORS)]
-        yield np.repeat(laid.token[q], n), u, code.bit[j], code.node[j]
+        yield np.repeat(laid.token[q], n), u, bit, node
 
 
 # ---- states of a text
