@@ -128,6 +128,36 @@ def _key(h: np.ndarray, state: np.ndarray) -> np.ndarray:
     return C.mix(h + state.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings equal keys together, and where each group starts in it."""
+    order = np.argsort(key)
+    own = key[order]
+    return order, np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(key)])
+
+
+class Keys:
+    """Places of sorted 64-bit keys, found through the top bits."""
+
+    TOP = 20
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.start = np.searchsorted(keys >> np.uint64(64 - self.TOP), np.arange((1 << self.TOP) + 1).astype(np.uint64)).astype(np.int32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """-1 where it isn't held."""
+        top = (key >> np.uint64(64 - self.TOP)).astype(np.int64)
+        at, end, out = self.start[top], self.start[top + 1], np.full(len(key), -1, np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == key[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
 class Pile:
     """Rows (key, state, word, counts) that are added up by key, and given out where they become many."""
 
@@ -135,8 +165,12 @@ class Pile:
         self.names, self.most, self.held, self.size = names, most, [], 0  # 32 bits hold what most rows count
 
     def add(self, key: np.ndarray, state: np.ndarray, words: Callable[[np.ndarray], pa.Array], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        one, at, inv = np.unique(key, return_index=True, return_inverse=True)
-        self.held.append((one, state[at].astype(np.int16), words(at).cast(pa.binary()), *(np.bincount(inv, c, len(one)).astype(np.int32) for c in counts)))
+        if not len(key):
+            return
+        order, first = _groups(key)
+        at = order[first]
+        one = key[at]
+        self.held.append((one, state[at].astype(np.int16), words(at).cast(pa.binary()), *(np.add.reduceat(c[order], first, dtype=np.int32) for c in counts)))
         self.size += len(one)
         if self.size > self.most:
             self._merge()
@@ -145,9 +179,12 @@ class Pile:
 
     def _merge(self) -> None:
         key, state, words, *counts = zip(*self.held, strict=True)
-        one, at, inv = np.unique(np.concatenate(key), return_index=True, return_inverse=True)
+        key = np.concatenate(key)
+        order, first = _groups(key)
+        at = order[first]
+        one = key[at]
         own = pa.concat_arrays(words).take(pa.array(at))
-        self.held = [(one, np.concatenate(state)[at], own, *(np.bincount(inv, np.concatenate(c), len(one)).astype(np.int32) for c in counts))]
+        self.held = [(one, np.concatenate(state)[at], own, *(np.add.reduceat(np.concatenate(c)[order], first, dtype=np.int32) for c in counts))]
         self.size = len(one)
 
     def out(self) -> Iterator[pa.RecordBatch]:
@@ -377,7 +414,7 @@ class Model:
         words = pa.concat_arrays(some.column(1).chunks) if some.num_rows else pa.array([], pa.binary())
         key = _key(hashes(words), some.column(0).to_numpy())
         order = np.argsort(key, kind="stable")
-        held = sc.broadcast((key[order], some.column(2).to_numpy()[order], some.column(3).to_numpy()[order]))
+        held = sc.broadcast((Keys(key[order]), some.column(2).to_numpy()[order], some.column(3).to_numpy()[order]))
         tokens_, guides = self.tokens, self.guides
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,10 +432,10 @@ class Model:
                     sum_("n_tokens", np.ones(len(h)))
                     sum_("n_bytes", size + 1)
                     key = _key(h, s)
-                    at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                    met = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-                    one = np.where(met, at, 0)
-                    if len(keys):
+                    at = keys.find(key)
+                    met = at >= 0
+                    one = np.maximum(at, 0)
+                    if len(count):
                         sum_("n_known", known[one] & met)
                         sum_("base", worth[one] * met)
                         sum_("cost", price[one] * met)

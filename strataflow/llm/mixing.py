@@ -399,7 +399,8 @@ def last_before(guide: np.ndarray, text: np.ndarray, carried: int) -> np.ndarray
     n = len(guide)
     at = np.full(n, -1, np.int64)
     np.maximum.accumulate(np.where(guide >= 0, np.arange(n), -1)[:-1], out=at[1:])
-    first = np.searchsorted(text, text)
+    size = np.bincount(text)
+    first = np.repeat(np.cumsum(size) - size, size)
     out = np.where(at >= first, guide[at], -1)
     if carried >= 0 and n:
         out[(text == text[0]) & (at < first)] = carried
