@@ -88,21 +88,69 @@ def test_decontamination_of_nothing(spark, docs, none):
 
 def test_chat(spark):
     rows = [(c, t, ("user", "assistant")[t % 2], f"turn {t} of {c}?\nmore") for c in range(12) for t in range(5)]
-    df = spark.createDataFrame([*rows, rows[0], rows[0]], "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame([(*r, "x", 1) for r in [*rows, rows[0], rows[0]]], "conv_id long, turn long, role string, text string, seq string, copies int")
     out = chat.format_chats(df).collect()
     assert len(out) == 60 and all(x.agrees for x in out)
     assert {(x.conv_id, x.turn): x.text for x in out} == {(r[0], r[1]): r[3] for r in rows}
     assert sum(x.copies for x in out) == 62
     assert chat.format_chats(df.limit(0)).count() == 0
-    odd = spark.createDataFrame([(None, 0, None, None), (1, None, "x", "")], df.schema)
-    assert chat.format_chats(odd).count() == 2
-
-
-def test_chat_without_markers():
-    text = "Hello, can you help?\n\nSure.\nHere is how.\n\nThanks, and what then?"
-    got = list(chat.parse(iter(["User: hi", "Assistant: hello", "* more", "User: bye"])))
-    assert got == [("user", "hi"), ("assistant", "hello\n* more"), ("user", "bye")]
-    assert list(chat.parse(iter(text.split("\n"))))[0][0] == "user"
+    odd = spark.createDataFrame([(None, 0, None, None, "", 0), (None, 0, "user", "b", "", 0), (1, None, "x", "", "", 0)], df.schema)
+    assert chat.format_chats(odd).count() == 3
+
+
+def brute_turns(lines, chain):
+    """The likeliest path by plain recursion over whole paths of every mode."""
+    seen = [chat.observe(x) for x in lines]
+    best = None
+    for m in range(chat.MODES):
+        score = {}
+        for i, (mark, form, shape, _) in enumerate(seen):
+            symbol = 5 if mark == 4 else mark if mark < 3 and form == m else 3 if mark == 3 and m == chat.MODES - 2 else 4
+            blank = i and seen[i - 1][2] == 0 and seen[i - 1][0] == 4
+            new = {}
+            for s in range(6):
+                own = chain.marks[m, s, symbol] + chain.shapes[s, shape]
+                new[s] = (chain.start[m, s] + own, (s,)) if not i else max(((v + chain.moves[m, int(blank), q, s] + own, (*path, s)) for q, (v, path) in score.items()), key=lambda x: x[0])
+            score = new
+        top = max(score.values(), key=lambda x: x[0])
+        if best is None or top[0] > best[0]:
+            best = (*top, m)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_chat_viterbi_is_exact_over_blocks(seed):
+    r = random.Random(seed)
+    rng = np.random.default_rng(seed)
+    chain = chat.Chain([rng.random(s) * 20 for s in chat.Chain.SHAPES])
+    lines = [r.choice(["User: hi", "Kim: so?", "", "plain words", "- item", "[AI] yes", "what?", "### Human"]) for _ in range(60)]
+    _, path, mode = brute_turns(lines, chain)
+    for block in (3, 7, 60, 4096):
+        got = list(chat.parse(zip(lines, range(60)), chain, block))
+        want = [i for i, s in enumerate(path) if s < 3 or not i]
+        assert [at for *_, at in got] == want and [chat.ROLES.index(x[0]) for x in got] == [path[i] % 3 for i in want]
+
+
+def test_chat_of_missing_ambiguous_and_quoted_markers(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"line one of {t}.\nline two") for c in range(64) for t in range(4)]
+    quoted = [(c, 4, "user", "he wrote:\n[User] not me\nUser: nor me\n### Human\nfine") for c in range(64)]
+    after = [(c, 5, "assistant", "I see.") for c in range(64)]
+    out = chat.format_chats(spark.createDataFrame(rows + quoted + after, "conv_id long, turn long, role string, text string")).collect()
+    by = {}
+    for x in out:
+        by.setdefault(x.conv_id, []).append(x)
+    style = {c: zlib.crc32(str(c).encode()) % len(chat.STYLES) for c in by}
+    assert set(style.values()) == set(range(len(chat.STYLES)))
+    for c, own in by.items():
+        own.sort(key=lambda x: x.seq)
+        assert [x.seq for x in own] == list(range(len(own)))
+        if chat.STYLES[style[c]] not in ("{Role}: {text}", "[{Role}] {text}", "### {Role}\n{text}"):  # a quotation in its own form can't be told
+            assert [x.turn for x in own] == list(range(6)) and all(x.agrees for x in own)
+        # a later row is tied to its own place whatever came before
+        assert [x for x in own if x.turn == 5][-1].agrees
+    long = spark.createDataFrame([(1, t, ("user", "assistant")[t % 2], f"t{t}\nb") for t in range(5000)], "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(long).collect()
+    assert sorted(x.seq for x in out) == list(range(5000)) and all(x.agrees and x.turn == x.seq for x in out)
 
 
 # ---- 3
