@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataflow.llm import chat, classify, common, decontaminate, html, lm, media, packing, sharding, similarity, warc
+from strataflow.llm import chat, classify, common, decontaminate, html, lm, media, mixing, packing, sharding, similarity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, v string"
 
@@ -155,106 +155,131 @@ def test_chat_of_missing_ambiguous_and_quoted_markers(spark):
 
 # ---- 3
 
-def test_lm_base_and_gain(spark, docs):
-    got = {x.doc_id: x for x in lm.Model(docs, frequent=4).score().collect()}
-    texts = dict(enumerate(some_texts()))
-    c = Counter()
-    for d, t in texts.items():
-        if zlib.crc32(str(d).encode()) % 10:
-            c.update((t or "").encode().lower().split() + [b""])
-    n, v = sum(c.values()), len(c)
-    for d, t in texts.items():
-        w = (t or "").encode().lower().split() + [b""]
-        x = got[d]
-        assert x.base_score == pytest.approx(sum(math.log10((c[y] + 0.1) / (n + 0.1 * (v + 1))) for y in w), rel=1e-9)
-        assert (x.n_tokens, x.n_known, x.train_tokens) == (len(w), sum(c[y] > 0 for y in w), n)
-        assert x.score < 0 and x.held_out == (zlib.crc32(str(d).encode()) % 10 == 0)
-    assert got[0].score == pytest.approx(got[60].score)
-
-
-def test_lm_gives_probabilities(spark, docs):
-    """Over all one-byte words and the end, probabilities of the coded symbols stay below one in sum."""
-    m = lm.Model(docs)
-    words = {bytes(x.word): x.s for x in m.words.collect()}
-    assert sum(10**s for s in words.values()) <= 1.0001
-
-
-def test_lm_of_long_words(spark):
-    """A word whose probability is below the smallest double, unseen in a class or in all."""
-    r = random.Random(4)
-    long = ["".join(r.choices("QxZ7+/kj0W", k=600)) for _ in range(2)]
-    texts = ["the cat sat on the mat", "le chat noir", f"a {long[0]} b", f"the {long[1]} cat"] * 5
-    rows = [(i, t, "fr" if i % 4 == 1 else "en") for i, t in enumerate(texts) if i % 4 < 3 or zlib.crc32(str(i).encode()) % 10 == 0]
-    far = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0)
-    docs = spark.createDataFrame([*rows, (far, texts[3], "en")], "doc_id long, text string, lang string")
-    for frequent in (10**6, 1):
-        m = lm.Model(docs, frequent=frequent)
-        words = {bytes(x.word): x for x in m.words.collect()}
-        assert min(x.s for x in words.values()) < -400
-        for x in m.score().where(F.col("doc_id").isin(2, far)).collect():
-            each = []
-            for k, n, t, share in m.classes:
-                own = [words[w] for w in [*texts[2 if x.doc_id == 2 else 3].lower().encode().split(), b""]]
-                each.append(share + sum(math.log10((w.ck[k] + t * 10**w.s) / (n + t)) if w.ck[k] else w.s + math.log10(t / (n + t)) for w in own))
-            most = max(each)
-            assert x.score == pytest.approx(most + math.log10(sum(10 ** (e - most) for e in each)), rel=1e-9)
-
-
-def test_lm_of_cut_tries(monkeypatch):
-    """Pieces of a beginning have the scores, and the bits to learn from, of one trie."""
-    r = random.Random(6)
-    tail = lambda k: bytes(r.choices(b"abcx\x01\xc3", k=k))
-    words = {b"http" + tail(r.randrange(9)) for _ in range(300)} | {b"www." + tail(3) for _ in range(60)} | {b"x" * 60 + tail(2) for _ in range(20)} | {tail(2) for _ in range(9)} | {b""}
-    words = sorted(words, key=lambda w: w + b" ")
-    c = [r.choice([0, 1, 2, 9]) for _ in words]
-    table = np.random.default_rng(1).integers(0, 50, 2 * lm.PARTS * lm._PER).astype(np.float32)
-    model = lm.Mixer()
-    model = (model.w, model.refine())
-    seen = []
-    monkeypatch.setattr(lm, "_learn", lambda m, n0, n1, deep, y, weight, node: seen.extend(zip(*n0, *n1, y, node, weight, strict=True)))
-
-    def run(most, size):
-        monkeypatch.setattr(lm, "TRIE", most)
-        seen.clear()
-        rows = pa.table({"word": pa.array(words, pa.binary()), "c": c})
-        total, n = [], 0
-        for t, beside in lm._tries(iter(rows.to_batches(size))):
-            own = t.column("word").combine_chunks(), t.column("c").to_numpy()
-            total, n = [*total, *lm._walk(*own, beside, table, None, model)], n + 1
-            lm._walk(*own, beside, table, lm.Mixer())
-        by = Counter()
-        for *x, weight in seen:
-            by[tuple(map(float, x))] += float(weight)
-        return total, by, n
-
-    want, bits, n = run(10**6, 10**6)
-    assert n == 1
-    for most in (1, 7, 40, 100):
-        total, by, n = run(most, 13)
-        assert n >= len(words) // most and total == pytest.approx(want, rel=1e-9) and by == bits
-
-
-def test_lm_classes_of_whole_training_texts(spark):
-    clean, junk = "word " * 300, "a### b$$$ " * 400
-    docs = spark.createDataFrame([(1, clean + junk, "en"), (2, junk[:1500] + clean * 5, "en")], "doc_id long, text string, lang string")
-    assert not {x for x in (1, 2) if zlib.crc32(str(x).encode()) % 10 == 0}
-    ck = {bytes(x.word): list(x.ck) for x in lm.Model(docs).words.collect()}
-    assert ck[b"a###"] == [150, 400, 0, 0] and ck[b"word"] == [1500, 300, 0, 0]
-    for text in ("a b$c $ $$x\x0b$y, z\t", "", " \n", "é$ ü # ab"):
-        words = text.encode().split()
-        n = sum(any(x not in b"0123456789abcdefghijklmnopqrstuvwxyz.,;:'\"()?-" and x < 128 for x in w) for w in words)
-        assert lm._odd(text.encode(), len(words)) == (10 * n > 3 * len(words))
-
-
-def test_lm_ranks_languages_of_training_rows(spark):
-    out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
-    rows = [(i, "ab cd", "xx") for i in out] + [(i, "ab cd", lang) for i, lang in zip((i for i in range(200) if i not in out), ["a", "b", "c", "d"] * 2)]
-    classes = lm.Model(spark.createDataFrame(rows, "doc_id long, text string, lang string")).classes
-    assert [k for k, *_ in classes] == [0, 2, 4, 6]
-
-
-def test_lm_of_nothing(none):
-    assert lm.Model(none).score().count() == 0
+SMALL = (12, 13, 13, 13, 14, 14, 14)
+
+
+def lm_rows(spark, texts, **how):
+    return {x.doc_id: x for x in lm.Model(frame(spark, texts), bits=SMALL, **how).score().collect()}
+
+
+def test_lm_base(spark):
+    texts = some_texts()
+    low = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())), b""]
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))}
+    c = Counter(w for i, t in enumerate(texts) if not held[i] for w in low(t))
+    n, v = c.total(), len(c)
+    for frequent in (10**6, 3, 0):
+        got = lm_rows(spark, texts, frequent=frequent)
+        for i, t in enumerate(texts):
+            own, x = low(t), got[i]
+            assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held[i], len(own), sum(w in c for w in own), n)
+            assert math.isclose(x.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), rel_tol=1e-9)
+            assert x.score <= 0 and math.isclose(x.bits_per_byte * sum(len(w) + 1 for w in own), -x.score * math.log2(10), rel_tol=1e-9)
+
+
+def slow_cost(model, table, words, states):
+    """Bits of tokens, one bit after the other, in plain Python."""
+    m, code, base = model.mixer, model.code, model.slots.base.tolist()
+    whole = (1 << 64) - 1
+
+    def mix(h):
+        h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & whole
+        h = ((h ^ h >> 27) * 0x94D049BB133111EB) & whole
+        return h ^ h >> 31
+
+    a, b, out = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, []
+    for word, state in zip(words, states):
+        cost, kind, bytes_ = 0.0, int(model.kinds[state]), word + b" "
+        for i, byte in enumerate(bytes_):
+            last = lambda k, i=i: bytes_[i - k] if k <= i else 32
+            keys = {k: mix((sum(last(j) << 8 * j for j in range(1, k + 1)) + k) * a & whole) for k in mixing.ORDERS}
+            so_far = mix(sum((bytes_[j] + 1) * pow(common._P, j, 1 << 64) for j in range(i)) & whole ^ i * a & whole)
+            beside = lambda h, x, f: mix((h + (x + 1) * f) & whole)
+            ctx = [*keys.values(), *(beside(h, kind, b) for h in keys.values()), so_far, beside(so_far, kind, b), beside(so_far, state, a)]
+            pair = last(1) * 256 + byte
+            for j in range(code.at[pair], code.at[pair] + code.length[pair]):
+                node, bit = int(code.node[j]), int(code.bit[j])
+                u = [int(table[base[p] + ((h >> 32) + (node * 0x9E3779B1 & 0xFFFFFFFF)) % (1 << SMALL[p])]) for p, h in enumerate(ctx)]
+                seen = [sum(x >= y for y in (1, 3, 16)) for x in (int(mixing.SIZE[v >> 8] + mixing.SIZE[v & 255]) for v in u)]
+                w = m.w[seen[-3] * 16 + seen[-2] * 4 + seen[-1]]
+                z = max(-14.0, min(14.0, sum(w[p] * float(m.stretch[p][v]) for p, v in enumerate(u)) + w[-1] * 0.3))
+                at = (max(-8.0, min(8.0, z)) + 8) * (mixing.STEPS - 1) / 16
+                k = min(int(at), mixing.STEPS - 2)
+                p = 0.5 / (1 + math.exp(-z)) + 0.5 * (m.refined[node, k] * (1 - at + k) + m.refined[node, k + 1] * (at - k))
+                p = max(1e-6, min(1 - 1e-6, p))
+                cost -= math.log2(p if bit else 1 - p)
+        out.append(cost)
+    return out
+
+
+def test_lm_scores_are_those_of_a_coder_bit_by_bit(spark, monkeypatch):
+    tables = []
+    keep = lm.Model._score_pairs
+    monkeypatch.setattr(lm.Model, "_score_pairs", lambda self, pairs, table: tables.append(table) or keep(self, pairs, table))
+    texts = some_texts(80)
+    model = lm.Model(frame(spark, texts), bits=SMALL)
+    rows = sorted((bytes(x.word), x.s, x.cost) for x in model.scored.collect() if len(x.word) < 200)
+    slow = slow_cost(model, tables[0], [w for w, _, _ in rows], [s for _, s, _ in rows])
+    assert np.allclose(slow, [c for *_, c in rows], rtol=1e-4)
+    # the score of a text is the sum over its tokens after their states
+    cost = {(w, s): c for w, s, c in rows}
+    got = {x.doc_id: x.score for x in model.score().collect()}
+    for i in (0, 1, 40, 83):
+        state, total = 0, 0.0
+        for w in [*(texts[i] or "").lower().encode().split(), b""]:
+            total += cost[w, state]
+            if 0 < len(w) <= lm.SHORT:
+                h = int(lm._bucket(common.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), lm._GRAPH)[3])[0])
+                state = int(model.guides[h]) if model.guides[h] >= 0 else state
+        assert math.isclose(got[i], -total * math.log10(2), rel_tol=1e-9)
+
+
+def test_lm_gives_probabilities(spark):
+    """Over all bytes that may follow, the probabilities of a byte sum to one."""
+    model = lm.Model(frame(spark, some_texts()), bits=SMALL)
+    table = np.random.default_rng(0).integers(0, 1 << 16, int(model.slots.base[-1])).astype(np.uint16)
+    words = pa.array([b"th" + bytes([b]) for b in range(256)], pa.binary())
+    laid, cost = mixing.Laid(words, np.full(256, 1), model.kinds), np.zeros(256 * 4)
+    for q in mixing.batches(laid):
+        n, node, step, bit = model.code.spell(laid.pair[q])
+        u = [np.take(table, model.slots.of(i, laid.context(i)[q], n, step)).astype(np.int64) for i in range(mixing.PREDICTORS)]
+        np.add.at(cost, np.repeat(np.arange(len(laid.byte))[q], n), model.mixer.cost(u, bit, node))
+    assert math.isclose(sum(2.0 ** -cost[2::4]), 1, rel_tol=1e-4)
+
+
+def test_lm_of_held_out_rows(spark):
+    """No count and no weight depends on them, and the mix is better than the base on them."""
+    r = random.Random(5)
+    words = [["".join(r.choices("abcdefghij"[4 * k :][:6], k=r.randint(1, 7))) for _ in range(80)] for k in (0, 1)]
+    texts = [" ".join(r.choices(words[i % 2], weights=range(80, 0, -1), k=60)) for i in range(300)]
+    every = lm_rows(spark, texts)
+    assert sum(x.score for x in every.values() if x.held_out) > sum(x.base_score for x in every.values() if x.held_out)
+    few = {x.doc_id: x.score for x in lm.Model(frame(spark, texts).where("crc32(cast(doc_id as string)) % 10 != 0"), bits=SMALL).score().collect()}
+    assert few and all(math.isclose(every[i].score, x, rel_tol=1e-12) for i, x in few.items())
+
+
+def test_lm_of_long_texts_and_words(spark, monkeypatch):
+    texts = ["x" * 3000, "ab cd " * 5000, "the " + "y" * 2500 + " of it", "\u00e9" * 900 + " a", *some_texts(20)[:20]]
+    whole = lm_rows(spark, texts)
+    monkeypatch.setattr(lm, "STRETCH", 700)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    cut = [(t.first + int(k), w) for t in lm.tokens(batch) for k, w in zip(t.text, t.words(np.arange(len(t.hash))).to_pylist())]
+    assert cut == [(i, w) for i, t in enumerate(texts) for w in t.lower().encode().split()]
+    guides = np.arange(lm.BUCKETS) % 5 - 1
+    before = [(t.first + int(k), int(g)) for t in lm.tokens(batch, guides) for k, g in zip(t.text, t.before)]
+    monkeypatch.setattr(lm, "STRETCH", 10**6)
+    assert before == [(t.first + int(k), int(g)) for t in lm.tokens(batch, guides) for k, g in zip(t.text, t.before)]
+    assert all(math.isfinite(x.score) for x in whole.values())
+
+
+def test_lm_of_nothing(spark, none):
+    assert lm.Model(none, bits=SMALL).score().count() == 0
+    got = lm_rows(spark, [None, "", " \n", "a"])
+    assert [got[i].n_tokens for i in range(4)] == [1, 1, 1, 2] and got[1].score == got[2].score
+    held = lm.Model(frame(spark, ["a b", "b"], start=0).where("crc32(cast(doc_id as string)) % 10 = 0"), bits=SMALL).score().collect()
+    assert all(x.train_tokens == 0 and x.base_score == 0 for x in held)
+    ids = spark.createDataFrame([(None, "a b", "x"), (None, "a b", "y"), (7, "c", None), (7, "d", None)], "doc_id int, text string, score string")
+    assert [x.held_out for x in lm.Model(ids, bits=SMALL).score().collect()].count(False) >= 2
 
 
 # ---- 4
