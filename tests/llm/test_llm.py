@@ -78,6 +78,23 @@ def test_span_removal(spark):
     assert [x.text for x in out.orderBy("doc_id").collect()] == ["start , stop", None, "a b c"] and out.columns[1] == "text"
 
 
+def test_decontamination_of_odd_rows(spark):
+    """Null and repeated ids and texts: both ways give the rows of the plain version, in any order."""
+    items = [(None, "a b c d e f g h i j k"), ("7", "x y"), ("7", None), ("7", "x y z"), (None, None), ("8", "a b c d e f g h i j")]
+    rows = [(None, "say a b c d e f g h i j k"), (None, "x y"), (3, "clean"), (3, "so X Y z"), (3, "so X Y z"), (4, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id int, text string, spans string")
+    bench = spark.createDataFrame([(*x, 1) for x in items], "item_id string, text string, h int")
+    sha = lambda *x: hashlib.sha256(",".join(x).encode()).hexdigest()
+    want = sorted([(None, 12, 11, 2, sha("8")), (None, 2, 2, 1, sha("7")), (3, 1, 0, 0, sha()), (3, 4, 3, 1, sha("7")), (3, 4, 3, 1, sha("7")), (4, 0, 0, 0, sha())], key=str)
+    for most in (10**6, 0):
+        got = [tuple(x)[:5] for x in decontaminate.scan(docs, bench, broadcast_bytes=most).collect()]
+        assert sorted(got, key=str) == want
+        kept = [tuple(x) for x in decontaminate.remove_documents(docs, bench, broadcast_bytes=most).collect()]
+        assert sorted(kept, key=str) == [(3, "clean", "s"), (4, None, "s")]
+        cut = [(x.doc_id, x.text) for x in decontaminate.remove_spans(docs, bench, broadcast_bytes=most).collect()]
+        assert sorted(cut, key=str) == sorted([(None, "say "), (None, ""), (3, "clean"), (3, "so "), (3, "so "), (4, None)], key=str)
+
+
 def test_decontamination_of_nothing(spark, docs, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.scan(none, bench).count() == 0
