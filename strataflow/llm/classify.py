@@ -201,7 +201,7 @@ def scored(feats: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)[: batch.num_rows] if batch.num_rows else np.zeros((0, N_FEATURES))
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
             s = held.value.score(x) if held.value else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 

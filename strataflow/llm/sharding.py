@@ -5,16 +5,21 @@ is written under a temporary name and renamed to the next number, which fails if
 reader sees either the old version or the new one and of two writers one has to try again.  A shard's tier is
 the power of `fanout` that its bytes are over the smallest size; where a tier below the target holds `fanout`
 shards or more, its oldest ones are merged into files of the target size and the version is committed.
-Shards that no version since `keep` versions lists can be removed by vacuum().
+Shards that only older versions than the last `keep` list can be removed by vacuum(), and so can folders that no version lists, once they
+are older than a grace period: until then another writer may be about to commit them.
+
+The rename is one step that never overwrites on HDFS and other file systems with an atomic rename; on object stores and local
+disks, where it is a check and then a move, writers must not commit at the same moment.
 
 Every row keeps all columns.  Null texts, repeated rows and any number of rows are stored as they are; an
-empty arrival commits no shard.
+empty arrival commits no shard.  An empty store can't be read, as it has no columns.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -92,15 +97,27 @@ class Store:
     def _write(self, df: DataFrame, arrival: int) -> Shard | None:
         name = f"{arrival:06d}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(f"{self.root}/data/{name}")
-        files = [x for x in self._fs.listStatus(self._path(f"{self.root}/data/{name}")) if x.getPath().getName().startswith("part-")]
-        size = sum(x.getLen() for x in files)
-        return Shard(name, size, len(files), arrival) if files else None
-
-    def append(self, df: DataFrame) -> int:
-        base = self.version()
-        live = self.shards(base)
-        new = self._write(df, max([0, *(s.arrival for s in live)]) + 1)
-        return self.commit([*live, new], base) if new else base
+        at = self._path(f"{self.root}/data/{name}")
+        if not self.spark.read.schema(df.schema).parquet(f"{self.root}/data/{name}").head(1):
+            self._fs.delete(at, True)
+            return None
+        files = [x for x in self._fs.listStatus(at) if x.getPath().getName().startswith("part-")]
+        return Shard(name, sum(x.getLen() for x in files), len(files), arrival)
+
+    def append(self, df: DataFrame, tries: int = 10) -> int:
+        """The version that lists df's rows.  The shard is written once and committed to the version that is the last by then."""
+        new = self._write(df, max([0, *(s.arrival for s in self.shards())]) + 1)
+        for left in range(tries - 1, -1, -1):
+            base = self.version()
+            if not new:
+                return base
+            try:
+                return self.commit([*self.shards(base), new], base)
+            except Conflict:
+                if not left:
+                    self._fs.delete(self._path(f"{self.root}/data/{new.name}"), True)
+                    raise
+        return self.version()
 
     def tier(self, size: int) -> int:
         return max(0, int(math.log(max(1, size / self.smallest), self.fanout)))
@@ -127,24 +144,35 @@ class Store:
             if once:
                 return version
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Removes shards that none of the last `keep` versions lists, and older versions; the number of shards removed."""
+    def vacuum(self, keep: int = 1, grace: float = 7 * 86_400) -> int:
+        """Removes shards that only versions before the last `keep` list, folders of over `grace` seconds that none lists, and the older
+        versions; the number of folders removed."""
         now = self.version()
         held = {s.name for v in range(max(1, now - keep + 1), now + 1) for s in self.shards(v)}
-        n = 0
-        for x in self._fs.listStatus(self._path(f"{self.root}/data")):
-            if x.getPath().getName() not in held:
+        root, old = self._path(f"{self.root}/manifest"), range(1, now - keep + 1)
+        there = {x.getPath().getName() for x in self._fs.listStatus(root)} if self._fs.exists(root) else set()
+        listed = {s.name for v in old if f"v{v:08d}.json" in there for s in self.shards(v)}
+        n, data = 0, self._path(f"{self.root}/data")
+        for x in self._fs.listStatus(data) if self._fs.exists(data) else ():
+            name = x.getPath().getName()
+            if name not in held and (name in listed or x.getModificationTime() / 1000 < time.time() - grace):
                 n += self._fs.delete(x.getPath(), True)
-        for v in range(1, now - keep + 1):
-            self._fs.delete(self._path(f"{self.root}/manifest/v{v:08d}.json"), False)
+        for v in old:
+            if f"v{v:08d}.json" in there:
+                self._fs.delete(self._path(f"{self.root}/manifest/v{v:08d}.json"), False)
         return n
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version, with the column __shard."""
+    def read(self, version: int | None = None, shard: str | None = None) -> DataFrame:
+        """Rows of a version; shard: the name of a further column with each row's shard."""
         live = self.shards(version)
         if not live:
             raise ValueError("the version has no shard")
-        return self.spark.read.parquet(*[f"{self.root}/data/{s.name}" for s in live]).withColumn("__shard", F.regexp_extract(F.input_file_name(), r"/data/([^/]+)/", 1))
+        rows = self.spark.read.parquet(*[f"{self.root}/data/{s.name}" for s in live])
+        if shard is None:
+            return rows
+        if shard in rows.columns:
+            raise ValueError(f"the rows have a column {shard} of their own")
+        return rows.withColumn(shard, F.regexp_extract(F.input_file_name(), r"/data/([^/]+)/", 1))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 5) -> DataFrame:
@@ -156,12 +184,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 5) -> DataFra
         store.append(docs.where(dealt == k))
     store.compact()
     store.vacuum()
-    rows = store.read()
+    live, version = store.shards(), store.version()
+    if not live:
+        empty = docs.limit(0).select("doc_id")
+        return empty.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("shard_arrival", "int"), ("n_bytes", "long"), ("text_crc32", "long"), ("live_shards", "int"), ("version", "int"))])
+    rows = store.read(version, shard="_shard_name")
     return rows.select(
         "doc_id",
-        F.substring("__shard", 1, 6).cast("int").alias("shard_arrival"),
+        F.substring("_shard_name", 1, 6).cast("int").alias("shard_arrival"),
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit(len(store.shards())).alias("live_shards"),
-        F.lit(store.version()).alias("version"),
+        F.lit(len(live)).alias("live_shards"),
+        F.lit(version).alias("version"),
     )

@@ -306,7 +306,7 @@ def test_warc(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
     path = warc.write(pages, common.scratch(spark, "warc"))
     read = warc.read(spark, path)
-    got = {x.page_id: x for x in warc.parse(read).collect()}
+    got = {x.page_id: x for x in warc.fields(read).collect()}
     for i, _, h in rows:
         assert bytes(got[i].payload) == (h or "").encode()
         assert got[i].declared == "sha1:" + base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
@@ -315,11 +315,26 @@ def test_warc(spark):
     for x in read.collect():
         assert bytes(x.record).startswith(bytes(x.header)) and bytes(x.record).endswith(b"\r\n\r\n")
     small = warc.write(pages, common.scratch(spark, "warc"), revisit_from=3)
-    assert {x.page_id for x in warc.parse(warc.read(spark, small)).where("record_type = 'revisit'").collect()} == {3}
+    assert {x.page_id for x in warc.fields(warc.read(spark, small)).where("record_type = 'revisit'").collect()} == {3}
     empty = warc.write(pages.limit(0), common.scratch(spark, "warc"))
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_of_null_ids_and_odd_urls(spark, tmp_path):
+    rows = [(None, "http://a b", "p"), (None, "u\t\x7f", "p"), (None, None, "alone"), (3, "http://é/?q=%20", "p"), (None, "v", None)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id int, url string, html string, sha256 string, first_id int")
+    read = warc.read(spark, warc.write(pages, common.scratch(spark, "warc")))
+    got = warc.fields(read).collect()
+    assert len(got) == 5 and sorted(bytes(x.payload) for x in got) == [b"", b"alone", b"p", b"p", b"p"]
+    targets = {re.search(r"Target-URI: (.*?)\r", bytes(x.header).decode())[1] for x in got}
+    assert targets == {"http://a%20b", "u%09%7F", "", "http://é/?q=%20", "v"}
+    pages.drop("sha256", "first_id").write.parquet(f"{tmp_path}/pages.parquet")
+    out = sorted((tuple(x) for x in warc.op4_warc(spark, str(tmp_path)).collect()), key=str)
+    b32 = lambda t: base64.b32encode(hashlib.sha1(t).digest()).decode()
+    want = [(3, 1, b32(b"p"), "response", None), (None, 0, b32(b""), "response", None), (None, 1, b32(b"p"), "revisit", 3), (None, 1, b32(b"p"), "revisit", 3), (None, 5, b32(b"alone"), "response", None)]
+    assert out == sorted(want, key=str)
+
+
 # ---- 5
 
 def brute_components(texts, t=80, k=5):
@@ -429,8 +444,29 @@ def test_sharding(spark, docs):
     assert sorted(x.doc_id for x in store.read().collect()) == sorted(x.doc_id for x in docs.collect())
     with pytest.raises(sharding.Conflict):
         store.commit(store.shards(), store.version() - 1)
+    # of two writers with one base, the later one commits to the newer version
+    v, n, behind = store.version(), len(store.shards()), store.version
+    last = iter([v, v - 1])
+    store.version = lambda: next(last, None) or behind()
+    assert store.append(docs.limit(2)) == v + 1 and len(store.shards()) == n + 1
+    assert store.commit([x for x in store.shards() if x in store.shards(v)], v + 1) == v + 2
+    # what another writer has written and not yet committed stays, unless it is old
+    waiting = store._write(docs.limit(3), 99)
     assert store.vacuum() >= 7 and store.read().count() == docs.count()
-    assert set(docs.columns) < set(store.read().columns)
+    assert store.commit([*store.shards(), waiting], store.version()) and store.read().count() == docs.count() + 3
+    store._write(docs.limit(3), 99)
+    assert store.vacuum(grace=-60) == 1 and store.vacuum(grace=-60) == 0
+    assert store.read().columns == docs.columns and set(store.read(shard="at").columns) == {*docs.columns, "at"}
+    with pytest.raises(ValueError):
+        store.read(shard="text")
+    v, n = store.version(), len(store.shards())
+    assert store.append(docs.limit(0)) == v and len(store.shards()) == n
+
+
+def test_sharding_of_an_empty_table(spark, none, tmp_path):
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.op7_sharding(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "shard_arrival", "n_bytes", "text_crc32", "live_shards", "version"]
 
 
 # ---- 8
