@@ -16,4 +16,4 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_quality": classify.op10_quality,
 }
-SQL = {"op1_decontaminate": decontaminate.OP1_SQL, "op4_warc": warc.OP4_SQL}
+SQL = {"op1_decontaminate": decontaminate.OP1_SQL, "op4_warc": warc.OP4_SQL, "op5_jaccard": similarity.OP5_SQL}

@@ -456,3 +456,18 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT min(doc_id) AS class, list(doc_id) AS members FROM (SELECT doc_id, list(hash(g) ORDER BY hash(g)) AS k FROM s GROUP BY doc_id) GROUP BY k),
+r AS (SELECT s.doc_id, g FROM s JOIN c ON s.doc_id = c.class),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 80 * (a.n + b.n - m)),
+l AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+t AS (SELECT class AS d, class AS c FROM c UNION SELECT l.y, t.c FROM t JOIN l ON l.x = t.d)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.c, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT unnest(members) AS doc_id, m.c FROM c JOIN (SELECT d, min(c) AS c FROM t GROUP BY d) m ON c.class = m.d) k USING (doc_id)
+"""
