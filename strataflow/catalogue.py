@@ -41,10 +41,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def plan(forward: Callable, source: DataFrame, columns: list[str], order: list[str]) -> Plan:
-    args = [f"a{i}" for i in range(len(columns))]
-    space: dict = {"fw": forward}
-    exec(f"def forward(self, {', '.join(args)}): return fw({', '.join(args)})", space)
-    return type("Query", (Pipeline,), {"forward": space["forward"]})().plan(source, columns, order)
+    query = type("Query", (Pipeline,), {"forward": lambda self, *ports: forward(*ports), "sources": len(columns)})
+    return query().plan(source, columns, order)
 
 
 def docs(spark: SparkSession, d: str, forward: Callable, *columns: str) -> Plan:
@@ -117,10 +115,10 @@ def expand_lines(spark, d):
     return flat(docs(spark, d, lambda t: ops.expand(lines_of(t))).output(), "v")
 
 
-@query(_B + " SELECT k0, k2 AS k1, w, CAST(length(w) AS BIGINT) AS n FROM bw WHERE k1 = 0")
+@query(_B + " SELECT k0, row_number() OVER (PARTITION BY k0 ORDER BY k1, k2) - 1 AS k1, w, CAST(length(w) AS BIGINT) AS n FROM bw")
 def expand_aligned_words(spark, d):
     def forward(t):
-        split = native(lambda x: (F.split(F.substring_index(x, "\n", 1), " ", -1), F.transform(F.split(F.substring_index(x, "\n", 1), " ", -1), lambda w: F.length(w).cast("long"))), outputs=2)
+        split = native(lambda x: (F.split(x, "[ \n]", -1), F.transform(F.split(x, "[ \n]", -1), lambda w: F.length(w).cast("long"))), outputs=2)
         return ops.expand_aligned(*split(t))
 
     return flat(items(spark, d, forward).frames((0,), (1,)), F.col("v0").alias("w"), F.col("v1").alias("n"))
@@ -404,20 +402,29 @@ def w_stem(spark, d):
 _TOK = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
 
 
-@query(f"t AS (SELECT doc_id, {_TOK.format('left(text, 200)')} AS a, {_TOK.format('substr(text, 101, 200)')} AS b FROM documents) SELECT doc_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS common, CAST(len(a) AS BIGINT) AS n_left, CAST(len(b) AS BIGINT) AS n_right FROM t")
+#: each document beside the benchmark item whose id is the remainder of its own
+_BESIDE = "d AS (SELECT d.*, b.text AS item FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
+
+
+def _beside(spark, d):
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    return table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % F.lit(items.count())).join(items, "item_id")
+
+
+@query(f"{_BESIDE}, t AS (SELECT doc_id, {_TOK.format('text')} AS a, {_TOK.format('item')} AS b FROM d) SELECT doc_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS common, CAST(len(a) AS BIGINT) AS n_left, CAST(len(b) AS BIGINT) AS n_right FROM t")
 def w_token_f1(spark, d):
-    n, x, y = captions.overlap(F.substring("text", 1, 200), F.substring("text", 101, 200))
-    return table(spark, d, "documents").select("doc_id", n.cast("long").alias("common"), x.cast("long").alias("n_left"), y.cast("long").alias("n_right"))
+    n, x, y = captions.overlap(F.col("text"), F.col("item"))
+    return _beside(spark, d).select("doc_id", n.cast("long").alias("common"), x.cast("long").alias("n_left"), y.cast("long").alias("n_right"))
 
 
-_CANDIDATES = ("substr(text, 1, 40)", "substr(text, 1, 120)", "substr(text, 41, 300)", "lang || ' ' || source")
+_CANDIDATES = ("text", "item", "source || ' ' || text", "lang || ' ' || source")
 _SCORE = "CASE WHEN len(t) = 0 THEN CAST('-inf' AS DOUBLE) ELSE least(len(t), 24) + 5.0 * len(list_distinct(t)) / len(t) - 1.5 * greatest(0, len(t) - 32) END"
 
 
-@query("c AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS i, regexp_extract_all(lower({x}), '[a-z0-9]+') AS t FROM documents" for i, x in enumerate(_CANDIDATES)) + f"), s AS (SELECT doc_id, i, {_SCORE} AS s FROM c) SELECT doc_id, CAST(arg_min(i, struct_pack(a := -s, b := i)) AS INTEGER) AS chosen FROM s GROUP BY doc_id")
+@query(_BESIDE + ", c AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS i, regexp_extract_all(lower({x}), '[a-z0-9]+') AS t FROM d" for i, x in enumerate(_CANDIDATES)) + f"), s AS (SELECT doc_id, i, {_SCORE} AS s FROM c) SELECT doc_id, CAST(arg_min(i, struct_pack(a := -s, b := i)) AS INTEGER) AS chosen FROM s GROUP BY doc_id")
 def w_caption_select(spark, d):
-    four = F.array(F.substring("text", 1, 40), F.substring("text", 1, 120), F.substring("text", 41, 300), F.concat("lang", F.lit(" "), "source"))
-    return table(spark, d, "documents").select("doc_id", captions.best(four).alias("chosen"))
+    four = F.array("text", "item", F.concat("source", F.lit(" "), "text"), F.concat("lang", F.lit(" "), "source"))
+    return _beside(spark, d).select("doc_id", captions.best(four).alias("chosen"))
 
 
 @query("SELECT source, count(*) AS clips, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY source")

@@ -17,6 +17,10 @@ class ContractError(RuntimeError):
     """A stage broke its contract; never retried."""
 
 
+class BrokenContract(ContractError):
+    """What the engine itself raises in a worker; a stage's own errors, whatever their names, are recovered from."""
+
+
 class ExecutionError(RuntimeError):
     """A run was aborted."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from ..failures import ContractError, RecordFailure
+from ..failures import BrokenContract, RecordFailure
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class RecoveryPolicy:
         for k in range(self.max_retries):
             try:
                 return call(rows)
-            except ContractError:
+            except BrokenContract:
                 raise
             except Exception:
                 if k + 1 == self.max_retries and self.kind != "isolate_tail":
@@ -65,7 +65,7 @@ class RecoveryPolicy:
     def _isolated(self, call: Callable[[list], list], rows: list) -> list:
         try:
             return call(rows)
-        except ContractError:
+        except BrokenContract:
             raise
         except Exception as e:
             if len(rows) == 1:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pyarrow as pa
 
-from ..failures import DROPPED, FAILED, PRESENT, SUPPRESSED, CompileError, ContractError, GroupFailure, RecordFailure, cause_text
+from ..failures import DROPPED, FAILED, PRESENT, SUPPRESSED, BrokenContract, CompileError, GroupFailure, RecordFailure, cause_text
 from .recovery import RecoveryPolicy
 
 _uid = itertools.count()
@@ -98,10 +99,10 @@ def run_rows(m: Module, layout: tuple[str | None, ...], static: dict[str, Any],
     if m.outputs == 1:
         got = (got,)
     elif not isinstance(got, (list, tuple)) or len(got) != m.outputs:
-        raise ContractError(f"the stage has {m.outputs} outputs")
+        raise BrokenContract(f"the stage has {m.outputs} outputs")
     for c in got:
         if not isinstance(c, (list, tuple)) or len(c) != len(rows):
-            raise ContractError(f"an output is a list or tuple of {len(rows)} values")
+            raise BrokenContract(f"an output is a list or tuple of {len(rows)} values")
     out = []
     for values in zip(*got, strict=True):
         group = next((v for v in values if isinstance(v, GroupFailure)), None)
@@ -123,7 +124,7 @@ def python_stage(m: Module, layout: tuple, static: dict, inputs: list[str], outp
             rows = [ready[i][3] for i in at]
             try:
                 got = call(rows)
-            except ContractError:
+            except BrokenContract:
                 raise
             except Exception:
                 if m.recovery.kind == "abort":
@@ -135,28 +136,48 @@ def python_stage(m: Module, layout: tuple, static: dict, inputs: list[str], outp
             for i, v in zip(at, got, strict=True):
                 ready[i][2] = v
 
+        tail = _Tail()
+
+        def with_outputs(b: pa.RecordBatch, own: list[list]) -> pa.RecordBatch:
+            cols = list(b.columns)
+            for k, t in enumerate(types):
+                o, v, c = [], [], []
+                for gate, cause, got, _ in own:
+                    failed = isinstance(got, (GroupFailure, RecordFailure))
+                    o.append(gate if gate != PRESENT else "GROUP" if isinstance(got, GroupFailure) else FAILED if failed else PRESENT)
+                    v.append(None if gate != PRESENT or failed else got[k])
+                    c.append(cause_text(got.cause) if failed else cause)
+                cols.append(pa.StructArray.from_arrays([pa.array(o, pa.string()), pa.array(v, t), pa.array(c, pa.string())], ["o", "v", "c"]))
+            return pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *outputs])
+
         def flush() -> Iterator[pa.RecordBatch]:
-            for at in late:
-                for i, v in zip(at, m.recovery.again(call, [ready[i][3] for i in at]), strict=True):
-                    ready[i][2] = v
-            late.clear()
+            """Everything that is decided; a dispatch that waits for the end goes to the tail, as one batch."""
+            if late:
+                rows = pa.Table.from_batches(held)
+                for at in late:
+                    tail.add(rows.take(pa.array(at)).combine_chunks().to_batches()[0])
+                waits = {i for at in late for i in at}
+                late.clear()
+            else:
+                waits = set()
             first = 0
             for b in held:
-                own = ready[first : first + b.num_rows]
+                own = range(first, first + b.num_rows)
                 first += b.num_rows
-                cols = list(b.columns)
-                for k, t in enumerate(types):
-                    o, v, c = [], [], []
-                    for gate, cause, got, _ in own:
-                        failed = isinstance(got, (GroupFailure, RecordFailure))
-                        o.append(gate if gate != PRESENT else "GROUP" if isinstance(got, GroupFailure) else FAILED if failed else PRESENT)
-                        v.append(None if gate != PRESENT or failed else got[k])
-                        c.append(cause_text(got.cause) if failed else cause)
-                    cols.append(pa.StructArray.from_arrays([pa.array(o, pa.string()), pa.array(v, t), pa.array(c, pa.string())], ["o", "v", "c"]))
-                yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *outputs])
+                if waits.isdisjoint(own):
+                    yield with_outputs(b, [ready[i] for i in own])
+                else:
+                    kept = [i for i in own if i not in waits]
+                    if kept:
+                        yield with_outputs(b.take(pa.array([i - own.start for i in kept])), [ready[i] for i in kept])
             held.clear()
             ready.clear()
 
+        def recovered() -> Iterator[pa.RecordBatch]:
+            for b in tail.read():
+                rows = [tuple(x["v"] for x in row) for row in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in inputs), strict=True)]
+                yield with_outputs(b, [[PRESENT, None, v, None] for v in m.recovery.again(call, rows)])
+
         waiting: list[int] = []
         for b in batches:
             cols = [b.column(b.schema.get_field_index(n)).to_pylist() for n in inputs]
@@ -169,19 +190,39 @@ def python_stage(m: Module, layout: tuple, static: dict, inputs: list[str], outp
                         attempt(waiting)
                         waiting = []
             held.append(b)
-            if len(ready) >= max(20_000, 4 * m.batch_size) and not late:
+            if len(ready) >= max(20_000, 4 * m.batch_size):
                 if waiting:
                     attempt(waiting)
                     waiting = []
-                if not late:
-                    yield from flush()
+                yield from flush()
         if waiting:
             attempt(waiting)
         yield from flush()
+        yield from recovered()
 
     return run
 
 
+class _Tail:
+    """Dispatches that run again when all others are through; they wait in a file, so a task never holds its partition."""
+
+    def __init__(self) -> None:
+        self.file = self.out = None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if self.out is None:
+            self.file = tempfile.TemporaryFile()
+            self.out = pa.ipc.new_stream(self.file, batch.schema)
+        self.out.write_batch(batch)
+
+    def read(self) -> Iterator[pa.RecordBatch]:
+        if self.out is not None:
+            self.out.close()
+            self.file.seek(0)
+            yield from pa.ipc.open_stream(self.file)
+            self.file.close()
+
+
 def gated(row: tuple[dict, ...]) -> tuple[str, str | None]:
     """Whether a stage runs on these inputs: failed before dropped before present; the first decisive input's cause."""
     for x in row:

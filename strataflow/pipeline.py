@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import re
 import time
 from dataclasses import dataclass, field
 from typing import Any
@@ -11,18 +12,23 @@ from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .failures import PRESENT, CompileError, ContractError, ExecutionError, OutputIssue
+from .failures import BrokenContract, PRESENT, CompileError, ContractError, ExecutionError, OutputIssue
 from .plans.builder import Graph, Port, trace
 from .plans.lowering import Lowering, keys, with_coordinates
 
 
 class Pipeline:
-    """Subclasses define forward(self, port, ...) with one positional parameter per source column."""
+    """Subclasses define forward(self, port, ...) with one positional parameter per source column, or forward(self, *ports) and
+    the number of sources."""
+
+    sources: int | None = None
 
     def forward(self, *ports: Port) -> Any:
         raise NotImplementedError
 
     def compile(self, optimize: bool = True) -> Graph:
+        if self.sources is not None:
+            return trace(self.forward, self.sources, optimize)
         params = list(inspect.signature(self.forward).parameters.values())
         if any(p.kind not in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) for p in params):
             raise CompileError("forward() takes positional parameters only")
@@ -144,8 +150,9 @@ class Executor:
                     metrics += [r.asDict() for r in plan.metrics().collect()]
         except PythonException as e:
             self._closed = True
-            kind = ContractError if "ContractError" in str(e) else ExecutionError
-            raise kind(str(e)) from e
+            # the worker's error is told apart by its type, which starts a line of its own; a user's error may be called alike
+            broken = re.search(rf"^{BrokenContract.__module__}\.{BrokenContract.__qualname__}(?::|$)", str(e), re.M)
+            raise (ContractError if broken else ExecutionError)(str(e)) from e
         return RunResult(_joined(parts), time.time() - began, len(parts), metrics)
 
 

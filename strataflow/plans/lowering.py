@@ -19,6 +19,9 @@ from ..operators import algebra as A
 from .builder import Graph, Level, Node, Port
 
 
+RANGE = 20_000  # rows of a range, where there are few
+
+
 def keys(level: Level) -> list[str]:
     return [f"_k{i}" for i in range(level.depth + 1)]
 
@@ -26,16 +29,26 @@ def keys(level: Level) -> list[str]:
 def with_coordinates(df: DataFrame, order: list[str] | None) -> DataFrame:
     """_k0: 0 .. n-1 in the given order, without bringing all rows to one task.
 
-    Rows are dealt by range, numbered in their partition, and shifted by the number of rows before it; only
-    one count per partition is known outside the executors."""
+    Rows are dealt by ranges of their keys, whose borders are literals taken from a sample, so that every reading of the rows deals
+    them alike; each is numbered in its range and shifted by the number of rows before that.  One shuffle moves the
+    rows, and only one count per range is known outside the executors.  Without an order, rows stay where they lie."""
     if order:
-        own = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+        keys_, spark = [F.col(c) for c in order], df.sparkSession
+        n = df.select(*keys_).count()
+        ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE) or 1)
+        drawn = df.select(*keys_).sample(False, min(1.0, 100 * ranges / n), 7).orderBy(*keys_).collect() if ranges > 1 else []
+        kinds = [df.schema[c].dataType for c in order]
+        if not drawn:  # one range
+            return df.withColumn("_k0", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+        borders = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(drawn[len(drawn) * k // ranges], kinds, order, strict=True)]) for k in range(1, ranges)]
+        own = df.withColumn("_part", F.size(F.filter(F.array(*borders), lambda b: b < F.struct(*keys_))))
         within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     else:
         own = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-        within = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
-    before = own.groupBy("_part").count().select("_part", (F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    numbered = own.withColumn("_within", within).join(F.broadcast(before), "_part")  # a row per partition
+        within = F.col("_at").bitwiseAND((1 << 33) - 1) + 1  # the place in the partition
+    counts = own.groupBy("_part").count()
+    before = counts.select("_part", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    numbered = own.withColumn("_within", within).join(F.broadcast(before), "_part")  # a row per range
     return numbered.withColumn("_k0", (F.col("_within") - 1 + F.coalesce("_before", F.lit(0))).cast("long")).drop("_part", "_within", "_before", "_at")
 
 
@@ -122,8 +135,15 @@ class Lowering:
         zipped = F.transform(F.sequence(F.lit(0), F.size(same[0]) - 1), lambda i: F.struct(*[F.get(s, i).alias(f"e{k}") for k, s in enumerate(same)]))
         zipped = F.when(F.size(same[0]) > 0, zipped)
         new = f"_k{child.depth}"
-        out = rows.select(*keys(parent), F.posexplode(zipped).alias(new, "_e"))
-        self.frames[child.number] = out.select(*keys(parent), F.col(new).cast("long").alias(new), *[A.present(F.col("_e")[f"e{i}"]).alias(p.name) for i, p in enumerate(node.outputs)])
+        carried = self._carried(child)
+        out = rows.select(*keys(parent), *[F.col(c).alias(to) for to, c in carried.items()], F.posexplode(zipped).alias(new, "_e"))
+        self.frames[child.number] = out.select(*keys(parent), *carried, F.col(new).cast("long").alias(new), *[A.present(F.col("_e")[f"e{i}"]).alias(p.name) for i, p in enumerate(node.outputs)])
+
+    def _carried(self, child: Level) -> dict[str, str]:
+        """What the generator hands down to a new level: ancestors' columns, known by now, that it or a level below broadcasts."""
+        there, above = self.frames[child.parent.number].columns, child.lineage()[:-1]
+        wanted = [n.inputs[0] for n in self.graph.nodes if n.op == "broadcast" and child in n.outputs[0].level.lineage() and n.inputs[0].level in above]
+        return {f"from_{p.name}": c for p in wanted for c in (f"from_{p.name}", p.name) if c in there}
 
     def _type(self, port: Port) -> T.DataType:
         return self.frames[port.level.number].schema[port.name].dataType["v"].dataType
@@ -136,6 +156,9 @@ class Lowering:
 
     def _broadcast(self, node: Node) -> None:
         source, out = node.inputs[0], node.outputs[0]
+        if f"from_{source.name}" in self.frames[out.level.number].columns:  # came down with the expansion
+            self._add({out: F.col(f"from_{source.name}")})
+            return
         above = self.frames[source.level.number].select(*keys(source.level), F.col(source.name).alias(out.name))
         # an equi-join on the key's prefix; Spark broadcasts the ancestor only where it is small
         self.frames[out.level.number] = self.frames[out.level.number].join(above, keys(source.level), "left")

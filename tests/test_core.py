@@ -1,124 +1,171 @@
 import itertools
+import random
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 import strataflow as sf
 from strataflow import GroupFailure, OutputIssue, Pipeline, RecordFailure, RecoveryPolicy, ops
 from strataflow.functions.stages import gated
 
 D = OutputIssue("DROPPED")
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't have this module
 
 
 def run(spark, forward, *cols, **how):
-    import inspect
+    pipeline = type("P", (Pipeline,), {"forward": lambda self, *ports: forward(*ports), "sources": len(cols)})
+    return pipeline().run(*cols, spark=spark, **how).outputs
+
+
+# ---- a small interpreter of the outcome rules, on nested Python lists, beside the engine
+
+class Item:
+    def __init__(self, outcome, value=None, cause=None):
+        self.outcome, self.value, self.cause = outcome, value, cause
+
+    def shown(self):
+        return self.value if self.outcome == "PRESENT" else OutputIssue(self.outcome, self.cause)
+
+
+def calls(fn, rows, groups):
+    """fn of each row of Items whose inputs are all present; groups: of each row, its siblings' number."""
+    out = []
+    for row in rows:
+        bad = next((x for x in row if x.outcome in ("FAILED", "SUPPRESSED")), None)
+        if bad:
+            out.append(Item("SUPPRESSED", None, bad.cause))
+        elif any(x.outcome == "DROPPED" for x in row):
+            out.append(Item("DROPPED"))
+        else:
+            v = fn(*[x.value for x in row])
+            out.append(Item("FAILED", v, v.cause) if isinstance(v, (RecordFailure, GroupFailure)) else Item("PRESENT", v))
+    for g in set(groups):
+        own = [x for x, k in zip(out, groups) if k == g]
+        barrier = next((x for x in own if isinstance(x.value, GroupFailure)), None)
+        for x in own if barrier else ():
+            if x.outcome == "PRESENT":
+                x.outcome, x.cause = "SUPPRESSED", barrier.cause
+    return out
+
+
+def masked(items, masks):
+    out = []
+    for x, m in zip(items, masks):
+        bad = next((y for y in (x, m) if y.outcome in ("FAILED", "SUPPRESSED")), None)
+        drop = "DROPPED" in (x.outcome, m.outcome) or not bad and m.value is False
+        out.append(Item("SUPPRESSED", None, bad.cause) if bad and bad is m else x if bad else Item("DROPPED") if drop else x)
+    return out
+
+
+def collected(parents, children):
+    """Lists of the present children's values; a failed child suppresses, a parent that isn't present gives its own outcome."""
+    out = []
+    for p, own in zip(parents, children):
+        if p.outcome != "PRESENT":
+            out.append(Item("DROPPED") if p.outcome == "DROPPED" else Item("SUPPRESSED", None, p.cause))
+            continue
+        bad = next((x for x in own if x.outcome in ("FAILED", "SUPPRESSED")), None)
+        out.append(Item("SUPPRESSED", None, bad.cause) if bad else Item("PRESENT", [x.value for x in own if x.outcome == "PRESENT"]))
+    return out
+
+
+def cut(v):
+    return RecordFailure(f"no cut of {v}") if v % 11 == 7 else [v * 3 + k for k in range(v % 5)]
+
+
+def price(v, limit):
+    if v % 17 == 3:
+        return RecordFailure(f"odd {v}")
+    return GroupFailure(f"spoilt {v}") if v % 23 == 5 else v - limit
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_engine_against_an_interpreter(spark, seed):
+    """Two levels with empty groups, masks, failures of both kinds, and a broadcast, in one pipeline."""
+    r = random.Random(seed)
+    roots, limits = [r.randrange(60) for _ in range(25)], [r.randrange(9) for _ in range(25)]
+    stage = lambda fn, kind: sf.function(lambda *cols, fn=fn: [fn(*x) for x in zip(*cols)], returns=kind).options(batch_size=r.choice([1, 3, 50]))
+
+    def forward(root, limit):
+        top = ops.expand(stage(cut, "array<int>")(root))
+        kept = ops.filter(top, sf.native(lambda v: v % 4 != 1)(top))
+        low = ops.expand(stage(cut, "array<int>")(kept))
+        paid = stage(price, "int")(low, ops.broadcast(limit, low))
+        inner = ops.reduce(paid)
+        return kept, paid, inner, ops.reduce(inner)
+
+    got = run(spark, forward, roots, limits, schema="a int, b int")
+    present = lambda vs: [Item("PRESENT", v) for v in vs]
+    tops = calls(cut, [(x,) for x in present(roots)], range(25))
+    top = [present(x.value) if x.outcome == "PRESENT" else [] for x in tops]
+    flat, of = [x for own in top for x in own], [i for i, own in enumerate(top) for _ in own]
+    kept = masked(flat, [Item("PRESENT", x.value % 4 != 1) for x in flat])
+    lows = calls(cut, [(x,) for x in kept], of)
+    low = [present(x.value) if x.outcome == "PRESENT" else [] for x in lows]
+    under, where = [x for own in low for x in own], [i for i, own in enumerate(low) for _ in own]
+    paid = calls(price, [(x, Item("PRESENT", limits[of[i]])) for x, i in zip(under, where)], where)
+    inner = collected(lows, [[p for p, i in zip(paid, where) if i == k] for k in range(len(lows))])
+    outer = collected(tops, [[x for x, i in zip(inner, of) if i == k] for k in range(25)])
+    for mine, theirs in zip((kept, paid, inner, outer), got, strict=True):
+        assert [x.shown() for x in mine] == theirs
+
+
+def test_null_is_a_value_and_masks_keep_places(spark):
+    half = sf.function(lambda x: [None if v % 2 else v // 2 for v in x], returns="int")
+    some = sf.native(lambda v: v > 4)
+    assert run(spark, lambda v: (half(v), ops.filter(half(v), some(v))), [3, 4, 9, 12]) == ([None, 2, None, 6], [D, D, None, 6])
+
+
+def test_tail_recovery_in_a_large_partition(spark):
+    """One dispatch of many fails; only it waits for the end, and places stay."""
 
-    n = len(inspect.signature(forward).parameters)
-    ns = {}
-    args = ", ".join(f"a{i}" for i in range(n))
-    exec(f"def f(self, {args}): return fw({args})", {"fw": forward}, ns)
-    return type("P", (Pipeline,), {"forward": ns["f"]})().run(*cols, spark=spark, **how).outputs
-
-
-def test_split_filter_reduce(spark):
-    @sf.function(returns="array<string>")
-    def split(xs):
-        return [[x[i : i + 2] for i in range(0, len(x), 2)] for x in xs]
-
-    keep = sf.native(lambda x, n: sf_len(x) >= n)
-
-    from pyspark.sql import functions as F
-
-    def sf_len(c):
-        return F.length(c)
-
-    def forward(docs, n):
-        part = ops.expand(split(docs))
-        return docs, ops.reduce(ops.filter(part, keep(part, ops.broadcast(n, part))))
-
-    assert run(spark, forward, ["abcde", "xy"], [2, 2]) == (["abcde", "xy"], [["ab", "cd"], ["xy"]])
-
-
-def test_filter_keeps_places(spark):
-    assert run(spark, lambda v, a, b: ops.filter(ops.filter(v, a), b), [10, 20, 30], [True, False, True], [True, True, False]) == [10, D, D]
-
-
-def test_none_is_a_value(spark):
-    same = sf.function(lambda x: x, returns="int")
-    assert run(spark, lambda v: same(v), [None, 1], schema="a int") == [None, 1]
-
-
-def test_failure_dominates_drop(spark):
-    fail = sf.function(lambda x: [RecordFailure(f"bad {v}") for v in x], returns="int")
-    add = sf.function(lambda a, b: [x + y for x, y in zip(a, b)], returns="int")
-    out = run(spark, lambda v, m: add(fail(v), ops.filter(v, m)), [10, 20], [False, False])
-    assert out == [OutputIssue("SUPPRESSED", "bad 10"), OutputIssue("SUPPRESSED", "bad 20")]
-
-
-@pytest.mark.parametrize("kind", [RecordFailure, GroupFailure])
-def test_record_and_group_failure(spark, kind):
-    pages = sf.function(lambda d: [[x * 10 + i for i in range(3)] for x in d], returns="array<int>")
-    ocr = sf.function(lambda p: [kind(f"bad {x}") if x == 11 else x for x in p], returns="int")
-
-    def forward(d):
-        page = ops.expand(pages(d))
-        text = ocr(page)
-        return text, ops.reduce(text)
-
-    text, doc = run(spark, forward, [0, 1])
-    rest = [OutputIssue("SUPPRESSED", "bad 11")] * 2 if kind is GroupFailure else [10, 12]
-    assert text == [0, 1, 2, rest[0], OutputIssue("FAILED", "bad 11"), rest[1]]
-    assert doc == [[0, 1, 2], OutputIssue("SUPPRESSED", "bad 11" if kind is RecordFailure or kind is GroupFailure else "")]
-
-
-def test_empty_nested_groups(spark):
-    outer = sf.function(lambda d: [[0, 1] if x == 0 else [] for x in d], returns="array<int>")
-    inner = sf.function(lambda d: [[] if x == 0 else [10, 11] for x in d], returns="array<int>")
-
-    def forward(d):
-        leaf = ops.expand(inner(ops.expand(outer(d))))
-        return ops.reduce(ops.reduce(leaf))
-
-    assert run(spark, forward, [0, 1]) == [[[], [10, 11]], []]
+    def f(x):
+        if 40_004 in x:
+            raise KeyError("sour")
+        return [v + 1 for v in x]
 
+    values = list(range(60_000))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    for policy, bad in ((RecoveryPolicy.isolate_tail(), [40_004]),):
+        out = run(spark, lambda v, policy=policy: sf.function(f, returns="int").options(batch_size=100, recovery=policy)(v), values)
+        assert [i for i, x in enumerate(out) if isinstance(x, OutputIssue)] == bad
+        assert [x for i, x in enumerate(out) if i not in bad] == [v + 1 for v in values if v not in bad]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
-def test_failed_source_broadcast(spark):
-    fail = sf.function(lambda x: [RecordFailure("gone") for _ in x], returns="int")
-    kids = sf.function(lambda x: [list(range(v)) for v in x], returns="array<int>")
 
-    def forward(v):
-        kid = ops.expand(kids(v))
-        return ops.reduce(ops.broadcast(fail(v), kid))
+def test_retry_at_the_tail(spark, tmp_path):
+    """A dispatch that fails once is run again after all others."""
+    mark = str(tmp_path / "failed")
 
-    assert run(spark, forward, [0, 2]) == [[], OutputIssue("SUPPRESSED", "gone")]
+    def f(x):
+        import os
 
+        if 5 in x and not os.path.exists(mark):
+            open(mark, "w").close()
+            raise RuntimeError("once")
+        return [v * v for v in x]
 
-def test_isolation(spark):
-    sizes = []
+    m = sf.function(f, returns="int").options(batch_size=3, recovery=RecoveryPolicy.retry_tail(1))
+    assert run(spark, lambda v: m(v), list(range(10))) == [v * v for v in range(10)]
 
-    def f(x):
-        if 2 in x:
-            raise ValueError("poison value 2")
-        return [v * 10 for v in x]
 
-    m = sf.function(f, returns="int").options(batch_size=4, recovery=RecoveryPolicy.isolate_tail())
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    out = run(spark, lambda v: m(v), [0, 1, 2, 3])
-    assert out == [0, 10, OutputIssue("FAILED", "builtins.ValueError: poison value 2"), 30]
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert not sizes
+def test_halving_finds_each_bad_row():
+    tried = []
 
+    def call(rows):
+        tried.append([r[0] for r in rows])
+        if any(r[0] in "fh" for r in rows):
+            raise ValueError("sour")
+        return [r[0].upper() for r in rows]
 
-def test_isolation_splits_in_halves():
-    seen = []
+    got = RecoveryPolicy.isolate_tail().again(call, [(c,) for c in "abcdefgh"])
+    assert [x if isinstance(x, str) else None for x in got] == ["A", "B", "C", "D", "E", None, "G", None]
+    assert tried[0] == list("abcdefgh") and ["a", "b", "c", "d"] in tried and ["f"] in tried and ["h"] in tried
 
-    def call(rows):
-        seen.append(len(rows))
-        if (2,) in rows:
-            raise ValueError
-        return rows
 
-    got = RecoveryPolicy.isolate_tail().again(call, [(0,), (1,), (2,), (3,)])
-    assert seen == [4, 2, 2, 1, 1] and isinstance(got[2], RecordFailure)
+class ContractError(Exception):
+    """A user's own error of the same name."""
 
 
 def test_abort_and_contract(spark):
@@ -130,6 +177,18 @@ def test_abort_and_contract(spark):
     with pytest.raises(sf.ContractError):
         run(spark, lambda v: sf.function(lambda x: [], returns="int")(v), [1, 2])
 
+    def mine(x):
+        raise ContractError("mine")
+
+    def theirs(x):
+        raise sf.ContractError("strataflow.failures.BrokenContract said in the text")
+
+    for fn in (mine, theirs):  # told apart by type: these are a stage's own errors
+        with pytest.raises(sf.ExecutionError):
+            run(spark, lambda v, fn=fn: sf.function(fn, returns="int")(v), [1])
+        again = sf.function(fn, returns="int").options(recovery=RecoveryPolicy.isolate_tail())
+        assert all(x.outcome == "FAILED" for x in run(spark, lambda v, again=again: again(v), [1, 2]))
+
 
 def test_multi_output_and_static(spark):
     m = sf.function(lambda x, k=1: ([v + k for v in x], [RecordFailure(17) if v == 2 else v for v in x]), returns=("int", "int"))
