@@ -673,3 +673,48 @@ def test_quality_without_labels(spark, docs, none):
     assert classify.fit(classify.features(docs), labels) is None
     assert {x.score for x in classify.scored(classify.features(docs), None).collect()} == {0.5}
     assert classify.keep_good(none, labels).count() == 0
+
+
+# ---- pipeline
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Every stage's rows are those of its plain version on what the stage before kept."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefghijklmno", k=r.randint(2, 9))) for _ in range(300)]
+    good = [" ".join(r.choices(words, k=r.randint(30, 120))).capitalize() + "." for _ in range(60)]
+    bad = ["".join(r.choices("#!$%&*0123456789 ", k=r.randint(40, 400))) for _ in range(20)]
+    item = " ".join(r.choices(words, k=14))
+    near = [g + " end" for g in good[:8]] + good[8:12] + good[8:10]
+    texts = [*good, *bad, *near, f"{good[20]} {item} {good[21]}", None, "", "one two"]
+    docs = spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(60 > i or i >= 80), 0) for i in range(len(texts)) if i % 5], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, own = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.written(stage(spark, docs, str(tmp_path)), name)
+        own[name] = docs.collect()
+    kept = {n: {x.doc_id for x in rows} for n, rows in own.items()}
+    model = classify.fit(classify.features(spark.read.parquet(f"{tmp_path}/documents.parquet")), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+
+    def score(t):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        return float(model.score(classify.text_features(raw, np.array([0, len(raw)])))[0])
+
+    assert kept["quality_classifier"] == {i for i, t in enumerate(texts) if score(t) >= 0.5}
+    assert set(range(60)) <= kept["quality_classifier"] and not kept["quality_classifier"] & set(range(60, 80))
+    first = brute_components((i, texts[i]) for i in sorted(kept["quality_classifier"]))
+    assert kept["ngram_jaccard_join"] == {i for i, (_, c) in first.items() if i == c}
+    hit = brute_windows([(i, texts[i]) for i in kept["ngram_jaccard_join"]], [(1, item)])
+    assert kept["benchmark_decontamination"] == {i for i, x in hit.items() if not x[1]} != kept["ngram_jaccard_join"]
+    assert kept["best_fit_packing"] == kept["benchmark_decontamination"]
+    assert [x.asDict() for x in sorted(own["benchmark_decontamination"], key=lambda x: x.doc_id)][0].keys() == {"doc_id", "text", "lang", "source", "n_chars"}
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    plain = lambda rows: sorted((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in rows)
+    assert plain(whole) == plain(own["best_fit_packing"])
+    empty = tmp_path / "empty"
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
