@@ -197,6 +197,7 @@ class Pile:
         self.held, self.size = [], 0
 
 
+@C.trimmed
 def _short_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the short words of a task, by bucket."""
     out = np.zeros(BUCKETS, np.int64)
@@ -248,7 +249,7 @@ class Model:
         train = self.docs.where("kind < 2").select("text")
         self.guides, self.kinds = self._guides(train)
         guides = self.guides
-        raw = self.docs.select("text", "kind").mapInArrow(lambda it: _pairs(it, guides), "s int, word binary, ct long, cf long, t long")
+        raw = self.docs.select("text", "kind").mapInArrow(C.trimmed(lambda it: _pairs(it, guides)), "s int, word binary, ct long, cf long, t long")
         # by the word, so that its states meet: c is the token's count, lead marks one of its rows
         dealt = raw.repartition(F.col("word")).groupBy("word", "s").agg(*[F.sum(x).alias(x) for x in ("ct", "cf", "t")])
         by = "(partition by word)"
@@ -269,6 +270,7 @@ class Model:
         ids, n = np.full(BUCKETS, -1, np.int64), len(rows)
         ids[[r.at for r in rows]] = np.arange(n)
 
+        @C.trimmed
         def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(n * n, np.int64)
             for batch in batches:
@@ -292,6 +294,7 @@ class Model:
         """How often each byte stands behind each."""
         kinds = self.kinds
 
+        @C.trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(1 << 16)
             for batch, laid in _laid(batches, kinds):
@@ -315,6 +318,7 @@ class Model:
         per = -(-total // (2 * PARTS)) * 2
 
         def count(kind: int, group: tuple[int, ...]):
+            @C.trimmed
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts = M.Counts(slots, code, group)
                 for batch, laid in _laid(batches, kinds):
@@ -323,6 +327,7 @@ class Model:
 
             return run
 
+        @C.trimmed
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list[np.ndarray]] = {}
             for batch in batches:
@@ -355,6 +360,7 @@ class Model:
         slots, code, kinds = self.slots, self.code, self.kinds
         held = pairs.sparkSession.sparkContext.broadcast(table)
 
+        @C.trimmed
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mixer = M.Mixer()
             for batch, laid in _laid(batches, kinds):
@@ -364,6 +370,7 @@ class Model:
             if mixer.steps:
                 yield from _of_task(0, [(mixer.steps % 16, pickle.dumps(mixer.learned()))])
 
+        @C.trimmed
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = None
             for batch in batches:
@@ -386,6 +393,7 @@ class Model:
         slots, code, kinds = self.slots, self.code, self.kinds
         held = pairs.sparkSession.sparkContext.broadcast((table, self.mixer))
 
+        @C.trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, mixer = held.value
             for batch, laid in _laid(batches, kinds):
@@ -417,6 +425,7 @@ class Model:
         held = sc.broadcast((Keys(key[order]), some.column(2).to_numpy()[order], some.column(3).to_numpy()[order]))
         tokens_, guides = self.tokens, self.guides
 
+        @C.trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, count, price = held.value
             worth, known = np.log10(count + 0.1) - norm, count > 0

@@ -32,7 +32,7 @@ ORDERS = (3, 4)
 PREDICTORS = 2 * len(ORDERS) + 3
 INPUTS = PREDICTORS + 1  # and a constant
 BITS = (20, 22, 21, 22, 22, 22, 22)  # log2 of the slots of each
-GROUPS = ((0, 1, 2, 3), (4, 5, 6))  # predictors whose counts one task holds
+GROUPS = ((0, 1, 2), (3, 4), (5, 6))  # predictors whose counts one task holds, 64 MB at most
 GATES, STEPS, STATES = 64, 33, 1 << 16
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 

@@ -299,6 +299,25 @@ def test_lm_of_nothing(spark, none):
     assert [x.held_out for x in lm.Model(ids, bits=SMALL).score().collect()].count(False) >= 2
 
 
+def test_lm_count_tables_are_small_and_hold_all_predictors():
+    assert max(8 * sum(1 << mixing.BITS[i] for i in group) for group in mixing.GROUPS) <= 64 << 20
+    assert [i for group in mixing.GROUPS for i in group] == list(range(mixing.PREDICTORS))
+
+
+def test_freed_memory_goes_back_when_a_task_ends():
+    rss, last = lambda: int(open("/proc/self/statm").read().split()[1]) * 4 // 1024, []
+
+    def run(batches):
+        held = [np.ones(4000) for _ in range(6000)]
+        last.append(np.ones(4000))  # lies above all others, so that the heap can't just end earlier
+        yield from batches
+        assert len(held) == 6000
+
+    before = rss()
+    assert list(common.trimmed(run)(iter([1, 2]))) == [1, 2]
+    assert rss() - before < 60
+
+
 # ---- 4
 
 def test_warc(spark):
