@@ -6,7 +6,9 @@ of Jaccard >= t share one of the first  n - ceil(t n) + 1  shingles of each (n:
 every list holds (class, size, position), sorted by size.
 
 Index skipping: a list is cut into blocks by size and, for each entry, whole blocks are skipped whose sizes cannot
-reach t, and in the rest entries whose positions leave too little behind them.  Answer skipping: candidates form stars, a
+reach t, and in the rest entries whose positions leave too little behind them.  Signatures: a set's signature holds the parity of its
+shingles in each of about as many buckets as it has shingles; two sets differ by at least the bits that their signatures differ by, so
+that stars of at most FEW members lose, before any set is moved, the members that cannot join any other.  Answer skipping: candidates form stars, a
 centre and the classes that may join it; a class is compared with the centre once, and keeps what it has more and less
 than the centre.  Members that join their centre are in one component, whatever they are to each other.  A member that does not join
 meets the others, a block at a time, and is compared with those that are in no component with it yet; the intersection comes from
@@ -36,6 +38,7 @@ _LUT = C.lut_of("graph")
 _ENTRY = np.dtype([("h", "<u8"), ("cls", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 BLOCK = 64
 SKETCH_BITS = 22
+FEW = 64  # members of a star whose signatures are compared with one another
 STAR = 2048  # members of a star that a task holds at once
 
 
@@ -82,6 +85,66 @@ def _each(batches: Iterator[pa.RecordBatch], width: int, most: int = C.SLICE_BYT
             yield batch, a, b, owner, value, *_classes(owner, value, b - a)
 
 
+def _signatures(owner: np.ndarray, value: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Of each text's set, a bit per bucket of its shingles: whether their number is odd.  2**k buckets, 64 at least."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    base = np.r_[0, np.cumsum(bits)]
+    at = base[owner] + (value & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(base[-1])) & 1).astype(np.uint8)
+    offsets = pa.py_buffer((base // 8).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, offsets, pa.py_buffer(np.packbits(odd, bitorder="little"))])
+
+
+def _may_join(x: tuple[int, int, int], y: tuple[int, int, int], percent: int) -> bool:
+    """Whether two sets, as (size, bits, signature), can reach percent: they differ by the bits at least that the signatures differ by."""
+    (n, bits, a), (m, other, b) = x, y
+    while bits > other:
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    while other > bits:
+        other //= 2
+        b = (b >> other) ^ (b & ((1 << other) - 1))
+    return 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * (a ^ b).bit_count() <= (100 - percent) * (n + m)
+
+
+def _narrowed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Stars by what may join whom: of each star, rows (centre, cls, n, sig) one after another, the groups that may hold links."""
+    out: list[tuple[int, int]] = []
+
+    def split(star: list[tuple[int, tuple[int, int, int]]]) -> None:
+        up = list(range(len(star)))
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i in range(len(star)):
+            for j in range(i):
+                a, b = root(i), root(j)
+                if a != b and _may_join(star[i][1], star[j][1], percent):
+                    up[max(a, b)] = min(a, b)
+        out.extend((star[r][0], star[i][0]) for i in range(len(star)) if (r := root(i)) != i)
+
+    def given() -> pa.RecordBatch:
+        c, m = zip(*out, strict=True)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(m, pa.int64())], names=["centre", "member"])
+
+    now, star = None, []
+    for batch in batches:
+        for centre, cls, n, sig in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if centre != now:
+                split(star)
+                now, star = centre, []
+            star.append((cls, (n, 8 * len(sig), int.from_bytes(sig, "little"))))
+        if out:
+            yield given()
+    split(star)
+    if out:
+        yield given()
+
+
 def _rank(value: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """The commonness of each shingle: its bucket's, in steps of a quarter of a power of 2."""
     return sketch[(value >> np.uint64(64 - int(len(sketch)).bit_length() + 1)).astype(np.int64)]
@@ -338,6 +401,16 @@ def components(edges: DataFrame, least: DataFrame, rounds: int = 60) -> DataFram
     raise RuntimeError("components did not settle")
 
 
+def _narrow(stars: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """stars without what signatures rule out; those of more than FEW members as they are."""
+    small = stars.groupBy("centre").agg(F.count("*").alias("n")).where(F.col("n") <= FEW).select("centre")
+    ends = stars.join(small, "centre", "left_semi").select("centre", F.explode(F.array("centre", "member")).alias("cls")).distinct()
+    signs = named.join(ends.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.max("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    met = ends.join(signs, "cls").select("centre", "cls", "n", "sig").repartition("centre").sortWithinPartitions("centre", "cls")
+    few = met.mapInArrow(lambda it: _narrowed(it, percent), "centre long, member long")
+    return few.unionByName(stars.join(small, "centre", "left_anti")).distinct()
+
+
 def join(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_shingles, cls, component_id of every document.  sketch_bits orders shingles, whatever it is the result is the same;
     buckets tell shingles apart that are more frequent than a few deviations of a bucket's load."""
@@ -347,12 +420,13 @@ def join(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, sketch_
     parts = max(8, int(got[0] / 6 * (100 - percent) / 100 / INDEX_PART))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, b, _, _, size, cls in _each(batches, width):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(cls)], names=["doc_id", "n_shingles", "cls"])
+        for batch, a, b, owner, value, size, cls in _each(batches, width):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(cls), _signatures(owner, value, size)], names=["doc_id", "n_shingles", "cls", "sig"])
 
     index = docs.select("text").mapInArrow(lambda it: _entries(it, width, percent, sketch.value, parts), "part int, v binary")
     stars = C.written(index.repartition(parts, "part").mapInArrow(lambda it: _lists(it, percent), "centre long, member long").distinct(), "stars")
-    named = C.written(docs.mapInArrow(rows, "doc_id long, n_shingles long, cls long"), "classes")
+    named = C.written(docs.mapInArrow(rows, "doc_id long, n_shingles long, cls long, sig binary"), "classes")
+    stars = C.written(_narrow(stars, named, percent), "narrowed")
     first = named.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"))
     # sets of one document of each class that stands in a star
     wanted = stars.select(F.explode(F.array("centre", "member")).alias("cls")).distinct()

@@ -419,6 +419,44 @@ def test_jaccard_star_in_blocks(spark, monkeypatch):
     assert got == brute_components(enumerate(texts))
 
 
+@pytest.mark.parametrize("few", [0, 3])
+def test_jaccard_stars_of_any_size(spark, monkeypatch, few):
+    monkeypatch.setattr(similarity, "FEW", few)
+    texts = near_texts(8)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in similarity.join(frame(spark, texts), sketch_bits=4).collect()}
+    assert got == brute_components(enumerate(texts))
+
+
+def test_jaccard_moves_no_sets_of_unlike_texts(spark, monkeypatch):
+    r, told, written = random.Random(5), {}, common.written
+    some = lambda n: ["".join(r.choices("abcdefgh", k=6)) for _ in range(n)]
+    shared = [some(25) for _ in range(20)]
+    base = some(80)
+    texts = [" ".join([*some(40), *shared[i // 3], *some(40)]) for i in range(60)] + [" ".join(base), " ".join([*base[:-1], "x"])]
+
+    def seen(df, name):
+        out = written(df, name)
+        told[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "written", seen)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in similarity.join(frame(spark, texts), sketch_bits=1).collect()}
+    assert got == brute_components(enumerate(texts)) and told["told"] == 1 < told["stars"]
+
+
+def test_signatures_rule_out_no_link():
+    r = np.random.default_rng(1)
+    for n in (1, 5, 63, 64, 65, 100, 1000):
+        x = r.integers(0, 1 << 63, n).astype(np.uint64)
+        for less in range(0, n // 4 + 1, max(1, n // 40)):
+            for more in (0, n // 10, n // 5):
+                y = np.r_[x[less:], r.integers(0, 1 << 63, more).astype(np.uint64)]
+                sig = similarity._signatures(np.repeat([0, 1], [len(x), len(y)]), np.r_[x, y], np.array([len(x), len(y)])).to_pylist()
+                a, b = ((k, 8 * len(v), int.from_bytes(v, "little")) for k, v in zip((len(x), len(y)), sig))
+                if 100 * (n - less) >= 80 * (n + more):
+                    assert similarity._may_join(a, b, 80) and similarity._may_join(b, a, 80)
+
+
 def test_jaccard_of_nothing(spark, none):
     assert similarity.join(none).count() == 0
     assert similarity.one_of_each(none).count() == 0
