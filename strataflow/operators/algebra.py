@@ -10,6 +10,7 @@ from functools import reduce as fold
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..failures import DROPPED, FAILED, PRESENT, SUPPRESSED
 
@@ -48,16 +49,25 @@ def filtered(source: Column, mask: Column) -> Column:
     return port(o, v, F.when(source["o"] != PRESENT, source["c"]).when(mask["o"] != PRESENT, mask["c"]))
 
 
-def group_columns(key: Column, members: Column, values: list[Column]) -> list[Column]:
-    """Aggregates of a child level from which `reduced` makes the parent's item."""
+def sortable(kind: T.DataType) -> bool:
+    """Whether Spark's own order covers the type, as far as known."""
+    if isinstance(kind, T.ArrayType):
+        return sortable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(sortable(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.NumericType, T.StringType, T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def group_columns(key: Column, members: Column, values: list[Column], plain: bool = False) -> list[Column]:
+    """Aggregates of a child level from which `reduced` makes the parent's item.  plain: all values are sortable."""
     bad = members["o"].isin(*_BAD)
-    worst = [F.when((members["o"] == PRESENT) & (v["o"] != PRESENT), key) for v in values]
-    out = [F.min(F.when(bad, key)).alias("bm"), F.min_by(members["c"], F.when(bad, key)).alias("bmc")]
-    for i, (v, w) in enumerate(zip(values, worst, strict=True)):
-        # the key leads the struct and is unique in its group, so payloads are never compared
-        held = F.collect_list(F.when(members["o"] == PRESENT, F.struct(key.alias("k"), v["v"].alias("v"))))
-        by_key = F.array_sort(held, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
-        out += [F.min(w).alias(f"bv{i}"), F.min_by(v["c"], w).alias(f"bvc{i}"), F.transform(by_key, lambda x: x["v"]).alias(f"vals{i}")]
+    # all values of a member are held and sorted once; the key leads the struct and is unique in its group, so payloads are never compared
+    held = F.collect_list(F.when(members["o"] == PRESENT, F.struct(key.alias("k"), *[v["v"].alias(f"v{i}") for i, v in enumerate(values)])))
+    by_key = F.sort_array(held) if plain else F.array_sort(held, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+    out = [F.min(F.when(bad, key)).alias("bm"), F.min_by(members["c"], F.when(bad, key)).alias("bmc"), by_key.alias("held")]
+    for i, v in enumerate(values):
+        worst = F.when((members["o"] == PRESENT) & (v["o"] != PRESENT), key)
+        out += [F.min(worst).alias(f"bv{i}"), F.min_by(v["c"], worst).alias(f"bvc{i}")]
     return out
 
 
@@ -65,6 +75,6 @@ def reduced(expansion: Column, i: int, kind: str) -> Column:
     """The parent's item; expansion: the outcome of the port whose value was expanded."""
     bm, bv = F.col("bm"), F.col(f"bv{i}")
     o = F.when(expansion["o"] == DROPPED, DROPPED).when(expansion["o"] != PRESENT, SUPPRESSED).when(bm.isNotNull() | bv.isNotNull(), SUPPRESSED).otherwise(PRESENT)
-    v = F.when(o == PRESENT, F.coalesce(F.col(f"vals{i}"), F.array().cast(kind)))
+    v = F.when(o == PRESENT, F.coalesce(F.col("held")[f"v{i}"], F.array().cast(kind)))
     c = F.when(o != SUPPRESSED, None).when(expansion["o"] != PRESENT, expansion["c"]).when(bm.isNotNull(), F.col("bmc")).otherwise(F.col(f"bvc{i}"))
     return port(o, v, c)

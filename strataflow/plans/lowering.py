@@ -167,7 +167,7 @@ class Lowering:
         *values, members = node.inputs
         child, parent = members.level, members.level.parent
         key = F.col(keys(child)[-1])
-        cols = A.group_columns(key, F.col(members.name), [F.col(v.name) for v in values])
+        cols = A.group_columns(key, F.col(members.name), [F.col(v.name) for v in values], all(A.sortable(self._type(v)) for v in values))
         groups = self.frames[child.number].groupBy(*keys(parent)).agg(*cols)
         expansion = F.col(child.producer.name)
         types = [f"array<{self._type(v).simpleString()}>" for v in values]
