@@ -40,18 +40,30 @@ def with_coordinates(df: DataFrame, order: list[str] | None) -> DataFrame:
         kinds = [df.schema[c].dataType for c in order]
         if not drawn:  # one range
             return df.withColumn("_k0", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-        borders = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(drawn[len(drawn) * k // ranges], kinds, order, strict=True)]) for k in range(1, ranges)]
-        own = df.withColumn("_part", F.size(F.filter(F.array(*borders), lambda b: b < F.struct(*keys_))))
+        cut = [drawn[len(drawn) * k // ranges] for k in range(1, ranges)]
+        if len(order) == 1:  # compared as they are; nulls come first, so that no border is needed among them
+            own = dealt(df, [F.lit(v).cast(kinds[0]) for (v,) in cut if v is not None], keys_[0])
+        else:
+            own = dealt(df, [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(row, kinds, order, strict=True)]) for row in cut], F.struct(*keys_))
         within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     else:
         own = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
         within = F.col("_at").bitwiseAND((1 << 33) - 1) + 1  # the place in the partition
     counts = own.groupBy("_part").count()
     before = counts.select("_part", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    numbered = own.withColumn("_within", within).join(F.broadcast(before), "_part")  # a row per range
+    numbered = own.withColumn("_within", within).join(F.broadcast(before), "_part", "left")  # a row per range
     return numbered.withColumn("_k0", (F.col("_within") - 1 + F.coalesce("_before", F.lit(0))).cast("long")).drop("_part", "_within", "_before", "_at")
 
 
+def dealt(df: DataFrame, borders: list[Column], x: Column) -> DataFrame:
+    """_part: how many of the ascending borders are less than x, found by halving: a projection of compiled code per binary digit."""
+    held, out = F.array(*borders), df.withColumn("_part", F.lit(0))
+    for k in reversed(range(len(borders).bit_length())):
+        at = F.col("_part")
+        out = out.withColumn("_part", F.when(F.get(held, at + F.lit((1 << k) - 1)) < x, at + F.lit(1 << k)).otherwise(at))
+    return out
+
+
 class Lowering:
     def __init__(self, graph: Graph, source: DataFrame, columns: list[str], persist: bool = False):
         self.graph, self.frames, self.persist = graph, {}, persist

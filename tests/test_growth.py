@@ -53,3 +53,34 @@ def test_members_without_an_order_of_their_own(spark):
             return ops.reduce(sf.native(lambda x: F.create_map(F.lit("k"), x))(ops.expand(sf.native(lambda x: x)(a))))
 
     assert Maps().run([[3, 1, 2], []], spark=spark, schema="a array<int>").outputs == [[{"k": 3}, {"k": 1}, {"k": 2}], []]
+
+
+@pytest.mark.parametrize("kind", ["int", "date", "string", "double", "two"])
+def test_ranges_are_found_by_halving(spark, monkeypatch, kind):
+    """drop_propagation: a row is compared with as many borders as their number has binary digits."""
+    monkeypatch.setattr(lowering, "RANGE", 5)
+    rng = random.Random(kind)
+    n, day = 400, datetime.date(2020, 1, 1)
+    make = {"int": int, "date": lambda i: day + datetime.timedelta(i), "string": lambda i: f"{i:05d}é"[rng.randrange(4) :] + str(i), "double": lambda i: float("nan") if i == 7 else i / 3, "two": lambda i: i % 9}[kind]
+    rows = [(make(i), i) for i in range(n)] + [(None, n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, {"two": "int", "double": "double", "string": "string", "date": "date", "int": "bigint"}[kind].join(["k ", ", i bigint"]))
+    order = ["k", "i"] if kind == "two" else ["k"]
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = lowering.with_coordinates(df, order)
+        plan = plan_of(got)
+        assert "lambda" not in plan and len(re.findall(r"\bCASE WHEN", plan)) <= 2 * 6  # 36 borders; rows are read twice
+        assert [r.i for r in got.orderBy("_k0").collect()] == [r.i for r in df.orderBy(*order).collect()]
+        assert sorted(r._k0 for r in got.collect()) == list(range(n + 1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+@tables
+@pytest.mark.parametrize("name", ["failure_dominates_drop", "drop_propagation", "expand_from_orders"])
+def test_no_row_meets_every_border(spark, monkeypatch, name):
+    monkeypatch.setattr(lowering, "RANGE", 50)  # several ranges on a small table
+    plan = plan_of(catalogue.QUERIES[name](spark, DATA))
+    assert "_part" in plan and "lambda" not in plan
