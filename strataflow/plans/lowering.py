@@ -143,13 +143,15 @@ class Lowering:
         sound = F.when(values[0].isNull(), F.raise_error(F.lit("a call that is expanded gives lists")).cast("int")).otherwise(F.size(values[0]))
         same = [F.when(F.coalesce(F.size(v), F.lit(-1)) == sound, v).otherwise(F.raise_error(F.lit("aligned groups differ in length")).cast(self._type(p))) for v, p in zip(values, node.inputs, strict=True)]
         rows = self.frames[parent.number].where(F.col(node.inputs[0].name)["o"] == PRESENT)
-        # one struct per child, so that lengths, checked above, are the only thing that ties the arrays
-        zipped = F.transform(F.sequence(F.lit(0), F.size(same[0]) - 1), lambda i: F.struct(*[F.get(s, i).alias(f"e{k}") for k, s in enumerate(same)]))
-        zipped = F.when(F.size(same[0]) > 0, zipped)
+        if len(same) == 1:
+            zipped = F.when(sound > 0, values[0])
+        else:  # one struct per child, so that lengths, checked above, are the only thing that ties the arrays
+            zipped = F.transform(F.sequence(F.lit(0), F.size(same[0]) - 1), lambda i: F.struct(*[F.get(s, i).alias(f"e{k}") for k, s in enumerate(same)]))
+            zipped = F.when(F.size(same[0]) > 0, zipped)
         new = f"_k{child.depth}"
         carried = self._carried(child)
         out = rows.select(*keys(parent), *[F.col(c).alias(to) for to, c in carried.items()], F.posexplode(zipped).alias(new, "_e"))
-        self.frames[child.number] = out.select(*keys(parent), *carried, F.col(new).cast("long").alias(new), *[A.present(F.col("_e")[f"e{i}"]).alias(p.name) for i, p in enumerate(node.outputs)])
+        self.frames[child.number] = out.select(*keys(parent), *carried, F.col(new).cast("long").alias(new), *[A.present(F.col("_e")[f"e{i}"] if len(same) > 1 else F.col("_e")).alias(p.name) for i, p in enumerate(node.outputs)])
 
     def _carried(self, child: Level) -> dict[str, str]:
         """What the generator hands down to a new level: ancestors' columns, known by now, that it or a level below broadcasts."""

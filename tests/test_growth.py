@@ -84,3 +84,17 @@ def test_no_row_meets_every_border(spark, monkeypatch, name):
     monkeypatch.setattr(lowering, "RANGE", 50)  # several ranges on a small table
     plan = plan_of(catalogue.QUERIES[name](spark, DATA))
     assert "_part" in plan and "lambda" not in plan
+
+
+@tables
+def test_single_arrays_are_expanded_as_they_are(spark):
+    """multi_output_failure: no lambda builds children; null children and empty groups stay what they are."""
+    assert "lambda" not in plan_of(catalogue.QUERIES["multi_output_failure"](spark, DATA))
+    same = sf.native(lambda x: x)
+
+    class Items(sf.Pipeline):
+        def forward(self, a):
+            x = ops.expand(same(a))
+            return x, ops.reduce(x)
+
+    assert Items().run([[1, None, 2], [], [None]], spark=spark, schema="a array<int>").outputs == ([1, None, 2, None], [[1, None, 2], [], [None]])
