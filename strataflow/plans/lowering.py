@@ -93,24 +93,24 @@ class Lowering:
         named = {n: p["v"] for p, n in zip(ports, layout, strict=True) if n} | static
         o, c = A.gate(ports)
         level = node.outputs[0].level
+        # what several expressions read is a column of its own, so that compiled code has it once and stays small enough for the JIT
+        frame = self.frames[level.number].withColumns({"_o": o, "_c": c})
+        runs = F.col("_o") == PRESENT
+        group, barrier = A.text(), A.text()
         if module.fails_group is not None:
-            cause = module.fails_group(*args, **named)
-            frame = self.frames[level.number].withColumn("_gc", F.when(o == PRESENT, cause))
-            w = self._siblings(level)
-            key = F.col(keys(level)[-1])
-            frame = frame.withColumn("_gb", F.min_by("_gc", F.when(F.col("_gc").isNotNull(), key)).over(w))
-            self.frames[level.number] = frame
-        own = module.fails(*args, **named) if module.fails is not None else A.text()
-        group, barrier = (F.col("_gc"), F.col("_gb")) if module.fails_group is not None else (A.text(), A.text())
-        runs = o == PRESENT
-        failed = runs & (group.isNotNull() | own.isNotNull())
-        out = F.when(~runs, o).when(failed, FAILED).when(barrier.isNotNull(), SUPPRESSED).otherwise(PRESENT)
-        why = F.when(~runs, c).when(failed, F.coalesce(group, own)).otherwise(barrier)
+            key, group, barrier = F.col(keys(level)[-1]), F.col("_gc"), F.col("_gb")
+            frame = frame.withColumn("_gc", F.when(runs, module.fails_group(*args, **named).cast("string")))
+            frame = frame.withColumn("_gb", F.min_by("_gc", F.when(group.isNotNull(), key)).over(self._siblings(level)))
+        own = module.fails(*args, **named).cast("string") if module.fails is not None else A.text()
+        frame = frame.withColumn("_why", F.when(runs, F.coalesce(group, own)))
+        out = F.when(~runs, F.col("_o")).when(F.col("_why").isNotNull(), FAILED).when(barrier.isNotNull(), SUPPRESSED).otherwise(PRESENT)
+        why = F.when(~runs, F.col("_c")).otherwise(F.coalesce("_why", barrier))
+        frame = frame.withColumns({"_out": out, "_c": why})
         values = module.target(*args, **named)
         values = values if isinstance(values, tuple) else (values,)
-        self._add({p: A.port(out, F.when(out == PRESENT, v), why) for p, v in zip(node.outputs, values, strict=True)})
-        if module.fails_group is not None:
-            self.frames[level.number] = self.frames[level.number].drop("_gc", "_gb")
+        self.frames[level.number] = frame
+        self._add({p: A.port(F.col("_out"), F.when(F.col("_out") == PRESENT, v), F.col("_c")) for p, v in zip(node.outputs, values, strict=True)})
+        self.frames[level.number] = self.frames[level.number].drop("_o", "_c", "_why", "_out", "_gc", "_gb")
 
     def _python(self, node: Node, module: Module, layout: tuple, static: dict) -> None:
         level = node.outputs[0].level

@@ -98,3 +98,9 @@ def test_single_arrays_are_expanded_as_they_are(spark):
             return x, ops.reduce(x)
 
     assert Items().run([[1, None, 2], [], [None]], spark=spark, schema="a array<int>").outputs == ([1, None, 2, None], [[1, None, 2], [], [None]])
+
+
+@tables
+def test_compiled_code_stays_in_the_jit(spark):
+    """reduce_truth_table: the JVM leaves methods of more than 8000 bytes to its interpreter."""
+    assert code_size(spark, executed(spark, lambda: catalogue.QUERIES["reduce_truth_table"](spark, DATA))) < 8000
