@@ -54,11 +54,13 @@ def items(spark: SparkSession, d: str, forward: Callable, *columns: str) -> Plan
 
 
 def orders(spark: SparkSession, d: str, forward: Callable) -> Plan:
-    """Sources: o_orderkey, o_orderstatus, and the order's lineitems as an ordered array (empty for none)."""
+    """Sources: o_orderkey, o_orderstatus, and the order's lineitems as an ordered array (empty for none).  Coordinates come
+    from the orders alone, so that no reading for them groups lineitems."""
     own = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag"]
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("lines"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*own))).alias("lines"))
     kind = "array<struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in lines.schema["lines"].dataType.elementType.fields) + ">>"
-    src = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("lines", F.coalesce("lines", F.array().cast(kind)))
+    numbered = with_coordinates(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+    src = numbered.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("lines", F.coalesce("lines", F.array().cast(kind)))
     return plan(forward, src, ["o_orderkey", "o_orderstatus", "lines"], ["o_orderkey"])
 
 

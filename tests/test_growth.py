@@ -104,3 +104,16 @@ def test_single_arrays_are_expanded_as_they_are(spark):
 def test_compiled_code_stays_in_the_jit(spark):
     """reduce_truth_table: the JVM leaves methods of more than 8000 bytes to its interpreter."""
     assert code_size(spark, executed(spark, lambda: catalogue.QUERIES["reduce_truth_table"](spark, DATA))) < 8000
+
+
+@tables
+@pytest.mark.parametrize("name", ["reduce_empty_groups", "reduce_value_dropped", "record_failure_reduce"])
+def test_coordinates_come_from_orders_alone(spark, name):
+    """No window has a join with lineitems below it."""
+    lines = plan_of(catalogue.QUERIES[name](spark, DATA)).split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for k, x in enumerate(lines):
+        if "Window [row_number" in x:
+            below = lines[k + 1 :]
+            end = next((j for j, y in enumerate(below) if depth(y) <= depth(x)), len(below))
+            assert not any("Join" in y or "l_orderkey" in y for y in below[:end])
