@@ -11,7 +11,8 @@ from . import algebra as A
 def expand_from(parents: DataFrame, children: DataFrame, key: str, child_key: str, order: list[str], value: Column) -> DataFrame:
     """(_k0, _k1, o, v, c): parents have _k0; children are ordered in their parent by `order`."""
     rows = children.withColumn("_v", value).join(parents.select("_k0", F.col(key).alias(child_key)), child_key)
-    at = F.row_number().over(Window.partitionBy("_k0").orderBy(*order)) - 1
+    # the join has dealt the rows by this key already, so that they don't move again
+    at = F.row_number().over(Window.partitionBy(child_key, "_k0").orderBy(*order)) - 1
     return rows.select("_k0", at.cast("long").alias("_k1"), A.present(F.col("_v")).alias("p")).select("_k0", "_k1", "p.*")
 
 

@@ -117,3 +117,13 @@ def test_coordinates_come_from_orders_alone(spark, name):
             below = lines[k + 1 :]
             end = next((j for j, y in enumerate(below) if depth(y) <= depth(x)), len(below))
             assert not any("Join" in y or "l_orderkey" in y for y in below[:end])
+
+
+def test_children_move_once(spark):
+    """expand_from_orders: dealt by the parent's key for the join, and not again; a repeated key has a group for each parent."""
+    parents = spark.createDataFrame([(0, 10), (1, 20), (2, 10)], "_k0 bigint, k bigint")
+    children = spark.createDataFrame([(10, 2), (10, 1), (20, 5), (30, 1)], "ck bigint, n bigint")
+    make = lambda: expand_from(parents, children, "k", "ck", ["n"], F.col("n"))
+    assert executed(spark, make).toString().count("Exchange hashpartitioning") == 2
+    got = sorted((r._k0, r._k1, r.v) for r in make().collect())
+    assert got == [(0, 0, 1), (0, 1, 2), (1, 0, 5), (2, 0, 1), (2, 1, 2)]
